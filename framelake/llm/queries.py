@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm.jaccard_join import jaccard_components
 from framelake.llm.language_id import identify_languages
+from framelake.llm.line_dedup import SQL as LINE_DEDUP_SQL
+from framelake.llm.line_dedup import remove_repeated_chunks
 from framelake.llm.quality import score_quality
 
 
@@ -15,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_chunks(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -28,9 +34,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP_SQL,
+}
