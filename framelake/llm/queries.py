@@ -10,6 +10,8 @@ from framelake.llm.jaccard_join import jaccard_components
 from framelake.llm.language_id import identify_languages
 from framelake.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from framelake.llm.line_dedup import remove_repeated_chunks
+from framelake.llm.mixing import mix_sources
+from framelake.llm.packing import pack_documents
 from framelake.llm.quality import score_quality
 
 
@@ -25,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("copies")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -33,11 +39,17 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_mixing": op3_mixing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_packing": op10_packing,
 }
 
 ORACLES: dict[str, str] = {
