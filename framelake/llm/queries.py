@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from framelake.llm.ann import nearest_neighbours
 from framelake.llm.html_text import extract_main_text
 from framelake.llm.jaccard_join import jaccard_components
 from framelake.llm.language_id import identify_languages
@@ -46,6 +47,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op8_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_html_extraction": op6_html_extraction,
+    "op8_approximate_neighbours": op8_approximate_neighbours,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
 }
