@@ -13,6 +13,7 @@ from framelake.llm.language_id import identify_languages
 from framelake.llm.line_dedup import SQL as LINE_DEDUP_SQL
 from framelake.llm.line_dedup import remove_repeated_chunks
 from framelake.llm.mixing import mix_sources
+from framelake.llm.multi_index import near_duplicate_vectors
 from framelake.llm.packing import pack_documents
 from framelake.llm.quality import score_quality
 from framelake.llm.warc import SQL as WARC_SQL
@@ -47,6 +48,10 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(_table(spark, sf_dir, "embeddings"))
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_html_extraction": op6_html_extraction,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_approximate_neighbours": op8_approximate_neighbours,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_packing": op10_packing,
