@@ -8,6 +8,7 @@ Sets are the distinct word shingles of documents. The join is exact:
   coarse counts only cost time, never a link. Each entry carries its position and set size. The list of a shingle is
   cut into blocks by size class, so that blocks that cannot hold a partner are never joined, and within a block
   entries whose positions leave too little overlap are skipped.
+* A pair whose parity sketches differ too much for a link is dropped before its sets are fetched; this loses no link.
 * Answers are derived: a class is first compared with the hub of its lists that shares most prefix shingles. If they
   link, the class takes over the hub's component, and only entries of lists that still span more than one component
   are looked at again. What then remains is compared pair by pair, so no link between components is lost, while a group
@@ -30,7 +31,9 @@ from framelake.llm.components import connected_components
 from framelake.llm.scratch import Scratch
 from framelake.llm.words import shingle_sets
 
-BLOCK = 1 << 14
+BLOCK = 1 << 16
+SKETCH = 1024  # bits
+HEAVY = 100_000  # a list that may be longer is dealt out by a salt at first
 _NO_ID = 1 << 62  # rows without an id count from here on
 
 
@@ -50,14 +53,18 @@ def _count_shingles(words: int, bits: int) -> Callable:
         if counts.any():
             blocks = counts.reshape(-1, min(BLOCK, 1 << bits))
             task = TaskContext.get().partitionId() % 509
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([task] * len(blocks), pa.int32()), pa.array([zlib.compress(b.tobytes(), 1) for b in blocks], pa.binary())], ["block", "task", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([task] * len(blocks), pa.int32()), pa.array([_packed(b) for b in blocks], pa.binary())], ["block", "task", "counts"])
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts, (1 << 32) - 1).astype(np.uint32).tobytes(), 1)
+
+
 def _add_blocks(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x), dtype=np.int64) for x in table.column("counts").to_pylist())
-    return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    total = sum(np.frombuffer(zlib.decompress(x), dtype=np.uint32).astype(np.int64) for x in table.column("counts").to_pylist())
+    return pa.table({"block": table.column("block")[:1], "task": table.column("task")[:1], "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def shingle_counts(texts: DataFrame, words: int, bits: int) -> np.ndarray:
@@ -69,10 +76,10 @@ def shingle_counts(texts: DataFrame, words: int, bits: int) -> np.ndarray:
     parts = texts.mapInArrow(_count_shingles(words, bits), schema)
     for keys in (["block", "task"], ["block"]):
         parts = parts.groupBy(*keys).applyInArrow(_add_blocks, schema)
-    out = np.zeros((max(1, (1 << bits) // BLOCK), min(BLOCK, 1 << bits)), dtype=np.int64)
+    out = np.zeros((max(1, (1 << bits) // BLOCK), min(BLOCK, 1 << bits)), dtype=np.uint32)
     for row in parts.select("block", "counts").collect():
-        out[row.block] = np.frombuffer(zlib.decompress(row.counts), dtype=np.int64)
-    return np.minimum(out.ravel(), (1 << 32) - 1).astype(np.uint32)
+        out[row.block] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)
+    return out.ravel()
 
 
 def _set_key(s: np.ndarray) -> bytes:
@@ -83,23 +90,52 @@ def _node_of(key: bytes) -> int:
     return int.from_bytes(key[:8], "little") >> 2 | _NO_ID
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """One bit for each of SKETCH buckets: whether an odd number of shingles fall into it. Two sets' sketches differ in
+    no more bits than the sets differ in shingles."""
+    return np.packbits(np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def _prefixes(words: int, bits: int, counts, num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
         for batch in batches:
-            ids, nodes, sizes, keys, prefixes = batch.column(0), [], [], [], []
+            ids, nodes, sizes, keys, sketches, prefixes, salts = batch.column(0), [], [], [], [], [], []
             for doc_id, s in zip(ids.to_pylist(), shingle_sets(batch.column(1).to_pylist(), words)):
                 n = len(s)
                 key = _set_key(s) if n else None
-                order = np.argsort(table[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-                keep = n - -(-n * num // den) + 1 if n else 0
+                node = doc_id if doc_id is not None or not n else _node_of(key)
+                often = table[(s >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.argsort(often, kind="stable")[: n - -(-n * num // den) + 1 if n else 0]
+                parts = np.minimum(-(-often[order].astype(np.int64) // HEAVY), 1 << 14)
                 sizes.append(n)
                 keys.append(key)
-                nodes.append(doc_id if doc_id is not None or not n else _node_of(key))
-                prefixes.append(s[order[:keep]].view(np.int64))
+                nodes.append(node)
+                sketches.append(_parity(s) if n else None)
+                prefixes.append(s[order].view(np.int64))
+                salts.append(np.where(parts > 1, 1 + (node or 0) * 0x9E3779B1 % (1 << 32) % parts, 0).astype(np.int16))
             lengths = np.concatenate(([0], np.cumsum([len(p) for p in prefixes], dtype=np.int64))).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(lengths, flat)], ["doc_id", "node", "n", "key", "prefix"])
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)), pa.array(np.concatenate(salts) if salts else np.empty(0, np.int16))], ["shingle", "salt"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.cast(pa.int64()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(lengths, flat)],
+                ["doc_id", "node", "n", "key", "sketch", "prefix"],
+            )
+
+    return run
+
+
+def _near(num: int, den: int) -> Callable:
+    """Drops pairs whose sketches differ in more bits than two linked sets of their sizes can in shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(k).to_numpy() for k in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            least = -(-num * (n + m) // (num + den))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(differ <= n + m - 2 * least))
 
     return run
 
@@ -151,52 +187,64 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     scratch = Scratch(spark, owner)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = spark.sparkContext.broadcast(shingle_counts(docs.select("text"), words, bits))
-    prefixes = scratch.table("prefixes", docs.mapInArrow(_prefixes(words, bits, counts, num, den), "doc_id long, node long, n long, key binary, prefix array<long>"))
+    schema = "doc_id long, node long, n long, key binary, sketch binary, prefix array<struct<shingle: long, salt: short>>"
+    prefixes = scratch.table("prefixes", docs.mapInArrow(_prefixes(words, bits, counts, num, den), schema))
 
     classes = scratch.table("classes", prefixes.where("n > 0").groupBy("key").agg(F.min("node").alias("vid")))
     chosen = prefixes.join(classes.withColumnRenamed("key", "k"), (F.col("node") == F.col("vid")) & (F.col("key") == F.col("k")))
-    entries = chosen.select("vid", "n", "key", F.posexplode("prefix").alias("pos", "shingle"))
-
-    def hub(seed: int) -> Column:
-        return F.min(F.struct(F.xxhash64("vid", F.lit(seed)).alias("h"), "vid", "n", "pos"))
-
-    shared = entries.groupBy("shingle").agg(F.count("*").alias("c"), hub(0).alias("hub")).where("c > 1").drop("c")
-    lists = scratch.table("lists-0", entries.join(shared, "shingle").withColumn("comp", F.col("vid")))
-    keys = lists.groupBy("vid").agg(F.first("key").alias("key"))
-    named = docs.join(keys, F.col("doc_id") == F.col("vid")).select("vid", "key", "text")
-    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("vid"), F.lit(None).cast("binary").alias("key"), "text")
-    texts = named.unionByName(nameless)
-    sets = scratch.table("sets", texts.mapInArrow(_sets_of(words), "vid long, raw binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("vid").alias("a"), F.col("raw").alias("x")), "a")
-        both = left.join(sets.select(F.col("vid").alias("b"), F.col("raw").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long")
-
-    edges, comps = None, None
+    known = scratch.table("known", chosen.select("vid", "n", "key", "sketch", "prefix"))
+    entries = known.select("vid", "n", F.posexplode("prefix").alias("pos", "e"))
+    entries = entries.select("e.shingle", "e.salt", "vid", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")).repartition("shingle", "salt")
+
+    def hub(seed: int, *more: str) -> Column:
+        return F.min(F.struct(F.xxhash64("vid", F.lit(seed)).alias("h"), "vid", "np", *more)).alias("hub")
+
+    def may_link(a: str, b: str) -> Column:
+        size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
+        return _may_link(size(a), place(a), size(b), place(b), num, den)
+
+    shared = entries.groupBy("shingle", "salt").agg(F.count("*").alias("c"), hub(0)).where("c > 1 or salt > 0").drop("c")
+    lists = scratch.table("lists-0", entries.join(shared, ["shingle", "salt"]))
+
+    def verified(pairs: DataFrame, turn: int) -> DataFrame:
+        side = lambda v, *cols: known.select(F.col("vid").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in cols])
+        both = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+        near = scratch.table(f"near-{turn}", both.mapInArrow(_near(num, den), "a long, b long"))
+        ids = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
+        keys = known.select("vid", "key").join(ids, "vid")
+        named = docs.join(keys, F.col("doc_id") == F.col("vid")).select("vid", "key", "text")
+        nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("vid"), F.lit(None).cast("binary").alias("key"), "text")
+        sets = scratch.table(f"sets-{turn}", named.unionByName(nameless).mapInArrow(_sets_of(words), "vid long, raw binary"))
+        left = near.join(sets.select(F.col("vid").alias("a"), F.col("raw").alias("x")), "a")
+        full = left.join(sets.select(F.col("vid").alias("b"), F.col("raw").alias("y")), "b").select("a", "b", "x", "y")
+        links = scratch.table(f"links-{turn}", full.mapInArrow(_verify(num, den), "a long, b long"))
+        scratch.drop(f"near-{turn}", f"sets-{turn}")
+        return links
+
+    comps = None
     for turn in range(hub_rounds):
-        near = lists.where(F.col("comp") != F.col("hub.comp") if turn else F.col("vid") != F.col("hub.vid"))
-        near = near.where(_may_link(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos"), num, den))
+        near = lists.where(F.col("comp") != F.col("hub.comp") if turn else F.col("vid") != F.col("hub.vid")).where(may_link("np", "hub.np"))
         best = near.groupBy("vid", F.col("hub.vid").alias("b")).agg(F.count("*").alias("c")).groupBy("vid").agg(F.max(F.struct("c", "b")).alias("top"))
-        fresh = scratch.table(f"links-{turn}", verified(best.select(F.col("vid").alias("a"), F.col("top.b").alias("b"))))
-        edges = fresh if edges is None else edges.unionByName(fresh)
+        links = verified(best.select(F.col("vid").alias("a"), F.col("top.b").alias("b")), turn)
         if comps is not None:
-            scratch.drop(*[x for x in scratch.paths if x.startswith(f"comps-{turn - 1}-")])
-        comps = connected_components(scratch, edges, f"comps-{turn}")
-        labelled = lists.drop("comp", "hub").join(comps, F.col("vid") == F.col("vertex"), "left").withColumn("comp", F.coalesce("component", "vid")).drop("vertex", "component")
-        spread = labelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("vid", F.lit(turn + 1)).alias("h"), "vid", "n", "pos", "comp")).alias("hub"))
-        lists = scratch.table(f"lists-{turn + 1}", labelled.join(spread.where("lo < hi").drop("lo", "hi"), "shingle"))
+            links = links.unionByName(comps.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+        comps = connected_components(scratch, links, f"comps-{turn}")
+        labelled = lists.select("shingle", "vid", "np").join(comps, F.col("vid") == F.col("vertex"), "left").select("shingle", "vid", "np", F.coalesce("component", "vid").alias("comp"))
+        spread = labelled.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub(turn + 1, "comp")).where("lo < hi").drop("lo", "hi")
+        lists = scratch.table(f"lists-{turn + 1}", labelled.join(spread, "shingle"))
         scratch.drop(f"lists-{turn}")
 
     # A set's size class; partners are in the same class or the next, as sizes differ by den/num at most.
-    size_class = F.floor(F.log("n") / float(np.log(den / num)) + 1e-9).cast("int")
-    blocks = lists.select("shingle", "vid", "n", "pos", "comp", size_class.alias("cls"))
-    probes = blocks.select("shingle", F.explode(F.array("cls", F.col("cls") + 1, F.col("cls") - 1)).alias("cls"), *[F.col(c).alias(f"{c}_") for c in ("vid", "n", "pos", "comp")])
-    left = blocks.join(probes, ["shingle", "cls"]).where("comp != comp_ and vid < vid_").where(_may_link(F.col("n"), F.col("pos"), F.col("n_"), F.col("pos_"), num, den))
-    pairs = left.select(F.col("vid").alias("a"), F.col("vid_").alias("b")).distinct()
-    edges = edges.unionByName(scratch.table("links-rest", verified(pairs)))
-    comps = connected_components(scratch, edges, "comps-rest")
-    scratch.drop("sets", f"lists-{hub_rounds}", *[x for x in scratch.paths if x.startswith(f"comps-{hub_rounds - 1}-")])
+    n = F.shiftright("np", 32)
+    size_class = F.floor(F.log(n.cast("double")) / float(np.log(den / num)) + 1e-9).cast("int")
+    blocks = lists.select("shingle", "vid", "np", "comp", size_class.alias("cls"))
+    probes = blocks.select("shingle", F.explode(F.array("cls", F.col("cls") + 1, F.col("cls") - 1)).alias("cls"), *[F.col(c).alias(f"{c}_") for c in ("vid", "np", "comp")])
+    rest = blocks.join(probes, (blocks.shingle == probes.shingle) & (blocks.cls == probes.cls) & (F.col("comp") != F.col("comp_")) & (F.col("vid") < F.col("vid_")) & may_link("np", "np_"))
+    links = verified(rest.select(F.col("vid").alias("a"), F.col("vid_").alias("b")).distinct(), hub_rounds)
+    if comps is not None:
+        links = links.unionByName(comps.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
+    comps = connected_components(scratch, links, "comps-rest")
+    scratch.drop("known", f"lists-{hub_rounds}", *[x for x in scratch.paths if x.startswith("links-")], *[x for x in scratch.paths if x.startswith("comps-") and not x.startswith("comps-rest")])
 
     labels = classes.join(comps, F.col("vid") == F.col("vertex"), "left").select("key", F.coalesce("component", "vid").alias("component"))
     out = prefixes.select("doc_id", "n", "key").join(labels, "key", "left")
