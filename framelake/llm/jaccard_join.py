@@ -175,7 +175,7 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, num: int, den: int)
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * overlap >= num * (n + m))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, bits: int = 20, hub_rounds: int = 2, owner: str = "op5") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, bits: int = 22, hub_rounds: int = 2, owner: str = "op5") -> DataFrame:
     """Links documents whose shingle sets have intersection / union >= num / den, and labels components.
 
     ``docs`` has doc_id and text; other columns are ignored. Returns doc_id, n_shingles and component_id (the least
@@ -197,7 +197,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     entries = entries.select("e.shingle", "e.salt", "vid", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")).repartition("shingle", "salt")
 
     def hub(seed: int, *more: str) -> Column:
-        return F.min(F.struct(F.xxhash64("vid", F.lit(seed)).alias("h"), "vid", "np", *more)).alias("hub")
+        """The entry with the fewest rarer shingles before it: of near copies, the one that was changed least."""
+        return F.min(F.struct(F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"), F.xxhash64("vid", F.lit(seed)).alias("h"), "vid", "np", *more)).alias("hub")
 
     def may_link(a: str, b: str) -> Column:
         size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)))
