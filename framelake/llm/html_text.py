@@ -157,7 +157,7 @@ def main_text(blocks: list[tuple[str, bool, bool]], rooted: bool, neighbour: lis
     if neighbour:
         gone = shared_lines(lines, neighbour)
         good = [k for k, (_, _, bad) in enumerate(blocks) if not bad]
-        if 2 * sum(len(lines[k]) for k in good if k in gone) > sum(len(lines[k]) for k in good):
+        if 20 * sum(len(lines[k]) for k in good if k not in gone) < sum(len(lines[k]) for k in good):
             gone = set()  # a copy of this page rather than another of its kind
     return "\n".join(t for k, (t, _, bad) in enumerate(blocks) if not bad and k not in gone)
 
@@ -207,7 +207,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Returns page_id, url, text (blocks in page order, joined by newlines; empty if there are none) and n_chars, a row
     for each row. A null html counts as empty, a null url as a page of no host. Pages are dealt out in sorted runs; the
     first page of a run has only the one after it as neighbour, the last only the one before. Rows with equal url are
-    ordered by page_id; a neighbour with the same lines is passed over, and one that shares most of the text is not used.
+    ordered by page_id; a neighbour with the same lines is passed over, and one that leaves less than a twentieth of the text is not used.
     """
     parts = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)(.*)$"
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
