@@ -23,16 +23,17 @@ from framelake.llm.scratch import Scratch
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier rejects (score below 0.5)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return score_quality(docs, labels, keep=others).where("predicted = 1").select(docs.columns)
+    return score_quality(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated chunks of lines from the texts. Documents that this leaves without a word are dropped, as all
     they had is kept elsewhere; those that had none before stay."""
-    out = remove_repeated_chunks(docs, owner="pipeline-op1")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = remove_repeated_chunks(docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others")), owner="pipeline-op1")
     emptied = (F.col("removed_lines") > 0) & (F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) == "")
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.where(~F.coalesce(emptied, F.lit(False))).select(*[own.get(c, F.col("others")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,13 +193,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000) ->
 def score_quality(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), train_rows: int = 10_000) -> DataFrame:
     """Scores every text of ``docs`` (doc_id, text): how likely ``labels`` (doc_id, quality) would mark it 1.
 
-    Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5) and the columns in ``keep``, a row for each
+    Returns doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.5) and, if asked for, the columns in ``keep``
+    as fields of a struct named row, a row for each
     row. Null counts as empty text, which is scored like any other. Labels without doc_id or quality are ignored;
     repeated labels count each. Labels of held-out rows are never read; lang, source and doc_id are no features.
     """
     model = fit_quality(docs, labels, train_rows)
-    fields = [f for f in docs.schema.fields if f.name in keep and f.name != "doc_id"]
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *[F.col(f.name).alias(f"keep_{f.name}") for f in fields])
-    schema = "doc_id long, held_out boolean, " + "".join(f"`keep_{f.name}` {f.dataType.simpleString()}, " for f in fields) + "score double"
+    kept = [f for f in docs.schema.fields if f.name in keep]
+    inner = [F.col(f"`{f.name}`").alias(f"keep_{k}") for k, f in enumerate(kept)]
+    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *inner)
+    schema = "doc_id long, held_out boolean, " + "".join(f"keep_{k} {f.dataType.simpleString()}, " for k, f in enumerate(kept)) + "score double"
     out = rows.mapInArrow(_scored(model), schema)
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"keep_{f.name}").alias(f.name) for f in fields])
+    row = [F.struct(*[F.col(f"keep_{k}").alias(f.name) for k, f in enumerate(kept)]).alias("row")] if kept else []
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *row)
