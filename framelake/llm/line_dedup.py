@@ -21,15 +21,17 @@ def _line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def _chunks(text: Column, average: int) -> Column:
-    """The text's chunks: arrays of struct(start, size, lines) in order; start counts lines from 0."""
-    lines = F.split(text, "\n", -1)
-    hashes = F.transform(lines, _line_hash)
-    rolling = F.zip_with(hashes, F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, F.lit(1), F.size(hashes) - 1)), lambda h, before: (h * _TURN + before) % _MODULUS)
-    last = F.size(lines)
-    ends = F.array_distinct(F.concat(F.filter(F.transform(rolling, lambda r, i: F.when(r % average == 0, i + 1)), lambda e: e.isNotNull()), F.array(last)))
-    starts = F.concat(F.array(F.lit(0)), F.slice(ends, F.lit(1), F.size(ends) - 1))
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"), F.slice(lines, a + 1, b - a).alias("lines")))
+def _with_chunks(df: DataFrame, text: Column, average: int) -> DataFrame:
+    """Adds _chunks, the text's chunks as structs (start, size, lines) in order; start counts lines from 0, null has
+    null. Each array is a column of its own on the way, so that it's made once."""
+    df = df.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_hashes", F.transform("_lines", _line_hash))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_hashes", F.lit(1), F.size("_hashes") - 1))
+    df = df.withColumn("_rolling", F.zip_with("_hashes", before, lambda h, b: (h * _TURN + b) % _MODULUS % average == 0))
+    places = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (i == F.size("_lines")) | F.element_at("_rolling", i))
+    df = df.withColumn("_ends", F.when(F.col("_lines").isNotNull(), places))
+    starts = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.size("_ends") - 1))
+    df = df.withColumn("_chunks", F.zip_with(starts, F.col("_ends"), lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"), F.slice("_lines", a + 1, b - a).alias("lines"))))
+    return df.drop("_lines", "_hashes", "_rolling", "_ends")
 
 
 def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, owner: str = "op1") -> DataFrame:
@@ -43,7 +45,8 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
     scratch = Scratch(docs.sparkSession, owner)
     fields = docs.columns
     order = lambda: F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "start")
-    exploded = docs.select("doc_id", F.explode(_chunks(F.col("text"), average)).alias("c")).where(F.col("c.size") >= least)
+    cut = _with_chunks(docs.select("doc_id", "text"), F.col("text"), average)
+    exploded = cut.select("doc_id", F.explode(F.filter("_chunks", lambda c: c["size"] >= least)).alias("c"))
     pieces = exploded.select("doc_id", "c.start", F.array_join("c.lines", "\n").alias("piece"))
     hashed = pieces.withColumn("hash", F.unhex(F.md5(F.col("piece").cast("binary"))))
 
@@ -62,7 +65,8 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
         key = F.struct(c["start"].alias("start"), F.unhex(F.md5(F.array_join(c["lines"], "\n").cast("binary"))).alias("hash"))
         return (c["size"] >= least) & F.array_contains(F.col("gone"), key)
 
-    marked = joined.withColumn("_chunks", F.when(F.col("gone").isNotNull(), F.transform(_chunks(F.col("_text"), average), lambda c: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), bad(c).alias("bad")))))
+    marked = _with_chunks(joined, F.when(F.col("gone").isNotNull(), F.col("_text")), average)
+    marked = marked.withColumn("_chunks", F.transform("_chunks", lambda c: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), bad(c).alias("bad"))))
     kept = F.array_join(F.flatten(F.transform(F.filter("_chunks", lambda c: ~c["bad"]), lambda c: c["lines"])), "\n")
     lost = F.filter("_chunks", lambda c: c["bad"])
     out = marked.select(
