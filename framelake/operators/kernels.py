@@ -7,8 +7,6 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 
-from framelake.model import KINDS
-
 G, V, A, T, O, I, M = range(7)  # noqa: E741
 
 
@@ -681,14 +679,12 @@ KERNELS: dict[str, Callable[[bytes, Found], bool]] = {
 }
 
 
-def run_kernel(parser: str, data: bytes) -> list[dict] | None:
-    """Rows (kind_id, pos, name, value, is_extra) of a blob, or None if its parser rejects it."""
+def run_kernel(parser: str, data: bytes) -> list[tuple[int, int, str, str, bool]]:
+    """Rows (kind_id, pos, name, value, is_extra) of a blob; none if its parser rejects it."""
     f = Found()
     try:
         if not KERNELS[parser](data, f):
-            return None
+            return []
     except (IndexError, struct.error, ValueError, OverflowError):
-        if not f.rows:
-            return None
-    assert all(k < len(KINDS) for k, *_ in f.rows)
-    return [{"kind_id": k, "pos": p, "name": n, "value": v, "is_extra": e} for (k, p, n, e), v in f.rows.items()]
+        pass  # cut off or damaged: what was read before stands
+    return [(k, p, n, v, e) for (k, p, n, e), v in f.rows.items()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +21,18 @@ def _kernel_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Fills in the fields of rows whose content is there; the others have theirs already."""
     for batch in batches:
         path, parser, content, fields = batch.columns
-        rows = [run_kernel(p, c) for p, c in zip(parser.to_pylist(), content.to_pylist()) if c is not None]
-        if rows:
-            walked = iter(pa.array(rows, pa.list_(_FIELD)).to_pylist())
-            fields = pa.array([next(walked) if c else f for c, f in zip(content.is_valid().to_pylist(), fields.to_pylist())], pa.list_(_FIELD))
+        mine = content.is_valid().to_numpy(zero_copy_only=False)
+        if mine.any():
+            ends, columns = [0], ([], [], [], [], [])
+            for p, c in zip(parser.filter(pa.array(mine)).to_pylist(), content.filter(pa.array(mine)).to_pylist()):
+                for row in run_kernel(p, c):
+                    for column, value in zip(columns, row):
+                        column.append(value)
+                ends.append(len(columns[0]))
+            rows = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FIELD)], fields=list(_FIELD))
+            walked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+            order = np.where(mine, len(fields) + np.cumsum(mine) - 1, np.arange(len(fields)))
+            fields = pa.concat_arrays([fields.cast(walked.type), walked]).take(pa.array(order))
         yield pa.RecordBatch.from_arrays([path, fields], ["path", "fields"])
 
 

@@ -22,7 +22,7 @@ def wav_blobs(lineitem: DataFrame) -> DataFrame:
     fmt = F.concat(to_le(F.lit(1), 2), to_le(channels, 2), to_le(rate, 4), to_le(rate * channels * 2, 4), to_le(channels * 2, 2), to_le(F.lit(16), 2))
     data = F.unhex(F.repeat(F.lit("00"), size.cast("int")))
     content = F.concat(_bytes(b"RIFF"), to_le(size + 36, 4), _bytes(b"WAVEfmt "), to_le(F.lit(16), 4), fmt, _bytes(b"data"), to_le(size, 4), data)
-    path = F.concat_ws("/", F.lit("wav"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    path = F.concat_ws("/", F.lit("wav"), "l_orderkey", "l_linenumber", F.xxhash64(*lineitem.columns))
     return lineitem.select(path.alias("path"), content.alias("content"))
 
 
