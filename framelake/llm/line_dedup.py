@@ -69,11 +69,14 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
     marked = marked.withColumn("_chunks", F.transform("_chunks", lambda c: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), bad(c).alias("bad"))))
     kept = F.array_join(F.flatten(F.transform(F.filter("_chunks", lambda c: ~c["bad"]), lambda c: c["lines"])), "\n")
     lost = F.filter("_chunks", lambda c: c["bad"])
-    out = marked.select(
-        *[(F.when(F.col("_chunks").isNotNull(), kept).otherwise(F.col("_text")) if name == "text" else F.col(own[name])).alias(name) for name in fields],
-        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("removed_chunks"),
-        F.coalesce(F.aggregate(F.transform(lost, lambda c: c["size"]), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long").alias("removed_lines"),
+    made = F.struct(
+        F.when(F.col("_chunks").isNotNull(), kept).otherwise(F.col("_text")).alias("text"),
+        F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("chunks"),
+        F.coalesce(F.aggregate(F.transform(lost, lambda c: c["size"]), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long").alias("lines"),
     )
+    # Generated rather than projected: conditions on the result would else be pushed down and repeat all of the above.
+    out = marked.select(*[own[name] for name in fields if name != "text"], F.explode(F.array(made)).alias("_made"))
+    out = out.select(*[F.col("_made.text" if name == "text" else own[name]).alias(name) for name in fields], F.col("_made.chunks").alias("removed_chunks"), F.col("_made.lines").alias("removed_lines"))
     return out
 
 
