@@ -32,6 +32,7 @@ from framelake.llm.scratch import Scratch
 from framelake.llm.words import shingle_sets
 
 BLOCK = 1 << 16
+BATCH = 1000  # texts or pairs of sets that a Python worker gets at once
 SKETCH = 1024  # bits
 HEAVY = 100_000  # a list that may be longer is dealt out by a salt at first
 _NO_ID = 1 << 62  # rows without an id count from here on
@@ -186,9 +187,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, owner)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = spark.sparkContext.broadcast(shingle_counts(docs.select("text"), words, bits))
+    with scratch.batches(BATCH):
+        counts = spark.sparkContext.broadcast(shingle_counts(docs.select("text"), words, bits))
     schema = "doc_id long, node long, n long, key binary, sketch binary, prefix array<struct<shingle: long, salt: short>>"
-    prefixes = scratch.table("prefixes", docs.mapInArrow(_prefixes(words, bits, counts, num, den), schema))
+    prefixes = scratch.table("prefixes", docs.mapInArrow(_prefixes(words, bits, counts, num, den), schema), BATCH)
 
     classes = scratch.table("classes", prefixes.where("n > 0").groupBy("key").agg(F.min("node").alias("vid")))
     chosen = prefixes.join(classes.withColumnRenamed("key", "k"), (F.col("node") == F.col("vid")) & (F.col("key") == F.col("k")))
@@ -215,10 +217,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 4, den: int =
         keys = known.select("vid", "key").join(ids, "vid")
         named = docs.join(keys, F.col("doc_id") == F.col("vid")).select("vid", "key", "text")
         nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("vid"), F.lit(None).cast("binary").alias("key"), "text")
-        sets = scratch.table(f"sets-{turn}", named.unionByName(nameless).mapInArrow(_sets_of(words), "vid long, raw binary"))
+        sets = scratch.table(f"sets-{turn}", named.unionByName(nameless).mapInArrow(_sets_of(words), "vid long, raw binary"), BATCH)
         left = near.join(sets.select(F.col("vid").alias("a"), F.col("raw").alias("x")), "a")
         full = left.join(sets.select(F.col("vid").alias("b"), F.col("raw").alias("y")), "b").select("a", "b", "x", "y")
-        links = scratch.table(f"links-{turn}", full.mapInArrow(_verify(num, den), "a long, b long"))
+        links = scratch.table(f"links-{turn}", full.mapInArrow(_verify(num, den), "a long, b long"), BATCH)
         scratch.drop(f"near-{turn}", f"sets-{turn}")
         return links
 

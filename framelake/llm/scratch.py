@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -41,11 +44,23 @@ class Scratch:
         Scratch._kept.setdefault(self.owner, []).append(path)
         return path
 
-    def table(self, label: str, df: DataFrame) -> DataFrame:
+    def table(self, label: str, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """``batch``: rows that Python workers get at once, where rows are wide."""
         path = self.folder(label)
-        df.write.parquet(path)
+        with self.batches(batch):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextlib.contextmanager
+    def batches(self, rows: int | None) -> Iterator[None]:
+        before = self.spark.conf.get(_BATCH)
+        if rows:
+            self.spark.conf.set(_BATCH, str(rows))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(_BATCH, before)
+
     def drop(self, *labels: str) -> None:
         for label in labels:
             path = self.paths.pop(label, None)
