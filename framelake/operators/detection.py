@@ -65,6 +65,11 @@ def _vp8(c: Column, text: Column) -> Column:
     return (F.octet_length(c) >= 10) & ((be(c, 0, 1) >= 128) | magic(c, (3, b"\x9d\x01\x2a")))
 
 
+def _unit(c: Column) -> Column:
+    """The byte after a start code at the front."""
+    return F.when(magic(c, (0, b"\0\0\0\1")), be(c, 4, 1)).when(magic(c, (0, b"\0\0\1")), be(c, 3, 1))
+
+
 def _tar(c: Column, text: Column) -> Column:
     return magic(c, (257, b"ustar"))
 
@@ -148,6 +153,8 @@ GATES: tuple[tuple[int, str, Marks | Gate], ...] = (
     (75, "y4m", _four("YUV4MPEG2 ")),
     (77, "mpeg2", _m((0, b"\x00\x00\x01\xb3"))),
     (79, "apv", _m((4, b"aPv1"))),
+    (80, "avc", lambda c, text: _unit(c).bitwiseAND(F.lit(0x9F)).isin(7, 9)),
+    (81, "hevc", lambda c, text: _unit(c).bitwiseAND(F.lit(0xFE)).isin(64, 66, 68, 70)),
     (82, "vp8", _vp8),
     (85, "ffv1", _four("FFV1")),
     (88, "aic", _any(_four("AIC "), _four("aic ", offset=4))),
@@ -161,6 +168,10 @@ GATES: tuple[tuple[int, str, Marks | Gate], ...] = (
     (96, "huffyuv", _four("HFYU")),
     (97, "lagarith", _four("LAGS")),
     (98, "ac3", _m((0, b"\x0b\x77"))),
+    (99, "ac4", _any(_m((0, b"\xac\x40")), _m((0, b"\xac\x41")))),
+    (100, "dts", _m((0, b"\x7f\xfe\x80\x01"))),
+    (101, "dts_uhd", _m((0, b"\x40\x41\x1b\xf2"))),
+    (102, "aac_adts", lambda c, text: magic(c, (0, b"\xff")) & (be(c, 1, 1) >= 0xF0) & (F.shiftright(be(c, 2, 1), 2).bitwiseAND(F.lit(15)) < 13)),
     (105, "als", _m((0, b"ALS\x00"))),
     (106, "ape", _four("MAC ", "MACF")),
     (107, "au", _long(_four(".snd"), 24)),

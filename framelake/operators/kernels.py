@@ -225,6 +225,8 @@ def jpeg(data: bytes, f: Found) -> bool:
             overhead += size + 2
             if mark == 0xE0 and body[:5] == b"JFIF\0":
                 jfif = f"{body[5]}.{body[6]:02d}"
+            elif mark == 0xE1 and body[:6] == b"Exif\0\0":
+                exif(body[6:], f)
         at += 2 + max(size, 2)
     if frame is None:
         return False
@@ -300,6 +302,7 @@ def tiff(data: bytes, f: Found) -> bool:
     # Compressions and colour interpretations.
     packed = {1: "Raw", 2: "CCITT RLE", 3: "CCITT Group 3", 4: "CCITT Group 4", 5: "LZW", 6: "JPEG", 7: "JPEG", 8: "Deflate", 32773: "PackBits"}.get(tags.get(259, 1))
     space = {0: "Y", 1: "Y", 2: "RGB", 3: "Palette", 5: "CMYK", 6: "YUV", 8: "Lab"}.get(tags.get(262))
+    exif(data, f)
     f.many(I, Format=packed, Format_Settings_Endianness="Little" if little else "Big", Width=tags.get(256), Height=tags.get(257), BitDepth=tags.get(258), Compression_Mode="Lossy" if packed == "JPEG" else "Lossless", ColorSpace=space)
     return True
 
@@ -673,9 +676,319 @@ def swf(data: bytes, f: Found) -> bool:
     return True
 
 
+class Bits:
+    """Bits from the most significant one on; zeros after the end."""
+
+    def __init__(self, data: bytes):
+        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+
+    def take(self, n: int) -> int:
+        if n > self.left:
+            self.left = 0
+            return 0
+        self.left -= n
+        return self.value >> self.left & (1 << n) - 1
+
+    def ue(self) -> int:
+        """Unsigned Exp-Golomb number."""
+        zeros = 0
+        while self.left and not self.take(1):
+            zeros += 1
+        return (1 << zeros) - 1 + self.take(zeros) if zeros < 33 else 0
+
+    def se(self) -> int:
+        k = self.ue()
+        return (k + 1) // 2 if k % 2 else -(k // 2)
+
+
+def nal_units(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """Units between start codes in the first ``limit`` bytes, without emulation prevention."""
+    end, at = min(len(data), limit), data.find(b"\0\0\1", 0, limit)
+    while at >= 0:
+        after = data.find(b"\0\0\1", at + 3, end)
+        yield data[at + 3 : after if after >= 0 else end].replace(b"\0\0\3", b"\0\0").rstrip(b"\0")
+        at = after
+
+
+# Profiles, chroma formats and the sample aspect ratios of idc 1 to 16.
+AVC_PROFILES = {66: "Baseline", 77: "Main", 88: "Extended", 100: "High", 110: "High 10", 122: "High 4:2:2", 244: "High 4:4:4 Predictive"}
+CHROMA = {0: None, 1: "4:2:0", 2: "4:2:2", 3: "4:4:4"}
+ASPECTS = ((1, 1), (12, 11), (10, 11), (16, 11), (40, 33), (24, 11), (20, 11), (32, 11), (80, 33), (18, 11), (15, 11), (64, 33), (160, 99), (4, 3), (3, 2), (2, 1))
+
+
+def avc(data: bytes, f: Found) -> bool:
+    sps = next((n for n in nal_units(data) if n and n[0] & 31 == 7), None)
+    if sps is None or len(sps) < 5:
+        return False
+    profile, level, b = sps[1], sps[3], Bits(sps[4:])
+    b.ue()
+    chroma, depth = 1, 8
+    if profile in (100, 110, 122, 244, 44, 83, 86, 118, 128):
+        chroma = b.ue()
+        if chroma == 3:
+            b.take(1)
+        depth = b.ue() + 8
+        b.ue()
+        b.take(1)
+        if b.take(1):
+            for k in range(8 if chroma != 3 else 12):
+                if b.take(1):
+                    last = after = 8
+                    for _ in range(16 if k < 6 else 64):
+                        after = (last + b.se()) % 256 if after else 0
+                        last = after or last
+    b.ue()
+    order = b.ue()
+    if order == 0:
+        b.ue()
+    elif order == 1:
+        b.take(1)
+        b.se()
+        b.se()
+        for _ in range(min(b.ue(), 255)):
+            b.se()
+    references = b.ue()
+    b.take(1)
+    wide, high, frames = b.ue() + 1, b.ue() + 1, b.take(1)
+    if not frames:
+        b.take(1)
+    b.take(1)
+    width, height = wide * 16, high * 16 * (2 - frames)
+    if b.take(1):
+        x, y = (1, 1) if chroma in (0, 3) else (2, 2 if chroma == 1 else 1)
+        left, right, top, bottom = b.ue(), b.ue(), b.ue(), b.ue()
+        width, height = width - (left + right) * x, height - (top + bottom) * y * (2 - frames)
+    shape, rate = (1, 1), None
+    if b.take(1):
+        if b.take(1):
+            idc = b.take(8)
+            shape = (b.take(16), b.take(16)) if idc == 255 else ASPECTS[idc - 1] if 1 <= idc <= 16 else (1, 1)
+        if b.take(1):
+            b.take(1)
+        if b.take(1):
+            b.take(4)
+            if b.take(1):
+                b.take(24)
+        if b.take(1):
+            b.ue()
+            b.ue()
+        if b.take(1):
+            unit, scale = b.take(32), b.take(32)
+            rate = scale / (2 * unit) if unit else None
+    if width <= 0 or height <= 0:
+        return False
+    ratio = shape[0] / shape[1] if shape[1] else 1.0
+    f.many(V, Format="AVC", Format_Profile=AVC_PROFILES.get(profile), Format_Level=f"{level / 10:g}", Format_Settings_RefFrames=references, Width=width, Height=height, Sampled_Width=wide * 16, Sampled_Height=high * 16 * (2 - frames))
+    f.many(V, PixelAspectRatio=three(ratio), DisplayAspectRatio=three(width * ratio / height), FrameRate=three(rate) if rate else None, ColorSpace="YUV", ChromaSubsampling=CHROMA.get(chroma), BitDepth=depth, ScanType="Progressive" if frames else "Interlaced")
+    f.many(G, Format="AVC", VideoCount=1, FrameRate=three(rate) if rate else None)
+    return True
+
+
+# Sampling rates by index.
+ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
+
+
+def aac_adts(data: bytes, f: Found) -> bool:
+    if u(data, 0, 2) >> 4 != 0xFFF or len(data) < 7 or (data[2] >> 2 & 15) >= len(ADTS_RATES):
+        return False
+    profile, rate, channels = data[2] >> 6, ADTS_RATES[data[2] >> 2 & 15], (data[2] & 1) << 2 | data[3] >> 6
+    at = frames = 0
+    while u(data, at, 2) >> 4 == 0xFFF and at + 7 <= len(data):
+        size = u(data, at + 3, 3) >> 5 & 0x1FFF
+        if size < 7:
+            break
+        at, frames = at + size, frames + 1
+    ms = milliseconds(frames * 1024, rate)
+    f.many(G, Format="ADTS", AudioCount=1, StreamSize=0, OverallBitRate_Mode="VBR")
+    places = LAYOUTS.get(channels, (None, None))
+    f.many(A, Format="AAC", Format_Version="2" if data[1] & 8 else "4", Format_AdditionalFeatures={0: "Main", 1: "LC", 2: "SSR", 3: "LTP"}[profile], CodecID=profile + 1, BitRate_Mode="VBR", BitRate=len(data) * 8000 // ms if ms else None)
+    f.many(A, Channels=channels or None, ChannelPositions=places[0], ChannelLayout=places[1], SamplesPerFrame=1024, SamplingRate=rate, FrameRate=three(rate / 1024), FrameCount=frames, SamplingCount=frames * 1024, Duration=ms or None, Compression_Mode="Lossy", StreamSize=len(data))
+    return True
+
+
+# Bit rates in kb/s, channels by acmod, sampling rates.
+AC3_RATES = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640)
+AC3_CHANNELS = (2, 1, 2, 3, 3, 4, 4, 5)
+
+
+def ac3(data: bytes, f: Found) -> bool:
+    if data[:2] != b"\x0b\x77" or len(data) < 8:
+        return False
+    b, enhanced = Bits(data[2:16]), data[5] >> 3 > 10
+    if enhanced:
+        b.take(5)
+        frame, code = (b.take(11) + 1) * 2, b.take(2)
+        rate, blocks = (0, 6) if code == 3 else ((48000, 44100, 32000)[code], (1, 2, 3, 6)[b.take(2)])
+        if code == 3:
+            rate = (24000, 22050, 16000, 0)[b.take(2)]
+        mode, low, bsid, dialnorm = b.take(3), b.take(1), b.take(5), b.take(5)
+        samples = blocks * 256
+    else:
+        b.take(16)
+        code, size, bsid, _, mode = b.take(2), b.take(6), b.take(5), b.take(3), b.take(3)
+        if code == 3 or size // 2 >= len(AC3_RATES):
+            return False
+        rate, samples = (48000, 44100, 32000)[code], 1536
+        frame = 2 * (AC3_RATES[size // 2] * 96000 // rate + (size & 1 if code == 1 else 0))
+        if mode & 1 and mode != 1:
+            b.take(2)
+        if mode & 4:
+            b.take(2)
+        if mode == 2:
+            b.take(2)
+        low, dialnorm = b.take(1), b.take(5)
+    if not rate:
+        return False
+    bps = frame * 8 * rate // samples if enhanced else AC3_RATES[size // 2] * 1000
+    ms = int(len(data) * 8000 / bps + 0.5)
+    name = "E-AC-3" if enhanced else "AC-3"
+    f.many(G, Format=name, AudioCount=1)
+    f.many(A, Format=name, Format_Settings_Endianness="Big", BitRate_Mode="CBR", BitRate=bps, Channels=AC3_CHANNELS[mode] + low, SamplesPerFrame=samples, SamplingRate=rate, FrameCount=len(data) // frame, SamplingCount=(ms * rate + 500) // 1000, FrameRate=three(rate / samples), Duration=ms, Compression_Mode="Lossy", StreamSize=ms * bps // 8000)
+    f.many(A, ServiceKind="CM", bsid=bsid, dialnorm=-dialnorm if dialnorm else -31, acmod=mode, lfeon=low)
+    return True
+
+
+# Stream types of program maps.
+TS_TYPES = {
+    1: (V, "MPEG Video"), 2: (V, "MPEG Video"), 3: (A, "MPEG Audio"), 4: (A, "MPEG Audio"), 6: (None, None), 0x0F: (A, "AAC"), 0x10: (V, "MPEG-4 Visual"), 0x11: (A, "AAC"), 0x1B: (V, "AVC"), 0x24: (V, "HEVC"), 0x80: (A, "PCM"),
+    0x81: (A, "AC-3"), 0x82: (A, "DTS"), 0x83: (A, "TrueHD"), 0x87: (A, "E-AC-3"), 0x90: (T, "PGS"), 0xEA: (V, "VC-1"),
+}
+
+
+def _sections(data: bytes, step: int, lead: int, pid: int, limit: int) -> Iterator[bytes]:
+    """Tables that begin and end in one packet of a program id."""
+    for at in range(lead, min(len(data), limit) - 187, step):
+        if data[at] == 0x47 and u(data, at + 1, 2) & 0x5FFF == 0x4000 | pid:
+            body = at + 4 + (1 + data[at + 4] if data[at + 3] & 0x20 else 0)
+            body += 1 + data[body]
+            size = u(data, body + 1, 2) & 0xFFF
+            if body + 3 + size <= at + 188:
+                yield data[body : body + 3 + size]
+
+
+def mpeg_ts(data: bytes, f: Found) -> bool:
+    step, lead = next(((s, o) for s, o in ((188, 0), (192, 4), (204, 0)) if len(data) >= 16 * s and all(data[o + s * k] == 0x47 for k in range(16))), (0, 0))
+    limit = 2 << 20
+    pat = next(_sections(data, step, lead, 0, limit), None) if step else None
+    if pat is None or pat[0] != 0:
+        return False
+    f.many(G, Format="BDAV" if step == 192 else "MPEG-TS", InternetMediaType="video/mp2t", ID=u(pat, 3, 2))
+    n, menus = {V: 0, A: 0, T: 0}, 0
+    for at in range(8, len(pat) - 7, 4):
+        program, pid = u(pat, at, 2), u(pat, at + 2, 2) & 0x1FFF
+        pmt = next(_sections(data, step, lead, pid, limit), None) if program else None
+        if pmt is None or pmt[0] != 2:
+            continue
+        k, order, formats = 12 + (u(pmt, 10, 2) & 0xFFF), 0, []
+        while k + 5 <= len(pmt) - 4:
+            code, es, more = pmt[k], u(pmt, k + 1, 2) & 0x1FFF, u(pmt, k + 3, 2) & 0xFFF
+            kind, name = TS_TYPES.get(code, (None, None))
+            tags, d = {}, k + 5
+            while d + 2 <= min(k + 5 + more, len(pmt)):
+                tags[pmt[d]] = pmt[d + 2 : d + 2 + pmt[d + 1]]
+                d += 2 + pmt[d + 1]
+            if code == 6:
+                kind, name = next(((kd, nm) for t, kd, nm in ((0x6A, A, "AC-3"), (0x7A, A, "E-AC-3"), (0x7B, A, "DTS"), (0x59, T, "DVB Subtitle"), (0x56, T, "Teletext")) if t in tags), (None, None))
+            if kind is not None:
+                f.many(kind, n[kind], StreamOrder=f"{menus}-{order}", ID=es, MenuID=program, Format=name, CodecID=code, Language=text(tags[0x0A][:3]) if 0x0A in tags else None)
+                n[kind] += 1
+                formats.append(name)
+            order += 1
+            k += 5 + more
+        f.many(M, menus, StreamOrder=menus, ID=pid, MenuID=program, Format=" / ".join(formats) or None)
+        menus += 1
+    f.many(G, VideoCount=n[V] or None, AudioCount=n[A] or None, TextCount=n[T] or None, MenuCount=menus or None)
+    return True
+
+
+def dsf(data: bytes, f: Found) -> bool:
+    if data[:4] != b"DSD " or data[28:32] != b"fmt " or len(data) < 80:
+        return False
+    version, _, kind, channels, rate, bits, samples = struct.unpack_from("<IIIIIIQ", data, 40)
+    places = LAYOUTS.get(channels, (None, None))
+    f.many(G, Format="DSF", Format_Version=version, AudioCount=1)
+    f.many(A, Format="DSD", ChannelPositions=places[0], ChannelLayout=places[1], Channels=channels, SamplingRate=rate, Format_Settings_Endianness="Little" if bits == 1 else "Big", BitDepth=1, SamplingCount=samples, Duration=milliseconds(samples, rate) or None, Compression_Mode="Lossless", BitRate_Mode="CBR", BitRate=rate * channels)
+    return True
+
+
+def caf(data: bytes, f: Found) -> bool:
+    if data[:4] != b"caff" or data[8:12] != b"desc" or len(data) < 52:
+        return False
+    rate, codec = struct.unpack_from(">d", data, 20)[0], data[28:32].decode("latin-1")
+    _, per_packet, frames, channels, bits = struct.unpack_from(">IIIII", data, 32)
+    f.many(G, Format="CAF", Format_Version=u(data, 4, 2), AudioCount=1)
+    name = {"lpcm": "PCM", "alac": "ALAC", "aac ": "AAC", "ima4": "ADPCM", "ulaw": "µ-law", "alaw": "A-law", ".mp3": "MPEG Audio"}.get(codec, codec)
+    f.many(A, Format=name, SamplingRate=int(rate + 0.5) if 0 < rate < 1e9 else None, Channels=channels, BitDepth=bits or None, BitRate=int(rate * per_packet * 8 / frames) if frames and per_packet and 0 < rate < 1e9 else None)
+    return True
+
+
+def dts(data: bytes, f: Found) -> bool:
+    if data[:4] != b"\x7f\xfe\x80\x01" or len(data) < 16:
+        return False
+    b = Bits(data[4:16])
+    b.take(7)
+    blocks, size, mode, hz, code = b.take(7) + 1, b.take(14) + 1, b.take(6), b.take(4), b.take(5)
+    # Sampling rates, bit rates and channels by code.
+    rate = {1: 8000, 2: 16000, 3: 32000, 6: 11025, 7: 22050, 8: 44100, 11: 12000, 12: 24000, 13: 48000}.get(hz)
+    bps = dict(enumerate((32, 56, 64, 96, 112, 128, 192, 224, 256, 320, 384, 448, 512, 576, 640, 768, 960, 1024, 1152, 1280, 1344, 1408, 1411.2, 1472, 1509))).get(code)
+    channels = (1, 2, 2, 2, 2, 3, 3, 4, 4, 5)[mode] if mode < 10 else None
+    if not rate or size < 96:
+        return False
+    b.take(9)
+    samples, low = blocks * 32, b.take(2) in (1, 2)
+    f.many(G, Format="DTS", AudioCount=1)
+    f.many(A, Format="DTS", Format_Settings_Endianness="Big", Format_Settings_Mode=16, BitRate_Mode="CBR", BitRate=int(bps * 1000) if bps else None, Channels=channels + low if channels else None, SamplingRate=rate, SamplesPerFrame=samples, FrameRate=three(rate / samples), SamplingCount=len(data) // size * samples, Duration=milliseconds(len(data) // size * samples, rate), Compression_Mode="Lossy", StreamSize=len(data))
+    return True
+
+
+# Public EXIF tags by directory.
+EXIF_TAGS = {
+    270: "ImageDescription", 271: "Make", 272: "Model", 274: "Orientation", 305: "Software", 306: "DateTime", 315: "Artist", 33432: "Copyright", 33434: "ExposureTime", 33437: "FNumber", 34850: "ExposureProgram", 34855: "PhotographicSensitivity",
+    36867: "DateTimeOriginal", 36868: "DateTimeDigitized", 37377: "ShutterSpeedValue", 37378: "ApertureValue", 37380: "ExposureBiasValue", 37383: "MeteringMode", 37385: "Flash", 37386: "FocalLength", 41989: "FocalLengthIn35mmFilm", 42035: "LensMake", 42036: "LensModel",
+}
+GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude"}
+X = 7
+
+
+def exif(data: bytes, f: Found) -> bool:
+    """Fields of a TIFF structure, as JPEG's Exif segment or a TIFF file has them, with positions in degrees."""
+    if data[:4] not in (b"II*\0", b"MM\0*"):
+        return False
+    little, found = data[:2] == b"II", {}
+
+    def walk(at: int, names: dict[int, str], depth: int) -> None:
+        for k in range(min(u(data, at, 2, little), 512)):
+            row = at + 2 + 12 * k
+            tag, kind, n = u(data, row, 2, little), u(data, row + 2, 2, little), u(data, row + 4, 4, little)
+            width = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}.get(kind, 0)
+            where = row + 8 if width * n <= 4 else u(data, row + 8, 4, little)
+            if tag in (34665, 34853) and depth == 0:
+                walk(u(data, row + 8, 4, little), EXIF_TAGS if tag == 34665 else GPS_TAGS, 1)
+            if tag not in names or not width or not 0 < n <= 1 << 16 or where + width * n > len(data):
+                continue
+            if kind == 2:
+                value = text(data[where : where + n], "latin-1")
+            elif kind in (5, 10):
+                pairs = [(int.from_bytes(data[where + 8 * j : where + 8 * j + 4], "little" if little else "big", signed=kind == 10), u(data, where + 8 * j + 4, 4, little)) for j in range(min(n, 8))]
+                value = [a / b if b else 0.0 for a, b in pairs]
+            else:
+                value = u(data, where, width, little)
+            found.setdefault(names[tag], value)
+
+    walk(u(data, 4, 4, little), EXIF_TAGS, 0)
+    for name, value in found.items():
+        f.put(X, name, (f"{value[0]:g}" if len(value) == 1 else " ".join(f"{v:g}" for v in value)) if isinstance(value, list) else value)
+    for axis, minus in (("Latitude", "S"), ("Longitude", "W")):
+        parts = found.get(f"GPS{axis}")
+        if isinstance(parts, list) and len(parts) >= 3:
+            f.put(X, f"GPS{axis}Decimal", f"{(parts[0] + parts[1] / 60 + parts[2] / 3600) * (-1 if found.get(f'GPS{axis}Ref') == minus else 1):.6f}")
+    return bool(found)
+
+
 #: Kernels by the name of their parser.
 KERNELS: dict[str, Callable[[bytes, Found], bool]] = {
     "wav": wav, "aiff": aiff, "flac": flac, "png": png, "jpeg": jpeg, "webp": webp, "ico": ico, "tiff": tiff, "mp3": mp3, "ogg": ogg, "mp4": mp4, "mkv": mkv, "avi": avi, "y4m": y4m, "swf": swf,
+    "avc": avc, "aac_adts": aac_adts, "ac3": ac3, "mpeg_ts": mpeg_ts, "dsf": dsf, "caf": caf, "dts": dts,
 }
 
 

@@ -103,7 +103,68 @@ def webp():
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
+def bits(*pairs):
+    """Bytes of (value, size) pairs and of plain numbers as Exp-Golomb codes."""
+    out = ""
+    for p in pairs:
+        out += f"{p[0]:0{p[1]}b}" if isinstance(p, tuple) else (lambda b: "0" * (len(b) - 1) + b)(f"{p + 1:b}")
+    out += "1"
+    out += "0" * (-len(out) % 8)
+    return int(out, 2).to_bytes(len(out) // 8, "big")
+
+
+def avc():
+    sps = b"\x67" + bytes([77, 0, 40]) + bits(0, 0, 0, 0, 4, (0, 1), 119, 67, (1, 1), (1, 1), (1, 1), 0, 0, 0, 4, (0, 1))
+    return b"\0\0\0\1" + sps.replace(b"\0\0\0", b"\0\0\3\0") + b"\0\0\1\x65data"
+
+
+def adts():
+    head = bits((0xFFF, 12), (0, 1), (0, 2), (1, 1), (1, 2), (4, 4), (0, 1), (2, 3), (0, 4), (107, 13), (0x7FF, 11), (0, 2))[:7]
+    return (head + bytes(100)) * 43
+
+
+def ac3():
+    frame = b"\x0b\x77" + bits((0, 16), (0, 2), (30, 6), (8, 5), (0, 3), (7, 3), (0, 2), (0, 2), (1, 1), (27, 5))
+    return frame.ljust(1792, b"\0") * 10
+
+
+def ts():
+    def packet(pid, body):
+        return (struct.pack(">BHB", 0x47, 0x4000 | pid, 0x10) + b"\0" + body).ljust(188, b"\xff")
+
+    pat = b"\0\xb0\x0d\0\x09\xc1\0\0" + struct.pack(">HH", 3, 0xE000 | 256) + bytes(4)
+    streams = struct.pack(">BHH", 0x1B, 0xE000 | 257, 0xF000) + struct.pack(">BHH", 0x0F, 0xE000 | 258, 0xF006) + b"\x0a\x04eng\0"
+    pmt = b"\2" + struct.pack(">H", 0xB000 | 13 + len(streams)) + struct.pack(">HBBBHH", 3, 0xC1, 0, 0, 0xE000 | 257, 0xF000) + streams + bytes(4)
+    return packet(0, pat) + packet(256, pmt) + packet(257, b"x") * 20
+
+
+def dsf():
+    return b"DSD " + bytes(24) + b"fmt " + struct.pack("<QIIIIIIQ", 52, 1, 0, 2, 2, 2822400, 1, 2822400) + bytes(20)
+
+
+def caf():
+    return b"caff\0\1\0\0desc" + struct.pack(">Qd", 32, 48000.0) + b"lpcm" + struct.pack(">IIIII", 0, 4, 1, 2, 16)
+
+
+def dts():
+    frame = b"\x7f\xfe\x80\x01" + bits((0, 7), (15, 7), (1005, 14), (9, 6), (13, 4), (24, 5), (0, 9), (1, 2))
+    return frame.ljust(1006, b"\0") * 3
+
+
+def exif():
+    rows = struct.pack("<HHI4s", 271, 2, 3, b"Me\0\0") + struct.pack("<HHII", 34853, 4, 1, 38)
+    gps = struct.pack("<H", 2) + struct.pack("<HHI4s", 1, 2, 2, b"S\0\0\0") + struct.pack("<HHII", 2, 5, 3, 70) + bytes(4)
+    return b"II*\0" + struct.pack("<IH", 8, 2) + rows + bytes(4) + gps + bytes(2) + struct.pack("<IIIIII", 10, 1, 30, 1, 0, 1)
+
+
 SAMPLES = {
+    "avc": (avc(), {(1, 0, "Width"): "1920", (1, 0, "Height"): "1080", (1, 0, "Format_Profile"): "Main", (1, 0, "Format_Level"): "4", (1, 0, "ScanType"): "Progressive", (1, 0, "Format_Settings_RefFrames"): "4"}),
+    "aac_adts": (adts(), {(2, 0, "SamplingRate"): "44100", (2, 0, "Channels"): "2", (2, 0, "FrameCount"): "43", (2, 0, "Format_Version"): "4", (2, 0, "CodecID"): "2", (0, 0, "Format"): "ADTS"}),
+    "ac3": (ac3(), {(2, 0, "BitRate"): "448000", (2, 0, "Channels"): "6", (2, 0, "FrameCount"): "10", (2, 0, "Duration"): "320", (2, 0, "dialnorm"): "-27"}),
+    "mpeg_ts": (ts(), {(0, 0, "ID"): "9", (1, 0, "Format"): "AVC", (1, 0, "ID"): "257", (2, 0, "Language"): "eng", (6, 0, "Format"): "AVC / AAC", (0, 0, "MenuCount"): "1"}),
+    "dsf": (dsf(), {(2, 0, "SamplingRate"): "2822400", (2, 0, "Duration"): "1000"}),
+    "caf": (caf(), {(2, 0, "SamplingRate"): "48000", (2, 0, "BitRate"): "1536000", (2, 0, "Format"): "PCM"}),
+    "dts": (dts(), {(2, 0, "SamplingRate"): "48000", (2, 0, "Channels"): "6", (2, 0, "BitRate"): "1509000", (2, 0, "SamplesPerFrame"): "512"}),
     "wav": (wav(), {(2, 0, "Duration"): "1000", (2, 0, "SamplingCount"): "44100", (2, 0, "BitRate"): "1411200", (2, 0, "Format_Settings_Sign"): "Signed", (0, 0, "Format"): "Wave"}),
     "aiff": (aiff(), {(2, 0, "SamplingRate"): "44100", (2, 0, "Duration"): "1000", (2, 0, "StreamSize"): "400", (2, 0, "BitRate"): "3200.0000000000"}),
     "flac": (flac(), {(2, 0, "Duration"): "2000", (2, 0, "Channels"): "2", (2, 0, "BitDepth"): "16", (0, 0, "Track"): "Song", (0, 0, "Performer"): "Who", (2, 0, "MD5_Unencoded"): bytes(range(16)).hex().upper(), (0, 0, "StreamSize"): "0"}),
@@ -154,6 +215,11 @@ def test_wav_cases():
     assert got[0, 0, "Title"] == "Title" and got[0, 0, "Format_Commercial"] == "Broadcast Wave" and got[0, 0, "TimeReference"] == "48000" and got[0, 0, "Recorded_Date"] == "2020-01-02"
 
 
+def test_exif_in_jpeg():
+    got = parsed("jpeg", jpeg()[:2] + b"\xff\xe1" + struct.pack(">H", len(exif()) + 8) + b"Exif\0\0" + exif() + jpeg()[2:])
+    assert got[7, 0, "Make"] == "Me" and got[7, 0, "GPSLatitudeDecimal"] == "-10.500000" and got[5, 0, "Width"] == "800"
+
+
 def test_numbers():
     assert extended(bytes.fromhex("400eac44000000000000")) == 44100.0
     assert vint(b"\x81", 0, False) == (1, 1) and vint(b"\x40\x02", 0, False) == (2, 2) and vint(b"\x1a\x45\xdf\xa3", 0, True) == (0x1A45DFA3, 4)
