@@ -40,7 +40,8 @@ AV1_LEVELS = (
 
 
 def lookup(key: Column, table: dict[str, str], otherwise: Column | None = None) -> Column:
-    found = F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    found = F.try_element_at(F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")"), key)
     return found if otherwise is None else F.coalesce(found, otherwise)
 
 

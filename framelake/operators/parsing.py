@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.model import KERNEL_FIELD, kind_name
@@ -36,6 +37,18 @@ def _kernel_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([path, fields], ["path", "fields"])
 
 
+_made: dict[int, Column] = {}
+
+
+def _layouts() -> Column:
+    """The layouts of all parsers as one expression; made once for each JVM, as it has some thousand nodes."""
+    key = id(SparkContext._gateway)
+    if key not in _made:
+        _made.clear()
+        _made[key] = layout_fields(F.col("parser"), F.col("content"))
+    return _made[key]
+
+
 def parse(files: DataFrame, policy: str = "compat", parser: str | None = None) -> DataFrame:
     """The fields of all ``files`` (path, content), by detection or by one parser called for all.
 
@@ -46,7 +59,7 @@ def parse(files: DataFrame, policy: str = "compat", parser: str | None = None) -
     if parser:
         found = found.where(F.lit(parser in KERNELS or parser in LAYOUTS or parser in NAMES))
     walked = F.col("parser").isin(*KERNELS)
-    rows = found.where("parser is not null").select("path", "parser", F.when(walked, F.col("content")).alias("content"), layout_fields(F.col("parser"), F.col("content")).alias("fields"))
+    rows = found.where("parser is not null").select("path", "parser", F.when(walked, F.col("content")).alias("content"), _layouts().alias("fields"))
     if parser is None or parser in KERNELS:
         rows = rows.mapInArrow(_kernel_fields, f"path string, fields array<{KERNEL_FIELD}>")
     rows = rows.select("path", F.posexplode("fields").alias("ord", "f"))
