@@ -25,6 +25,17 @@ class Marks:
         self.alternatives, self.least = alternatives, least
 
 
+class Text:
+    """A gate that reads the head as text. It is only tried on blobs whose first byte may begin such a text."""
+
+    def __init__(self, gate: Gate):
+        self.gate = gate
+
+
+#: Blanks, a byte order mark, and the characters that the text gates' formats begin with.
+TEXT_STARTS = tuple(b"\t\n\x0b\x0c\r \xef<#[0123456789vWIMH")
+
+
 def _m(*marks: tuple[int, bytes]) -> Marks:
     return Marks(marks)
 
@@ -33,17 +44,17 @@ def _any(*gates: Marks) -> Marks:
     return Marks(*[a for g in gates for a in g.alternatives])
 
 
-def _long(gate: Marks | Gate, least: int) -> Marks | Gate:
+def _long(gate: Marks | Text, least: int) -> Marks | Text:
     if isinstance(gate, Marks):
         return Marks(*gate.alternatives, least=least)
-    return lambda c, text: (F.octet_length(c) >= least) & gate(c, text)
+    return Text(lambda c, text: (F.octet_length(c) >= least) & gate.gate(c, text))
 
 
 def _four(*codes: str, offset: int = 0) -> Marks:
     return Marks(*[((offset, c.encode("latin-1")),) for c in codes])
 
 
-def _root(names: str, *needs: str) -> Gate:
+def _root(names: str, *needs: str) -> Text:
     """XML whose root element has one of the names, after declaration, comments and doctype, and whose head holds one of
     the needed strings."""
     pattern = rf"(?s)^(?:\xEF\xBB\xBF)?\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<![^>]*>\s*)*<(?:{names})[\s/>]"
@@ -54,11 +65,11 @@ def _root(names: str, *needs: str) -> Gate:
             out = out & text.rlike("|".join(re.escape(n) for n in needs))
         return out
 
-    return run
+    return Text(run)
 
 
-def _rlike(pattern: str) -> Gate:
-    return lambda c, text: text.rlike(pattern)
+def _rlike(pattern: str) -> Text:
+    return Text(lambda c, text: text.rlike(pattern))
 
 
 def _vp8(c: Column, text: Column) -> Column:
@@ -83,7 +94,7 @@ def _any_bytes(c: Column, text: Column) -> Column:
 
 
 # Place in the historic order, name, and the marks of each format.
-GATES: tuple[tuple[int, str, Marks | Gate], ...] = (
+GATES: tuple[tuple[int, str, Marks | Text | Gate], ...] = (
     (0, "wav", _any(_m((0, b"RIFF"), (8, b"WAVE")), _m((0, b"RF64"), (8, b"WAVE")))),
     (1, "avi", _m((0, b"RIFF"), (8, b"AVI "))),
     (2, "cdxa", _m((0, b"RIFF"), (8, b"CDXA"), (12, b"fmt "))),
@@ -109,7 +120,7 @@ GATES: tuple[tuple[int, str, Marks | Gate], ...] = (
     (22, "dcp_cpl", _root("CompositionPlaylist", "PROTO-ASDCP-CPL", "smpte-ra.org/schemas/")),
     (23, "dcp_pkl", _root("PackingList", "PROTO-ASDCP-PKL", "smpte-ra.org/schemas/")),
     (26, "aaf", _m((0, b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"), (8, b"\x41\x41\x46\x42\x0d\x00\x4f\x4d"))),
-    (28, "bdmv", lambda c, text: text.rlike(r"^(INDX|MOBJ|MPLS|HDMV)\d{4}")),
+    (28, "bdmv", _rlike(r"^(INDX|MOBJ|MPLS|HDMV)\d{4}")),
     (29, "dvdv", _four("DVDVIDEO-VMG", "DVDVIDEO-VTS")),
     (31, "flv", _m((0, b"FLV\x01"))),
     (32, "lxf", _m((0, b"LEITCH\x00\x00"))),
@@ -131,7 +142,7 @@ GATES: tuple[tuple[int, str, Marks | Gate], ...] = (
     (53, "cmml", _root("cmml")),
     (54, "ttml", _root("tt", "http://www.w3.org/ns/ttml")),
     (55, "n19", _m((3, b"STL"))),
-    (56, "sub_rip", _sub_rip),
+    (56, "sub_rip", Text(_sub_rip)),
     (57, "other_text", _long(_rlike(r"(?s)^(?:\xEF\xBB\xBF)?\s*(\[Script Info\]|<SAMI>)"), 0x200)),
     (58, "dsf", _m((0, b"DSD "), (28, b"fmt "))),
     (59, "png", _m((0, b"\x89PNG\r\n\x1a\n"), (12, b"IHDR"))),
@@ -199,7 +210,7 @@ GATES: tuple[tuple[int, str, Marks | Gate], ...] = (
     (139, "rle", _any_bytes),
     (146, "mga", _four("MGA ")),
     (148, "pdf", _four("%PDF-")),
-    (149, "sdp", lambda c, text: text.startswith("v=0") & text.contains("m=")),
+    (149, "sdp", Text(lambda c, text: text.startswith("v=0") & text.contains("m="))),
     (150, "pac", _four("PAC ", "PAC\x00")),
     (152, "scte20", _four("SCTE", "scte")),
     (156, "webvtt", _rlike(r"^(?:\xEF\xBB\xBF)?WEBVTT")),
@@ -250,7 +261,9 @@ def detect(content: Column, policy: str = "compat") -> Column:
             (by_start.setdefault(a[0][1][:4], []) if a[0][0] == 0 and len(a[0][1]) >= 4 else others).append(_row(i, g.least, a))
     starts = F.expr("map(" + ", ".join(f"X'{k.hex()}', array({', '.join(rows)})" for k, rows in by_start.items()) + ")")
     by_marks = F.least(lowest(F.try_element_at(starts, F.substring(content, 1, 4))), lowest(F.expr(f"array({', '.join(others)})")))
-    first = F.least(by_marks, *[F.when(F.coalesce(g(content, text), F.lit(False)), i) for i, _, g in gates if not isinstance(g, Marks)])
+    met = lambda gate, i: F.when(F.coalesce(gate(content, text), F.lit(False)), i)
+    by_text = F.when(be(content, 0, 1).isin(*TEXT_STARTS), F.least(*[met(g.gate, i) for i, _, g in gates if isinstance(g, Text)]))
+    first = F.least(by_marks, by_text, *[met(g, i) for i, _, g in gates if not isinstance(g, (Marks, Text))])
     names = F.expr("map(" + ", ".join(f"{i}, '{n}'" for i, n, _ in gates) + ")")
     return F.when((F.octet_length(content) > 0) & first.isNotNull(), F.struct(F.element_at(names, first).alias("parser"), first.alias("parser_idx")))
 

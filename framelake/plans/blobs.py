@@ -10,6 +10,11 @@ from framelake.functions.binary import to_be, to_le
 RATES = (8000, 44100, 48000)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt out over all cores before they grow into blobs, as a small table is often one row group."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _bytes(raw: bytes) -> Column:
     return F.lit(bytes(raw))
 
@@ -23,27 +28,27 @@ def wav_blobs(lineitem: DataFrame) -> DataFrame:
     data = F.unhex(F.repeat(F.lit("00"), size.cast("int")))
     content = F.concat(_bytes(b"RIFF"), to_le(size + 36, 4), _bytes(b"WAVEfmt "), to_le(F.lit(16), 4), fmt, _bytes(b"data"), to_le(size, 4), data)
     path = F.concat_ws("/", F.lit("wav"), "l_orderkey", "l_linenumber", F.xxhash64(*lineitem.columns))
-    return lineitem.select(path.alias("path"), content.alias("content"))
+    return spread(lineitem).select(path.alias("path"), content.alias("content"))
 
 
 def bmp_blobs(part: DataFrame) -> DataFrame:
     bits = F.when(F.col("p_partkey") % 2 == 0, 24).otherwise(8)
     width, height = F.col("p_size") + 16, F.col("p_partkey") % 1000 + 16
     content = F.concat(_bytes(b"BM"), to_le(F.lit(54), 4), _bytes(bytes(4)), to_le(F.lit(54), 4), to_le(F.lit(40), 4), to_le(width, 4), to_le(height, 4), to_le(F.lit(1), 2), to_le(bits, 2), _bytes(bytes(24)))
-    return part.select(F.concat(F.lit("bmp/"), "p_partkey").alias("path"), content.alias("content"))
+    return spread(part).select(F.concat(F.lit("bmp/"), "p_partkey").alias("path"), content.alias("content"))
 
 
 def gif_blobs(part: DataFrame) -> DataFrame:
     version = F.when(F.col("p_partkey") % 3 == 0, "GIF87a").otherwise("GIF89a")
     content = F.concat(version.cast("binary"), to_le(F.col("p_size") + 16, 2), to_le(F.col("p_partkey") % 1000 + 16, 2), _bytes(b"\0\0\0;"))
-    return part.select(F.concat(F.lit("gif/"), "p_partkey").alias("path"), content.alias("content"))
+    return spread(part).select(F.concat(F.lit("gif/"), "p_partkey").alias("path"), content.alias("content"))
 
 
 def png_blobs(orders: DataFrame) -> DataFrame:
     width, height = F.col("o_orderkey") % 4000 + 1, F.col("o_custkey") % 3000 + 1
     colour = F.element_at(F.array(*[F.lit(x) for x in (0, 2, 3, 4, 6)]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     content = F.concat(_bytes(b"\x89PNG\r\n\x1a\n"), to_be(F.lit(13), 4), _bytes(b"IHDR"), to_be(width, 4), to_be(height, 4), to_be(F.lit(8), 1), to_be(colour, 1), _bytes(bytes(7)), _bytes(bytes(4)), _bytes(b"IEND"), _bytes(bytes(4)))
-    return orders.select(F.concat(F.lit("png/"), "o_orderkey").alias("path"), content.alias("content"))
+    return spread(orders).select(F.concat(F.lit("png/"), "o_orderkey").alias("path"), content.alias("content"))
 
 
 def elf_blobs(supplier: DataFrame) -> DataFrame:
