@@ -134,3 +134,12 @@ def test_sources_and_streaming(spark, tmp_path):
 def test_diffing(spark):
     a, b = (spark.createDataFrame([("p", t)], "path string, text string") for t in ("x\ny\ny", "y\nz"))
     assert sorted((r.line, r.n) for r in diffing.line_differences(a, b).collect()) == [("x", 1), ("y", 2)]
+
+
+def test_export_queries_cover_every_row(spark, tmp_path):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_orderkey <= 4")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert rows.where("l_linenumber > 1").count()
+    for form in FORMS:
+        made = queries.QUERIES[f"export_{form}"](spark, str(tmp_path))
+        assert made.count() == made.select("path").distinct().count() == rows.count()
