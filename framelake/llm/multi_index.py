@@ -137,20 +137,13 @@ def _compare(width: int, cosine: float) -> Callable:
                 links = dict.fromkeys(ids[q].tolist(), 0)
                 for i, n in [*zip(ids[q].tolist(), forward.tolist()), *zip(ids[m].tolist(), backward.tolist())]:
                     links[i] = links.get(i, 0) + n
-                out = [(v, links.get(v, 0), low) for v, low in _merge(_spread(hits, ids[q], ids[m]))]
+                # A vertex that is both a query and a member may reach two least vertices: both pairs go on, links on one.
+                out = [(v, links.pop(v, 0), low) for v, low in dict.fromkeys(_spread(hits, ids[q], ids[m]))]
         return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["id", "links", "low"])
 
     return run
 
 
-def _merge(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """One pair a vertex: a vertex that is both a query and a member reaches the same least vertex, or links it."""
-    low: dict[int, int] = {}
-    for v, m in pairs:
-        low[v] = min(m, low.get(v, m))
-    return list(low.items())
-
-
 def near_duplicate_vectors(rows: DataFrame, cosine: float = 0.95, recall: float = RECALL, owner: str = "op7") -> DataFrame:
     """Links the rows of ``rows`` (vec_id, embedding; others are ignored) whose cosine, in double precision, is at least
     ``cosine``, and labels components.

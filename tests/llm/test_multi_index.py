@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
+from framelake.llm import multi_index
 from framelake.llm.multi_index import multi_sequence, near_duplicate_vectors
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -68,3 +70,31 @@ def test_multi_sequence_order():
     assert len(set(found)) == 63
     sums = [a[i] + b[j] for i, j in found]
     assert sums == sorted(sums)
+
+
+def test_both_sides_of_a_vertex_keep_their_least():
+    turn = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
+    rows = [(3, True, turn(15)), (2, True, turn(30)), (3, False, turn(15)), (1, False, turn(0))]
+    table = pa.table({
+        "id": [r[0] for r in rows], "query": [r[1] for r in rows], "v": [r[2] for r in rows], "copies": [1] * 4, "own": [0] * 4,
+        "visited": pa.array([None, None, [0], [0]], pa.list_(pa.int64())),
+    })
+    out = multi_index._compare(2, 0.95)(table).to_pylist()
+    assert {(r["id"], r["low"]) for r in out if r["id"] != r["low"]} == {(3, 1), (3, 2)}
+    links = {}
+    for r in out:
+        links[r["id"]] = links.get(r["id"], 0) + r["links"]
+    assert links == {1: 0, 2: 1, 3: 1}
+
+
+def test_chains_in_dealt_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = []
+    for group in range(12):
+        a, b = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        rows += [(a * math.cos(0.2 * k) + b * math.sin(0.2 * k)).astype(np.float32).tolist() for k in range(25)]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(rows)), rows)]
+    whole = run(spark, rows)
+    monkeypatch.setattr(multi_index, "MEMBERS", 3)
+    monkeypatch.setattr(multi_index, "QUERIES", 2)
+    assert run(spark, rows) == whole
