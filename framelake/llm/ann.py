@@ -96,16 +96,23 @@ def _exact(ids: np.ndarray, q: np.ndarray, k: int) -> Callable:
 
 
 def _counts(bits: int) -> Callable:
-    """How many rows of a part of one tree share each query's prefix of every length: ranges of the sorted array."""
+    """How many rows of a part of one tree share each query's prefix of every length: ranges of the sorted array. n
+    counts all rows, different each vec_id at most once; queries that share an id get their sum, and the least."""
 
     def run(table: pa.Table) -> pa.Table:
         query = table.column("query").to_numpy(zero_copy_only=False).astype(bool)
         strings, ids = table.column("string").to_numpy(), table.column("id").to_numpy()
         members, mine = np.sort(strings[~query]), strings[query]
+        single = np.sort(strings[~query][np.unique(ids[~query], return_index=True)[1]])
         depths = np.arange(bits + 1)
         low = (mine[:, None] >> (bits - depths)) << (bits - depths)
-        n = np.searchsorted(members, low + (np.int64(1) << (bits - depths)).astype(np.int64)) - np.searchsorted(members, low)
-        return pa.table({"id": pa.array(ids[query]), "n": lists(n.astype(np.int64), pa.int64())})
+        high = low + (np.int64(1) << (bits - depths)).astype(np.int64)
+        own, place = np.unique(ids[query], return_inverse=True)
+        n, different = np.zeros((len(own), bits + 1), np.int64), np.full((len(own), bits + 1), len(single), np.int64)
+        np.add.at(n, place, np.searchsorted(members, high) - np.searchsorted(members, low))
+        np.minimum.at(different, place, np.searchsorted(single, high) - np.searchsorted(single, low))
+        bucket = [table.column(c)[:1].take(pa.array(np.zeros(len(own), np.int64))) if len(own) else table.column(c)[:0] for c in ("tree", "bucket")]
+        return pa.table({"tree": bucket[0], "bucket": bucket[1], "id": pa.array(own), "n": lists(n, pa.int64()), "different": lists(different, pa.int64())})
 
     return run
 
@@ -164,9 +171,14 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20, recall: fl
         return joined.withColumn("part", F.explode(part)).withColumn("side", F.explode(side)).drop("a", "b")
 
     def counted(pending: DataFrame | None, depth: int) -> DataFrame:
-        """For each query the rows that share its prefix, over all trees, for every length."""
-        n = parts(pending, depth).select("tree", "bucket", "part", "side", "id", "query", "string").groupBy("tree", "bucket", "part", "side").applyInArrow(_counts(BITS), "id long, n array<long>")
-        return n.groupBy("id").agg(F.array(*[F.sum(F.element_at("n", d + 1)) for d in range(BITS + 1)]).alias("n"))
+        """For each query the rows that share its prefix, over all trees, for every length; 0 where no tree alone holds
+        ``k`` different rows beside the query's own, as the same rows may count in every tree."""
+        cut = parts(pending, depth).select("tree", "bucket", "part", "side", "id", "query", "string")
+        n = cut.groupBy("tree", "bucket", "part", "side").applyInArrow(_counts(BITS), "tree int, bucket long, id long, n array<long>, different array<long>")
+        sums = lambda c: F.array(*[F.sum(F.element_at(c, d + 1)) for d in range(BITS + 1)]).alias(c)
+        trees = n.groupBy("id", "tree", "bucket").agg(sums("n"), sums("different"))
+        most = F.array(*[F.max(F.element_at("different", d + 1)) for d in range(BITS + 1)]).alias("different")
+        return trees.groupBy("id").agg(sums("n"), most).select("id", F.zip_with("n", "different", lambda a, b: F.when(b > k, a).otherwise(F.lit(0).cast("long"))).alias("n"))
 
     sample = hashed.where("query").orderBy(F.xxhash64("id", F.lit(2)), "id").dropDuplicates(["id"]).limit(SAMPLE).collect()
     need = _candidates_needed(hashed, forest, sample, counted, k, recall)

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 
+from framelake.llm import ann
 from framelake.llm.ann import nearest_neighbours
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -49,3 +50,13 @@ def test_odd_rows(spark):
     got = run(spark, [(*r, 1) for r in rows], SCHEMA + ", query int")
     assert got == {0: [(6, 2.0), (1, 1.0), (20, 1.0)], 20: [(6, 2.0), (0, 1.0), (1, 1.0)]}
     assert run(spark, []) == {} and run(spark, [(20, [1.0])]) == {}
+
+
+def test_no_query_stops_short(spark, monkeypatch):
+    monkeypatch.setattr(ann, "_candidates_needed", lambda *_: 20)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((240, 24))
+    rows = [(i, (centres[i % 240] + 0.001 * rng.standard_normal(24)).astype(np.float32).tolist()) for i in range(1200)]
+    got = run(spark, rows)
+    assert set(got) == {i for i, _ in rows if i % 20 == 0}
+    assert {len(found) for found in got.values()} == {20}
