@@ -27,10 +27,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated chunks of lines from the texts. Documents that this leaves without a word are dropped, as all
+    """Removes repeated chunks of lines from the texts, those of one line next to another. Documents that this leaves without a word are dropped, as all
     they had is kept elsewhere; those that had none before stay."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = remove_repeated_chunks(docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others")), owner="pipeline-op1")
+    out = remove_repeated_chunks(docs.select("doc_id", "text", F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("others")), owner="pipeline-op1", runs=True)
     emptied = (F.col("removed_lines") > 0) & (F.trim(F.translate("text", "\t\n\r\x0b\x0c", "     ")) == "")
     own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return out.where(~F.coalesce(emptied, F.lit(False))).select(*[own.get(c, F.col("others")[c]).alias(c) for c in docs.columns])

@@ -34,19 +34,20 @@ def _with_chunks(df: DataFrame, text: Column, average: int) -> DataFrame:
     return df.drop("_lines", "_hashes", "_rolling", "_ends")
 
 
-def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, owner: str = "op1") -> DataFrame:
+def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, owner: str = "op1", runs: bool = False) -> DataFrame:
     """Removes the repeated chunks of ``docs`` (doc_id, text); other columns are kept as they are.
 
     Adds removed_chunks and removed_lines, and returns a row for each row. Lines are what newlines separate. A text all
     of whose lines go becomes empty; null stays null. Rows without doc_id come after all others, so their chunks go if
     any other row has them, and among themselves by nothing but their place, so that they keep their own. Rows that
-    share a doc_id and a place share an occurrence: copies of one row keep or lose the same lines.
+    share a doc_id and a place share an occurrence: copies of one row keep or lose the same lines. With ``runs``, a
+    repeated chunk of fewer than ``least`` lines goes too where it stands next to another repeated chunk.
     """
     scratch = Scratch(docs.sparkSession, owner)
     fields = docs.columns
     order = lambda: F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "start")
     cut = _with_chunks(docs.select("doc_id", "text"), F.col("text"), average)
-    exploded = cut.select("doc_id", F.explode(F.filter("_chunks", lambda c: c["size"] >= least)).alias("c"))
+    exploded = cut.select("doc_id", F.explode(F.filter("_chunks", lambda c: c["size"] >= (1 if runs else least))).alias("c"))
     pieces = exploded.select("doc_id", "c.start", F.array_join("c.lines", "\n").alias("piece"))
     hashed = pieces.withColumn("hash", F.unhex(F.md5(F.col("piece").cast("binary"))))
 
@@ -63,10 +64,15 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
 
     def bad(c: Column) -> Column:
         key = F.struct(c["start"].alias("start"), F.unhex(F.md5(F.array_join(c["lines"], "\n").cast("binary"))).alias("hash"))
-        return (c["size"] >= least) & F.array_contains(F.col("gone"), key)
+        return (c["size"] >= (1 if runs else least)) & F.array_contains(F.col("gone"), key)
 
     marked = _with_chunks(joined, F.when(F.col("gone").isNotNull(), F.col("_text")), average)
     marked = marked.withColumn("_chunks", F.transform("_chunks", lambda c: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), bad(c).alias("bad"))))
+    if runs:
+        # A column of its own, as each chunk looks at three flags.
+        marked = marked.withColumn("_flags", F.transform("_chunks", lambda c: c["bad"]))
+        beside = lambda k: F.coalesce(F.when(k > 0, F.get("_flags", k - 1)), F.lit(False)) | F.coalesce(F.get("_flags", k + 1), F.lit(False))
+        marked = marked.withColumn("_chunks", F.transform("_chunks", lambda c, k: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), (c["bad"] & ((c["size"] >= least) | beside(k))).alias("bad"))))
     kept = F.array_join(F.flatten(F.transform(F.filter("_chunks", lambda c: ~c["bad"]), lambda c: c["lines"])), "\n")
     lost = F.filter("_chunks", lambda c: c["bad"])
     made = F.struct(

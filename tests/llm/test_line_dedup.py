@@ -66,3 +66,31 @@ def test_no_python_in_plan(spark, tmp_path):
     out = remove_repeated_chunks(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_take_one_line_chunks_along(spark):
+    rng = random.Random(4)
+    rows = [(k, "\n".join(f"own {k} {j}" for j in range(rng.randint(2, 14)))) for k in range(40)]
+    rows += [(100 + k, t) for k, t in rows] + [(200, rows[0][1].split("\n")[0]), (201, None), (202, "")]
+    assert any(len(lines) == 1 for _, t in rows[:40] for _, lines in chunks(t))
+    out = remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"), runs=True)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert all(got[k] == ("" if 100 <= k < 140 else t) for k, t in rows)
+
+
+def test_runs_keep_each_line_once(spark):
+    rng = random.Random(5)
+    rows = [(k, "\n".join(f"line {rng.randint(0, 30)}" for _ in range(rng.randint(0, 12)))) for k in range(60)]
+    first = {}
+    for i, t in rows:
+        for start, lines in chunks(t):
+            first.setdefault(tuple(lines), (i, start))
+    want = {}
+    for i, t in rows:
+        cut = chunks(t)
+        again = [first[tuple(lines)] != (i, start) for start, lines in cut]
+        kept = [lines for n, (_, lines) in enumerate(cut) if not (again[n] and (len(lines) > 1 or any(again[max(n - 1, 0) : n] + again[n + 1 : n + 2])))]
+        want[i] = "\n".join(x for c in kept for x in c)
+    out = remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string"), runs=True)
+    assert {r.doc_id: r.text for r in out.collect()} == want
+    assert {x for t in want.values() for x in t.split("\n")} >= {x for _, t in rows for x in t.split("\n")} - {""}
