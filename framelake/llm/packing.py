@@ -41,7 +41,21 @@ def byte_level_encoder(path: str, pattern: str) -> Callable[[str], list[int]]:
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
     ranks = {bytes(byte_of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if token not in special}
     encoder = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return functools.partial(encoder.encode, allowed_special="all", disallowed_special=())
+
+    def encode(text: str) -> list[int]:
+        try:
+            return encoder.encode(text, allowed_special="all", disallowed_special=())
+        except ValueError:  # its matcher has no stack for runs of about a million blanks
+            return _slow_encoder(path).encode(text, add_special_tokens=False).ids
+
+    return encode
+
+
+@functools.lru_cache(maxsize=4)
+def _slow_encoder(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
 
 
 class Piece:
@@ -143,10 +157,10 @@ class Packer:
         return kept, back
 
 
-def _pack_documents(path: str, pattern: str, tokens: int, segments: int) -> Callable:
+def _pack_documents(path: str, pattern: str, tokens: int, segments: int, loss_tokens: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_level_encoder(path, pattern)
-        packer = Packer(tokens, segments)
+        packer = Packer(tokens, segments, loss_tokens)
         sequence = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
 
@@ -165,9 +179,9 @@ def _pack_documents(path: str, pattern: str, tokens: int, segments: int) -> Call
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, text, loss in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = np.array([*encode(text or ""), END], dtype=np.uint32)
-                placed(packer.add(Piece(doc_id, 0, ids, np.ones(len(ids), dtype=bool), len(ids))))
+                placed(packer.add(Piece(doc_id, 0, ids, np.full(len(ids), loss, dtype=bool), len(ids))))
                 if len(rows) >= 10_000:
                     yield flushed()
         placed(packer.finish())
@@ -176,17 +190,23 @@ def _pack_documents(path: str, pattern: str, tokens: int, segments: int) -> Call
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS) -> DataFrame:
-    """Packs the tokens of ``docs`` (doc_id, text; others are ignored) into sequences of ``tokens`` at most.
+def pack_documents(
+    docs: DataFrame, path: str | None = None, pattern: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, key: str = "doc_id", loss: str | None = None, loss_tokens: int | None = None
+) -> DataFrame:
+    """Packs the tokens of ``docs`` (``key`` and text; others are ignored) into sequences of ``tokens`` at most.
 
     A document is its ids under the tokenizer file at ``path`` and then ``END``; null counts as empty text, which still
-    has its ``END``. All its ids bear loss. Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
-    sequence_id and offset. Documents are packed where they are read, without a shuffle; every sequence is full but
-    those few of a task whose length is a smaller power of two. Rows that share a doc_id are documents of their own.
-    An empty table gives no rows.
+    has its ``END``. ``loss`` names a boolean column that tells whether a row's ids bear loss, as those of an answer do
+    and those of a prompt don't (null: they don't); without it all do. ``loss_tokens`` limits those of a sequence; a
+    sequence that has reached that limit before its others may be cut to a power of two. Returns a row for each piece:
+    doc_id (the key), start, length, ids_crc32, doc_tokens, sequence_id and offset. Documents are packed where they are
+    read, without a shuffle; without a limit on loss every sequence is full but those few of a task whose length is a
+    smaller power of two. Rows that share a key are documents of their own. An empty table gives no rows.
     """
     import public_tokenizers
 
     path, pattern = path or public_tokenizers.path("byte_bpe_50k.json"), pattern or public_tokenizers.PATTERN
     schema = ", ".join(f"{c} long" for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pack_documents(path, pattern, tokens, segments), schema)
+    bears = F.coalesce(F.col(loss), F.lit(False)) if loss else F.lit(True)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), bears.alias("loss"))
+    return rows.mapInArrow(_pack_documents(path, pattern, tokens, segments, loss_tokens), schema)

@@ -25,6 +25,14 @@ def test_ids_equal_tokenizers():
         assert encode(t or "") == other.encode(t or "", add_special_tokens=False).ids
 
 
+def test_very_long_runs():
+    encode = byte_level_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for run in (" " * 2_000_000, "\n" * 2_000_000, "ab" * 1_000_000, "%$" * 1_000_000, "7" * 2_000_000):
+        text = f"a{run}b"
+        assert encode(text) == other.encode(text, add_special_tokens=False).ids
+
+
 def test_round_trip(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = [(k, t, "clash") for k, t in enumerate(texts())]
@@ -64,5 +72,27 @@ def test_limits_hold_together():
     assert sum(len(p.ids) for b in bins for p in b) == total
 
 
+def test_loss_bearing_tokens_of_conversations(spark):
+    """Prompts bear no loss; the three limits hold together, and the one on loss is what binds."""
+    rng = random.Random(3)
+    rows = [(k, t, ("user", "assistant", None)[t % 3], "".join(rng.choice(["the ", "of ", "x! "]) for _ in range(rng.randrange(400)))) for k in range(60) for t in range(rng.randrange(1, 6))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("conv_id * 100 + turn as example", "role = 'assistant' as answers", "text")
+    out = pack_documents(turns, tokens=512, segments=8, key="example", loss="answers", loss_tokens=100).collect()
+    answers, pieces = {k * 100 + t for k, t, role, _ in rows if role == "assistant"}, defaultdict(list)
+    for r in out:
+        pieces[r.sequence_id].append(r)
+    for own in pieces.values():
+        size = sum(r.length for r in own)
+        assert size <= 512 and size & (size - 1) == 0 and len(own) <= 8 and sum(r.length for r in own if r.doc_id in answers) <= 100
+    assert max(sum(r.length for r in own if r.doc_id in answers) for own in pieces.values()) == 100
+    by_doc = defaultdict(list)
+    for r in out:
+        by_doc[r.doc_id].append(r)
+    assert set(by_doc) == {k * 100 + t for k, t, _, _ in rows}
+    for own in by_doc.values():
+        own.sort(key=lambda r: r.start)
+        assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) == own[0].doc_tokens
+
+
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
