@@ -1,6 +1,7 @@
 import random
 import re
 
+from framelake.llm import jaccard_join
 from framelake.llm.jaccard_join import jaccard_components
 
 
@@ -73,6 +74,36 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_ids_of_any_size_and_none(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    ids = [(1 << 62) + 3, (1 << 62) + 1, (1 << 63) - 1, -(1 << 63), -4, None, None, None]
+    rows = [(i, f"{near} {k}") for k, i in enumerate(ids)]
+    rows += [((1 << 63) - 2 - k, f"other {near.upper()[:-4]} {k}") for k in range(3)]
+    rows += [(None, f"{near[::-1]} {k}") for k in range(4)]
+    assert run(spark, rows) == brute(rows)
+    positive = [(i, t) for i, t in rows if i is None or i > 0]
+    assert run(spark, positive) == brute(positive)
+
+
+def test_texts_that_share_ids_and_repeat(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "g h i j k l"), (9, "g h i j k l"), (9, "m n o p q r"), (3, "m n o p q r")]
+    rows += [(20, "s t u v w x")] * 30 + [(21, "s t u v w x y")] * 30 + [(22, None), (22, "s t u v w")]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_hot_lists_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HEAVY", 4)
+    rows = corpus(3)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{k % 70001}" for k in range(300_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 2_000_000), (4, " " * 1_000_000)]
+    got = run(spark, rows)
+    assert [r[2] for r in got] == [1, 1, 3, 4] and got[2][1] == 1 and got[3][1] == 0
+
+
 def test_clashing_columns(spark):
     rows = [(1, "a b c d e f", 3, "k"), (2, "a b c d e f", None, None)]
     out = run(spark, rows, "doc_id int, text string, n long, key string")
