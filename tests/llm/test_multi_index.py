@@ -30,7 +30,7 @@ def brute(rows, cosine=0.95):
                 up[find(a)] = find(b)
     low = {}
     for k, (i, _) in enumerate(rows):
-        low[find(k)] = min(i if i is not None else 1 << 62, low.get(find(k), 1 << 62))
+        low[find(k)] = min(i if i is not None else 1 << 64, low.get(find(k), 1 << 64))
     return {i: (n[k], low[find(k)], low[find(k)] == i) for k, (i, _) in enumerate(rows) if i is not None}
 
 
@@ -63,6 +63,57 @@ def test_odd_rows(spark):
     assert run(spark, [(1, [0.0]), (2, None)]) == {1: (0, 1, True), 2: (0, 2, True)}
 
 
+def test_each_width_on_its_own(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for width, groups in ((8, 400), (5, 30), (3, 20)):
+        for _ in range(groups):
+            base = rng.standard_normal(width)
+            rows += [(base + 0.05 * rng.standard_normal(width)).astype(np.float32).tolist() for _ in range(int(rng.integers(1, 7)))]
+    rows = [(int(i), v) for i, v in zip(rng.permutation(len(rows)), rows)]
+    got = run(spark, rows)
+    for width in (8, 5, 3):
+        own = [r for r in rows if len(r[1]) == width]
+        want = brute(own)
+        assert sum(got[i][0] for i in want) >= 0.97 * sum(r[0] for r in want.values())
+        assert all(got[i][0] <= want[i][0] for i in want)
+        if width < 8:  # few enough for one cell
+            assert all(got[i] == want[i] for i in want)
+
+
+def test_recall_of_links_on_planted_neighbours(spark):
+    """On the given vectors with a planted neighbour at cosine 0.95 to 1 for each, with the parameters of the query."""
+    rng = np.random.default_rng(8)
+    rows = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    planted = []
+    for i, v in rows:
+        v = v / np.linalg.norm(v)
+        noise = rng.standard_normal(len(v))
+        noise -= (noise @ v) * v
+        c = rng.uniform(0.951, 1.0)
+        planted += [(i, v.astype(np.float32).tolist()), (100_000 + i, (c * v + math.sqrt(1 - c * c) * noise / np.linalg.norm(noise)).astype(np.float32).tolist())]
+    want, got = brute_matrix(planted), run(spark, planted)
+    assert sum(want.values()) >= len(planted)
+    assert all(got[i][0] <= want[i] for i in want)
+    assert sum(r[0] for r in got.values()) >= 0.95 * sum(want.values())
+
+
+def brute_matrix(rows, cosine=0.95):
+    x = np.array([v for _, v in rows], dtype=np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return dict(zip([i for i, _ in rows], ((x @ x.T >= cosine).sum(axis=1) - 1).tolist()))
+
+
+def test_the_grid_grows_with_the_table():
+    cells = [multi_index.grid_words(n) ** 2 for n in (10_000, 50_000, 250_000, 1_000_000)]
+    assert all(b >= 4 * a for a, b in zip(cells, cells[1:]))
+
+
+def test_ids_near_the_ends(spark):
+    rows = [((1 << 63) - 1, [1.0, 0.0]), ((1 << 63) - 2, [1.0, 0.01]), (-(1 << 63), [0.0, 1.0]), (-5, [0.01, 1.0]), ((1 << 62) + 1, [1.0, 0.02])]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(9)
@@ -76,10 +127,10 @@ def test_both_sides_of_a_vertex_keep_their_least():
     turn = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
     rows = [(3, True, turn(15)), (2, True, turn(30)), (3, False, turn(15)), (1, False, turn(0))]
     table = pa.table({
-        "id": [r[0] for r in rows], "query": [r[1] for r in rows], "v": [r[2] for r in rows], "copies": [1] * 4, "own": [0] * 4,
+        "width": [2] * 4, "id": [r[0] for r in rows], "query": [r[1] for r in rows], "v": [r[2] for r in rows], "copies": [1] * 4, "own": [0] * 4,
         "visited": pa.array([None, None, [0], [0]], pa.list_(pa.int64())),
     })
-    out = multi_index._compare(2, 0.95)(table).to_pylist()
+    out = multi_index._compare(0.95)(table).to_pylist()
     assert {(r["id"], r["low"]) for r in out if r["id"] != r["low"]} == {(3, 1), (3, 2)}
     links = {}
     for r in out:
