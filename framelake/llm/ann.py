@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
-Every tree is an array of bit strings, the signs of random projections of the vectors, sorted by string. A query
+Every tree is an array of bit strings, the signs of random projections of the vectors, sorted by string; the strings are
+longer than any prefix that rows of a table of that size have in common by chance. A query
 descends in each tree to the strings that share its longest prefix, and then ascends in all trees at once, a bit a step,
 until the trees together hold as many candidates as the search needs. What it needs is fitted: on a bounded sample of
-queries, searched exactly, the smallest number of candidates with the recall that is asked for.
+queries, searched exactly, the smallest number of candidates with the recall that is asked for. Vectors of each width
+have a forest of their own; where they are few, each query is compared with all.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from framelake.llm.scratch import Scratch
-from framelake.llm.vectors import lists, matrix, usable, usual_width
+from framelake.llm.vectors import lists, matrix, usable
 
 TREES = 12
-BITS = 24
+SPARE = 8  # bits of a string beyond the logarithm of the number of rows
+FEW = 1000  # vectors of a width that are searched without a forest
 SAMPLE = 128  # queries that the number of candidates is fitted on
 RECALL = 0.97
 MEMBERS = 4096  # rows of a bucket that one task compares with QUERIES queries
@@ -31,7 +34,7 @@ class Forest:
     """Random projections of the trees. Vectors are scaled by the largest norm and lifted by one component to the unit
     sphere, queries are lifted by 0, so that the angle orders rows as the inner product does."""
 
-    def __init__(self, width: int, norm: float, trees: int = TREES, bits: int = BITS, seed: int = 8):
+    def __init__(self, width: int, norm: float, bits: int, trees: int = TREES, seed: int = 8):
         self.width, self.norm, self.trees, self.bits = width, norm, trees, bits
         self.planes = np.random.default_rng(seed).standard_normal((width + 1, trees * bits))
 
@@ -134,35 +137,61 @@ def _search(width: int, bits: int, k: int) -> Callable:
     return run
 
 
+def _search_all(k: int, every: int) -> Callable:
+    """Each query of a width against all of its rows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, ids = matrix(table.column("v"), table.column("width")[0].as_py()), table.column("id").to_numpy()
+        q = ids % every == 0
+        best: dict[tuple[int, int], float] = {}
+        # Rows may share an id: each finds up to as many more as there are such rows.
+        for a, b, score in _best(x[q], ids[q], x, ids, None, k + len(ids) - len(np.unique(ids))):
+            best[a, b] = max(score, best.get((a, b), -np.inf))
+        rows = [(a, b, score) for (a, b), score in best.items()]
+        return pa.table([pa.array([r[n] for r in rows], t) for n, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20, recall: float = RECALL, owner: str = "op8") -> DataFrame:
     """For each row of ``rows`` (vec_id, embedding; others are ignored) whose vec_id is divisible by ``every``, the ``k``
     rows found with the largest inner product, in double precision.
 
     Returns query_id, rank (from 1), vec_id and score; ties go to the smaller vec_id. A query has fewer rows only if
     there are fewer candidates. A row with the query's own vec_id is no candidate; of rows that share a vec_id one is
-    found at most. Vectors that are null or zero, hold null or non-finite components or have an unusual number of them,
-    and rows without vec_id, take no part. Every other row is indexed. The sample that the number of candidates is
-    fitted on are the ``SAMPLE`` queries with the lowest hash of vec_id.
+    found at most, and queries that share one get the best of what each finds. Vectors of another width than the
+    query's have no inner product with it. Vectors that are null or zero or hold null or non-finite components, and rows
+    without vec_id, take no part. Every other row is indexed. The sample that the number of candidates of a width is
+    fitted on are its ``SAMPLE`` queries with the lowest hash of vec_id.
     """
-    spark = rows.sparkSession
-    scratch = Scratch(spark, owner)
-    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where(F.col("id").isNotNull())
-    width = usual_width(rows, "v")
-    rows = rows.where(usable("v") & (F.size("v") == width)).withColumn("query", F.col("id") % every == 0)
-    out = "query_id long, rank int, vec_id long, score double"
-    norm, total = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.count("*")).first()
-    if not total:
-        return spark.createDataFrame([], out)
-    forest = Forest(width, norm or 1.0)
+    scratch = Scratch(rows.sparkSession, owner)
+    rows = rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).where(F.col("id").isNotNull() & usable("v")).withColumn("width", F.size("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    # At most a ``FEW``-th of the rows has a width that gets a forest.
+    wide = rows.groupBy("width").agg(F.max(norm).alias("norm"), F.count("*").alias("n")).where(F.col("n") > FEW).collect()
+    found = rows.where(~F.col("width").isin(*[r.width for r in wide])) if wide else rows
+    found = found.groupBy("width").applyInArrow(_search_all(k, every), "query_id long, vec_id long, score double")
+    for r in wide:
+        found = found.unionByName(_search_forest(scratch, rows.where(F.col("width") == r.width).drop("width"), r.width, r.norm, r.n, k, every, recall))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _search_forest(scratch: Scratch, rows: DataFrame, width: int, norm: float, total: int, k: int, every: int, recall: float) -> DataFrame:
+    """(query_id, vec_id, score) of what the queries among ``rows`` (id, v) of one width find, more than k each."""
+    bits = int(np.clip(int(total).bit_length() + SPARE, 16, 60))
+    rows = rows.withColumn("query", F.col("id") % every == 0)
+    forest = Forest(width, norm or 1.0, bits)
     both = rows.select("id", F.lit(False).alias("query"), "v").unionByName(rows.where("query").select("id", "query", "v"))
-    hashed = scratch.table("hashed", both.mapInArrow(_hashed(forest), f"id long, query boolean, strings array<long>, v {dict(rows.dtypes)['v']}"))
+    hashed = scratch.table(f"hashed-{width}", both.mapInArrow(_hashed(forest), f"id long, query boolean, strings array<long>, v {dict(rows.dtypes)['v']}"))
 
     def parts(pending: DataFrame | None, depth: int, *more: str) -> DataFrame:
         """The trees cut at ``depth``, each bucket dealt into parts of bounded size: rows with (tree, bucket, part, side)."""
         queries = hashed.where("query")
         queries = queries.join(pending, "id") if pending is not None else queries.withColumn("stop", F.lit(None).cast("int"))
         every_ = hashed.where("not query").withColumn("stop", F.lit(None).cast("int")).unionByName(queries)
-        flat = every_.select("id", "query", "stop", *more, F.posexplode("strings").alias("tree", "string")).withColumn("bucket", F.shiftright("string", BITS - depth))
+        flat = every_.select("id", "query", "stop", *more, F.posexplode("strings").alias("tree", "string")).withColumn("bucket", F.shiftright("string", bits - depth))
         sizes = flat.groupBy("tree", "bucket").agg(F.ceil(F.count_if(~F.col("query")) / MEMBERS).cast("int").alias("a"), F.ceil(F.count_if(F.col("query")) / QUERIES).cast("int").alias("b")).where("a > 0 and b > 0")
         joined = flat.join(sizes, ["tree", "bucket"])
         salt = F.xxhash64("id", F.lit(1))
@@ -174,35 +203,33 @@ def nearest_neighbours(rows: DataFrame, k: int = 20, every: int = 20, recall: fl
         """For each query the rows that share its prefix, over all trees, for every length; 0 where no tree alone holds
         ``k`` different rows beside the query's own, as the same rows may count in every tree."""
         cut = parts(pending, depth).select("tree", "bucket", "part", "side", "id", "query", "string")
-        n = cut.groupBy("tree", "bucket", "part", "side").applyInArrow(_counts(BITS), "tree int, bucket long, id long, n array<long>, different array<long>")
-        sums = lambda c: F.array(*[F.sum(F.element_at(c, d + 1)) for d in range(BITS + 1)]).alias(c)
+        n = cut.groupBy("tree", "bucket", "part", "side").applyInArrow(_counts(bits), "tree int, bucket long, id long, n array<long>, different array<long>")
+        sums = lambda c: F.array(*[F.sum(F.element_at(c, d + 1)) for d in range(bits + 1)]).alias(c)
         trees = n.groupBy("id", "tree", "bucket").agg(sums("n"), sums("different"))
-        most = F.array(*[F.max(F.element_at("different", d + 1)) for d in range(BITS + 1)]).alias("different")
+        most = F.array(*[F.max(F.element_at("different", d + 1)) for d in range(bits + 1)]).alias("different")
         return trees.groupBy("id").agg(sums("n"), most).select("id", F.zip_with("n", "different", lambda a, b: F.when(b > k, a).otherwise(F.lit(0).cast("long"))).alias("n"))
 
-    sample = hashed.where("query").orderBy(F.xxhash64("id", F.lit(2)), "id").dropDuplicates(["id"]).limit(SAMPLE).collect()
+    lowest = hashed.where("query").select("id").distinct().orderBy(F.xxhash64("id", F.lit(2)), "id").limit(SAMPLE)
+    sample = hashed.where("query").join(F.broadcast(lowest), "id").groupBy("id").agg(F.min("v").alias("v")).orderBy("id").collect()
     need = _candidates_needed(hashed, forest, sample, counted, k, recall)
 
-    depth = int(np.clip(np.floor(np.log2(max(1.0, total * forest.trees / need))) - 1, 0, BITS))
+    depth = int(np.clip(np.floor(np.log2(max(1.0, total * forest.trees / need))) - 1, 0, bits))
     found, pending = None, None
     while True:
-        at = F.array(*[F.when(F.col("n")[d] >= need, d) for d in range(depth, BITS + 1)])
+        at = F.array(*[F.when(F.col("n")[d] >= need, d) for d in range(depth, bits + 1)])
         counts = counted(pending, depth)
-        stops = scratch.table(f"stops-{depth}", counts.select("id", (F.coalesce(F.array_max(at), F.lit(0)) if not depth else F.array_max(at)).cast("int").alias("stop")))
+        stops = scratch.table(f"stops-{width}-{depth}", counts.select("id", (F.coalesce(F.array_max(at), F.lit(0)) if not depth else F.array_max(at)).cast("int").alias("stop")))
         ready = stops.where("stop is not null")
-        hits = parts(ready, depth, "v").groupBy("tree", "bucket", "part", "side").applyInArrow(_search(width, BITS, k), "query_id long, vec_id long, score double")
+        hits = parts(ready, depth, "v").groupBy("tree", "bucket", "part", "side").applyInArrow(_search(width, bits, k), "query_id long, vec_id long, score double")
         found = hits if found is None else found.unionByName(hits)
         if not depth:
-            break
+            return found
         # Queries whose buckets hold too little ascend further; those that share a bucket with no row are among them.
         known = ready.select(F.col("id").alias("done"))
-        pending = scratch.table(f"pending-{depth}", hashed.where("query").select("id").distinct().join(known, F.col("id") == F.col("done"), "left_anti").withColumn("stop", F.lit(None).cast("int")))
+        pending = scratch.table(f"pending-{width}-{depth}", hashed.where("query").select("id").distinct().join(known, F.col("id") == F.col("done"), "left_anti").withColumn("stop", F.lit(None).cast("int")))
         if pending.isEmpty():
-            break
+            return found
         depth = max(0, depth - 3)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _candidates_needed(hashed: DataFrame, forest: Forest, sample: list, counted: Callable, k: int, recall: float) -> int:
@@ -222,7 +249,7 @@ def _candidates_needed(hashed: DataFrame, forest: Forest, sample: list, counted:
     place = {int(i): n for n, i in enumerate(ids)}
     mine = forest.strings(q, True)[[place[r.query] for r in rows]]
     theirs = forest.strings(np.array([r.v for r in rows], dtype=np.float64), False)
-    shared = forest.bits - np.ceil(np.log2((mine ^ theirs) + 1.0)).astype(int).min(axis=1)
+    shared = np.array([forest.bits - min(int(x).bit_length() for x in row) for row in mine ^ theirs])
     need = k
     while need < 1 << 40:
         stop = np.array([max([d for d in range(forest.bits + 1) if counts[r.query][d] >= need], default=0) for r in rows])

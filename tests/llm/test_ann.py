@@ -60,3 +60,28 @@ def test_no_query_stops_short(spark, monkeypatch):
     got = run(spark, rows)
     assert set(got) == {i for i, _ in rows if i % 20 == 0}
     assert {len(found) for found in got.values()} == {20}
+
+
+def test_each_width_on_its_own(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.standard_normal((3, 5, 8)[k % 3]).astype(np.float32).tolist()) for k in range(900)] + [(900 + k, rng.standard_normal(6).astype(np.float32).tolist()) for k in range(1100)]
+    want, got = brute([r for r in rows if r[0] < 900 and r[0] % 3 == 0]), run(spark, rows)
+    assert set(got) == {k for k in range(2000) if k % 20 == 0}
+    assert all([b for b, _ in got[i]] == [b for b, _ in want[i]] for i in want)
+    width = {i: len(v) for i, v in rows}
+    assert all(len(found) == 20 and all(width[j] == width[i] for j, _ in found) for i, found in got.items())
+    best = brute([r for r in rows if r[0] >= 900])
+    assert np.mean([len({a for a, _ in best[i]} & {a for a, _ in got[i]}) / 20 for i in best]) >= 0.9
+
+
+def test_recall_on_the_given_table(spark):
+    """With the parameters of the query, against brute force over all rows."""
+    import __spark_entry__
+
+    found = {}
+    for r in __spark_entry__.queries()["op8_approximate_neighbours"](spark, "/root/testdata/sf0.1").collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    want = brute([(r.vec_id, r.embedding) for r in rows])
+    assert set(found) == set(want)
+    assert np.mean([len(found[i] & {j for j, _ in want[i]}) / len(want[i]) for i in want]) >= 0.95
