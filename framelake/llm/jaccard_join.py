@@ -219,7 +219,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     classes = scratch.table("keys", prefixes.where("n > 0").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.row", F.col("first.doc_id").alias("least")))
     classes = scratch.table("classes", _vertices(classes).join(classes.select("key", "row", "least"), "key"))
-    known = scratch.table("known", prefixes.join(classes.select("row", "vid"), "row").select("vid", "n", "key", "sketch", "prefix"))
+    # One plan at every size: a broadcast of the classes would be right for small tables only.
+    known = scratch.table("known", prefixes.join(classes.select("row", "vid").hint("merge"), "row").select("vid", "n", "key", "sketch", "prefix"))
     entries = known.select("vid", "n", F.posexplode("prefix").alias("pos", "e"))
     entries = entries.select("e.shingle", "e.salt", "vid", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")).repartition("shingle", "salt")
 
