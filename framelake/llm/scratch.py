@@ -62,7 +62,7 @@ class Scratch:
         """``batch``: rows that Python workers get at once, where rows are wide."""
         path = self.folder(label)
         with self.batches(batch):
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
