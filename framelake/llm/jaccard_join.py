@@ -219,7 +219,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     classes = scratch.table("keys", prefixes.where("n > 0").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.row", F.col("first.doc_id").alias("least")))
     classes = scratch.table("classes", _vertices(classes).join(classes.select("key", "row", "least"), "key"))
-    # One plan at every size: a broadcast of the classes would be right for small tables only.
+    # One plan at every size, here and where sets are fetched: a broadcast would be right for small tables only.
     known = scratch.table("known", prefixes.join(classes.select("row", "vid").hint("merge"), "row").select("vid", "n", "key", "sketch", "prefix"))
     entries = known.select("vid", "n", F.posexplode("prefix").alias("pos", "e"))
     entries = entries.select("e.shingle", "e.salt", "vid", F.shiftleft("n", 32).bitwiseOR(F.col("pos")).alias("np")).repartition("shingle", "salt")
@@ -254,8 +254,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
             sets = sets.unionByName(own.join(nameless, F.col("key") == F.col("k")).select(F.col("v").alias("vid"), "key", "raw"))
         # Copies of a row give their set once.
         sets = scratch.table(f"sets-{turn}", sets.groupBy("vid", "key").agg(F.first("raw").alias("raw")) if copied else sets, BATCH)
-        left = near.join(sets.select(F.col("vid").alias("a"), F.col("raw").alias("x")), "a")
-        full = left.join(sets.select(F.col("vid").alias("b"), F.col("raw").alias("y")), "b").select("a", "b", "x", "y")
+        left = near.join(sets.select(F.col("vid").alias("a"), F.col("raw").alias("x")).hint("merge"), "a")
+        full = left.join(sets.select(F.col("vid").alias("b"), F.col("raw").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
         links = scratch.table(f"links-{turn}", full.mapInArrow(_verify(num, den), "a long, b long"), BATCH)
         scratch.drop(f"near-{turn}", f"sets-{turn}", f"ids-{turn}")
         return links
