@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.scratch import Scratch
+from framelake.llm.spread import free_name, salted
 
 AVERAGE = 3  # lines between boundaries, on average
 LEAST = 2  # lines that a chunk must have to be removed
@@ -22,67 +23,84 @@ def _line_hash(line: Column) -> Column:
 
 
 def _with_chunks(df: DataFrame, text: Column, average: int) -> DataFrame:
-    """Adds _chunks, the text's chunks as structs (start, size, lines) in order; start counts lines from 0, null has
-    null. Each array is a column of its own on the way, so that it's made once."""
+    """Adds _chunks, the text's chunks in order, null for null. A chunk is a string of its lines, each after a dot, joined
+    by newlines; so two newlines in a row stand between chunks and nowhere else, and one split finds them in linear
+    time, however many there are. Each array is a column of its own on the way, so that it's made once."""
     df = df.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_hashes", F.transform("_lines", _line_hash))
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_hashes", F.lit(1), F.size("_hashes") - 1))
-    df = df.withColumn("_rolling", F.zip_with("_hashes", before, lambda h, b: (h * _TURN + b) % _MODULUS % average == 0))
-    places = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (i == F.size("_lines")) | F.element_at("_rolling", i))
-    df = df.withColumn("_ends", F.when(F.col("_lines").isNotNull(), places))
-    starts = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.size("_ends") - 1))
-    df = df.withColumn("_chunks", F.zip_with(starts, F.col("_ends"), lambda a, b: F.struct(a.alias("start"), (b - a).alias("size"), F.slice("_lines", a + 1, b - a).alias("lines"))))
-    return df.drop("_lines", "_hashes", "_rolling", "_ends")
+    df = df.withColumn("_ends", F.zip_with("_hashes", before, lambda h, b: (h * _TURN + b) % _MODULUS % average == 0))
+    ended = F.zip_with("_lines", "_ends", lambda line, end: F.concat(F.lit("."), line, F.when(end, "\n\n").otherwise("\n")))
+    df = df.withColumn("_chunks", F.split(F.rtrim(F.array_join(ended, ""), F.lit("\n")), "\n\n", -1))
+    return df.drop("_lines", "_hashes", "_ends")
+
+
+def _size(chunk: Column) -> Column:
+    """Lines of a chunk."""
+    return F.length(chunk) - F.length(F.replace(chunk, F.lit("\n"), F.lit(""))) + 1
+
+
+def _text(chunks: Column) -> Column:
+    joined = F.replace(F.concat(F.lit("\n"), F.array_join(chunks, "\n")), F.lit("\n."), F.lit("\n"))
+    return F.substring(joined, F.lit(2), F.length(joined))
+
+
+def _hash(chunk: Column) -> Column:
+    return F.unhex(F.md5(chunk.cast("binary")))
 
 
 def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int = LEAST, owner: str = "op1", runs: bool = False) -> DataFrame:
     """Removes the repeated chunks of ``docs`` (doc_id, text); other columns are kept as they are.
 
-    Adds removed_chunks and removed_lines, and returns a row for each row. Lines are what newlines separate. A text all
-    of whose lines go becomes empty; null stays null. Rows without doc_id come after all others, so their chunks go if
-    any other row has them, and among themselves by nothing but their place, so that they keep their own. Rows that
-    share a doc_id and a place share an occurrence: copies of one row keep or lose the same lines. With ``runs``, a
-    repeated chunk of fewer than ``least`` lines goes too where it stands next to another repeated chunk.
+    Adds removed_chunks and removed_lines (with underscores after them where ``docs`` has such columns), and returns a row
+    for each row. Lines are what newlines separate. A text all of whose lines go becomes empty; null stays null. Rows
+    without doc_id come after all others, so their chunks go if any other row has them, and among themselves by nothing
+    but their place, so that they keep their own. Rows that share a doc_id and a place share an occurrence: copies of one
+    row keep or lose the same lines. With ``runs``, a repeated chunk of fewer than ``least`` lines goes too where it stands
+    next to another repeated chunk. An empty table gives no rows.
+
+    A chunk that very many rows have is dealt out over tasks; only its hash is broadcast.
     """
     scratch = Scratch(docs.sparkSession, owner)
     fields = docs.columns
     order = lambda: F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "start")
-    cut = _with_chunks(docs.select("doc_id", "text"), F.col("text"), average)
-    exploded = cut.select("doc_id", F.explode(F.filter("_chunks", lambda c: c["size"] >= (1 if runs else least))).alias("c"))
-    pieces = exploded.select("doc_id", "c.start", F.array_join("c.lines", "\n").alias("piece"))
-    hashed = pieces.withColumn("hash", F.unhex(F.md5(F.col("piece").cast("binary"))))
-
-    seen = hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    copies = scratch.table("copies", hashed.join(seen, "hash"))
+    # Rows that share a doc_id, or have none, are told apart by their texts.
+    content = F.xxhash64("text")
+    cut = _with_chunks(docs.select("doc_id", "text", content.alias("content")), F.col("text"), average)
+    exploded = cut.select("doc_id", "content", F.posexplode("_chunks").alias("start", "piece"))
+    pieces = exploded if runs else exploded.where(_size(F.col("piece")) >= least)
+    hashed = pieces.withColumn("hash", _hash(F.col("piece")))
+
+    seen = scratch.table("seen", hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    many = seen.agg(F.sum("n")).first()[0] or 0
+    dealt, known = salted(hashed, seen, {"hash": "hash"}, "n", many, F.xxhash64("doc_id", "content", "start"))
+    copies = scratch.table("copies", dealt.join(known.drop("n"), ["hash", "_salt"]))
     first = copies.groupBy("hash", "piece").agg(F.min(order()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = copies.join(first, ["hash", "piece"]).where(order() != F.col("first")).select("doc_id", "start", "hash")
-    gone = later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "hash")).alias("gone")).withColumnRenamed("doc_id", "_gone_id")
+    # The first occurrence goes to every salt of its hash.
+    later = copies.join(first.join(known.select("hash", "_salt"), "hash"), ["hash", "piece", "_salt"]).where(order() != F.col("first"))
+    gone = later.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct("start", "hash"))).alias("gone")).withColumnsRenamed({"doc_id": "_gone_id", "content": "_gone_content"})
 
     own = {name: f"_own_{k}" for k, name in enumerate(fields)}
     own |= {"doc_id": "_id", "text": "_text"}
-    flat = docs.select(*[F.col(f"`{name}`").alias(own[name]) for name in fields])
-    joined = flat.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")), "left")
-
-    def bad(c: Column) -> Column:
-        key = F.struct(c["start"].alias("start"), F.unhex(F.md5(F.array_join(c["lines"], "\n").cast("binary"))).alias("hash"))
-        return (c["size"] >= (1 if runs else least)) & F.array_contains(F.col("gone"), key)
-
-    marked = _with_chunks(joined, F.when(F.col("gone").isNotNull(), F.col("_text")), average)
-    marked = marked.withColumn("_chunks", F.transform("_chunks", lambda c: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), bad(c).alias("bad"))))
+    flat = docs.select(*[F.col(f"`{name}`").alias(own[name]) for name in fields], content.alias("_content"))
+    joined = flat.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_content") == F.col("_gone_content")), "left")
+    # By place the hash of the chunk that is gone there, or null: looked up in constant time.
+    place = lambda k: F.coalesce(F.get("gone", k)["start"], F.lit(-1))
+    gaps = F.transform("gone", lambda g, k: F.concat(F.array_repeat(F.lit(None).cast("binary"), g["start"] - F.when(k > 0, place(k - 1)).otherwise(-1) - 1), F.array(g["hash"])))
+    marked = _with_chunks(joined.withColumn("_at", F.flatten(gaps)), F.when(F.col("gone").isNotNull(), F.col("_text")), average)
+    marked = marked.withColumn("_flags", F.transform("_chunks", lambda c, k: F.coalesce(F.get("_at", k) == _hash(c), F.lit(False))))
     if runs:
-        # A column of its own, as each chunk looks at three flags.
-        marked = marked.withColumn("_flags", F.transform("_chunks", lambda c: c["bad"]))
         beside = lambda k: F.coalesce(F.when(k > 0, F.get("_flags", k - 1)), F.lit(False)) | F.coalesce(F.get("_flags", k + 1), F.lit(False))
-        marked = marked.withColumn("_chunks", F.transform("_chunks", lambda c, k: F.struct(c["size"].alias("size"), c["lines"].alias("lines"), (c["bad"] & ((c["size"] >= least) | beside(k))).alias("bad"))))
-    kept = F.array_join(F.flatten(F.transform(F.filter("_chunks", lambda c: ~c["bad"]), lambda c: c["lines"])), "\n")
-    lost = F.filter("_chunks", lambda c: c["bad"])
+        marked = marked.withColumn("_flags", F.transform("_chunks", lambda c, k: F.get("_flags", k) & ((_size(c) >= least) | beside(k))))
+    kept = _text(F.filter("_chunks", lambda c, k: ~F.get("_flags", k)))
+    lost = F.filter("_chunks", lambda c, k: F.get("_flags", k))
     made = F.struct(
         F.when(F.col("_chunks").isNotNull(), kept).otherwise(F.col("_text")).alias("text"),
         F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("chunks"),
-        F.coalesce(F.aggregate(F.transform(lost, lambda c: c["size"]), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long").alias("lines"),
+        F.coalesce(F.aggregate(F.transform(lost, _size), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long").alias("lines"),
     )
     # Generated rather than projected: conditions on the result would else be pushed down and repeat all of the above.
     out = marked.select(*[own[name] for name in fields if name != "text"], F.explode(F.array(made)).alias("_made"))
-    out = out.select(*[F.col("_made.text" if name == "text" else own[name]).alias(name) for name in fields], F.col("_made.chunks").alias("removed_chunks"), F.col("_made.lines").alias("removed_lines"))
+    out = out.select(*[F.col("_made.text" if name == "text" else own[name]).alias(name) for name in fields], F.col("_made.chunks").alias(free_name(fields, "removed_chunks")), F.col("_made.lines").alias(free_name(fields, "removed_lines")))
     return out
 
 

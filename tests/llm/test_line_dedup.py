@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from framelake.llm import spread
 from framelake.llm.line_dedup import AVERAGE, remove_repeated_chunks
 
 
@@ -62,6 +63,28 @@ def test_odd_tables(spark):
     assert sorted(r.removed_lines for r in got)[:2] == [0, 0] and len(got) == 3
 
 
+def test_own_columns_keep_off_clashing_ones(spark, tmp_path):
+    rows = [(1, "a\nb\nc\nd\ne", 7, "x"), (2, "a\nb\nc\nd\ne", 8, "y")]
+    out = remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string, removed_chunks int, Removed_Lines string"))
+    assert out.columns == ["doc_id", "text", "removed_chunks", "Removed_Lines", "removed_chunks_", "removed_lines_"]
+    out.write.parquet(f"{tmp_path}/out")
+    assert sorted((r.doc_id, r.removed_chunks, r.Removed_Lines) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 7, "x"), (2, 8, "y")]
+
+
+def test_hot_chunks_and_many_nameless_rows(spark, monkeypatch):
+    monkeypatch.setattr(spread, "SHARE", 5)
+    rng = random.Random(6)
+    block = "\n".join(f"hot {k}" for k in range(9))
+    rows = [(k if k % 3 else None, "\n".join([f"own {k} {j}" for j in range(rng.randint(0, 5))] + [block] * (k % 2) + [f"end {k % 7}", f"last {k % 5}"])) for k in range(120)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "x" * 2_000_000), (2, "\n" * 200_000), (3, "\n".join(f"line {k}" for k in range(50_000)))]
+    rows += [(4, rows[2][1])]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_no_python_in_plan(spark, tmp_path):
     out = remove_repeated_chunks(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))
     plan = out._jdf.queryExecution().executedPlan().toString()
