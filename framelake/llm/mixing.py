@@ -76,12 +76,13 @@ def round_pairs(fractions: list[float], sizes: list[int], draws: np.ndarray, las
     return out
 
 
-_FIELDS = "doc_id long, source string, size long, source_size long, target double, whole int, fraction double, bucket long, buckets long"
+_FIELDS = "doc_id long, source string, size long, content long, turn long, source_size long, target double, whole int, fraction double, bucket long, buckets long"
+_TURNS = 10_000  # repeats of a row that are made at once
 
 
 def _combine(level: int, last: bool) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rank", "ascending"), ("doc_id", "ascending"), ("size", "ascending"), ("fraction", "ascending")])
+        table = table.sort_by([(c, "ascending") for c in ("rank", "doc_id", "size", "content", "turn")])
         draws = _stream(level, table.column("source")[0].as_py(), table.column("bucket")[0].as_py()).random(table.num_rows + 1)
         done = round_pairs(table.column("fraction").to_pylist(), table.column("size").to_pylist(), draws, last)
         at = table.schema.get_field_index("fraction")
@@ -94,26 +95,30 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     """Decides how often the mix takes each row of ``docs`` (doc_id, text, source; others are ignored).
 
     Returns doc_id, size (words), source_size, target (of its source), copies and taken (copies * size), a row for each
-    row. A null or blank text has size 0 and is never taken; null is a source of its own. Draws depend on doc_id, source and the data only, so reruns agree;
-    rows that are equal in these and in size may trade places. An empty table gives no rows.
+    row. A null or blank text has size 0 and is never taken; null is a source of its own. Draws depend on the rows alone,
+    so reruns agree however they are dealt out. Rows without doc_id, or that share one, are rows of their own; so are
+    equal rows, which are counted and told apart by a number. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, owner)
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    sized = scratch.table("sized", sized)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(F.col("text").cast("string")).alias("content"))
+    equal = sized.groupBy("doc_id", "source", "size", "content").agg(F.count("*").alias("_n"))
+    blocks = equal.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / _TURNS))))
+    turns = F.sequence(F.col("_block") * _TURNS, F.least("_n", (F.col("_block") + 1) * _TURNS) - 1)
+    sized = scratch.table("sized", blocks.select("doc_id", "source", "size", "content", F.explode(turns).alias("turn")))
     targets = scratch.table("targets", source_targets(sized, weights, share, most).withColumnRenamed("source", "s"))
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("s")))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ratio = F.when(F.abs(ratio - F.round(ratio)) < _CLOSE, F.round(ratio)).otherwise(ratio)
-    rank = F.xxhash64("doc_id", "source", F.lit(3))
+    rank = F.xxhash64("doc_id", "source", "content", "turn", F.lit(3))
     buckets = F.ceil(F.col("docs") / BUCKET).cast("long")
-    rows = joined.select("doc_id", "source", "size", "source_size", "target", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("fraction"), F.pmod(rank, buckets).alias("bucket"), buckets.alias("buckets"))
+    rows = joined.select("doc_id", "source", "size", "content", "turn", "source_size", "target", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("fraction"), F.pmod(rank, buckets).alias("bucket"), buckets.alias("buckets"))
 
     largest = targets.agg(F.max(F.ceil(F.col("docs") / BUCKET))).first()[0] or 1
     level, parts = 0, []
     while True:
         last = largest <= 1
-        turn = scratch.table(f"level-{level}", rows.withColumn("rank", F.xxhash64("doc_id", "source", F.lit(5))).groupBy("source", "bucket").applyInArrow(_combine(level, last), _FIELDS))
+        turn = scratch.table(f"level-{level}", rows.withColumn("rank", F.xxhash64("doc_id", "source", "content", "turn", F.lit(5))).groupBy("source", "bucket").applyInArrow(_combine(level, last), _FIELDS))
         open_ = (F.col("fraction") > 0) & (F.col("fraction") < 1)
         parts.append(turn.where(~open_))
         if last:
@@ -129,8 +134,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def take_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` takes them. Rows that share a doc_id are taken as often as that one of
-    them that is taken least; of size 0, never."""
-    often = mix.groupBy(F.col("doc_id").alias("_mix_id")).agg(F.min(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("_mix_copies")).where("_mix_copies > 0")
-    joined = docs.join(often, F.col("doc_id").cast("long").eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_one", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[joined[c] for c in docs.columns])
+    """The rows of ``docs`` as often as ``mix`` takes them, with whatever columns they have. Rows that share a doc_id, or
+    have none, are taken as often as that one of them that is taken least; of size 0, never."""
+    often = mix.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.when(F.col("size") > 0, F.col("copies")).otherwise(0)).alias("copies")).where("copies > 0")
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = rows.join(often, F.col("key").eqNullSafe(F.col("id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

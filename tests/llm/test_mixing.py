@@ -66,7 +66,7 @@ def test_rounding_is_unbiased():
 
 
 def test_take_mix(spark):
-    data = spark.createDataFrame(rows(200), "doc_id long, text string, source string").selectExpr("doc_id", "text", "source", "1 as taken", "2 as copies")
+    data = spark.createDataFrame(rows(200), "doc_id long, text string, source string").selectExpr("doc_id", "text", "source", "1 as taken", "2 as copies", "3 as _mix_id", "4 as id", "5 as `row`")
     mix = mix_sources(data)
     want = {r.doc_id: r.copies for r in mix.collect() if r.copies and r.size}
     got = defaultdict(int)
@@ -77,6 +77,28 @@ def test_take_mix(spark):
     assert dict(got) == want
 
 
+def test_rows_without_id_and_equal_rows(spark, monkeypatch):
+    """They are dealt out over buckets like others, and each source still comes near its target."""
+    from framelake.llm import mixing
+
+    monkeypatch.setattr(mixing, "_TURNS", 7)
+    data = [(None, f"w{k} " * (1 + k % 9), "a") for k in range(1500)] + [(4, "x y z", "b")] * 1300 + [(5, None, "b")] * 3
+    schema = "doc_id long, text string, source string"
+    out = mix_sources(spark.createDataFrame(data, schema)).collect()
+    assert len(out) == len(data)
+    for size, docs in ((3, [r for r in out if r.doc_id == 4]), (9, [r for r in out if r.doc_id is None])):
+        assert abs(sum(r.taken for r in docs) - docs[0].target) <= size
+    again = mix_sources(spark.createDataFrame(data[::-1], schema).repartition(9)).collect()
+    key = lambda r: [(x is not None, x) for x in r]
+    assert sorted(map(tuple, out), key=key) == sorted(map(tuple, again), key=key)
+
+
+def test_two_results_live_together(spark):
+    schema = "doc_id long, text string, source string"
+    a, b = (mix_sources(spark.createDataFrame(rows(50, seed), schema)) for seed in (1, 2))
+    assert a.count() == b.count() == 50
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string, source string"
     assert mix_sources(spark.createDataFrame([], schema)).collect() == []
