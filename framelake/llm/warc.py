@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.llm.scratch import Scratch
+from framelake.llm.spread import salted
 
 ARCHIVE = 256 << 20  # bytes before compression after which a task begins another archive
 RANGE = 8 << 20  # compressed bytes that one task reads at least
@@ -220,7 +221,7 @@ def _read_all(folder: str) -> Callable:
     return run
 
 
-def archive_pages(pages: DataFrame, owner: str = "op4") -> DataFrame:
+def archive_pages(pages: DataFrame, owner: str = "op4", folder: str | None = None) -> DataFrame:
     """Writes a WARC record for every row of ``pages`` (page_id, url, html; others are ignored), normalises the archives
     and reads them back.
 
@@ -228,22 +229,28 @@ def archive_pages(pages: DataFrame, owner: str = "op4") -> DataFrame:
     the others revisit it. Returns page_id, payload_bytes, payload_digest, record_type and refers_to as the archives
     have them, a row for each row. Rows that share the smallest page_id and the payload are responses all. A row
     without page_id revisits a row that has one; where no row has one, all are responses. An empty table makes no archive.
-    The archives and their indexes stay in the shared folder until the operator's next run; it has to be one that
-    pyarrow's file systems reach.
+    The archives and their indexes are put into ``folder`` (a URI) and stay there; without it they go to the shared folder,
+    for as long as the operator's other tables. Either has to be one that pyarrow's file systems reach.
+
+    Who is response and who revisits is told from digests and page_ids; a payload that very many pages share is dealt out
+    over tasks by page_id.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, owner)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("key", F.unhex(F.sha1("payload")))
-    firsts = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k"), "first")
-    joined = rows.join(firsts, F.col("key") == F.col("k"), "left")
+    firsts = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
+    firsts = scratch.table("firsts", firsts)
+    rows, firsts = salted(rows, firsts, {"key": "k"}, "n", pages.count(), F.xxhash64("page_id", "url"))
+    firsts = firsts.withColumnRenamed("_salt", "s")
+    joined = rows.join(firsts, (F.col("key") == F.col("k")) & (F.col("_salt") == F.col("s")), "left")
     revisit = F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False))
-    plain, split = scratch.folder("plain"), scratch.folder("members")
+    plain, split = scratch.folder("plain"), folder.rstrip("/") if folder else scratch.folder("members")
     written = scratch.table("written", joined.select("page_id", "url", "payload", "first", revisit.alias("revisit")).mapInArrow(_write_archives(plain), "name string, records long"))
     tasks = max(1, min(written.count(), 10_000))
     ranges = scratch.table("ranges", written.select("name").repartition(tasks).mapInArrow(_normalise_all(plain, split), "name string, start long, stop long"))
-    scratch.drop("plain", "written")
+    scratch.drop("plain", "written", "firsts")
     tasks = max(1, min(ranges.count(), 10_000))
     return ranges.repartition(tasks).mapInArrow(_read_all(split), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 

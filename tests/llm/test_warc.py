@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from framelake.llm.scratch import Scratch
+from framelake.llm import spread
 from framelake.llm.warc import _header, archive_pages, normalise, read_records, record_bytes
 
 
@@ -26,15 +26,16 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(spread, "SHARE", 9)
     rng = random.Random(1)
     texts = ["", None, "<p>é\r\n\r\nWARC/1.1\r\n\r\n</p>", "x" * 300_000] + ["".join(rng.choice("ab<>é\n\r") for _ in range(rng.randrange(2000))) for _ in range(30)]
     rows = [(k, rng.choice([None, "http://x.example/é?q=1\n2", "a b"]), rng.choice(texts)) for k in range(200)]
     rows += [(None, "u", "only nameless"), (None, None, texts[5]), (3, "again", rows[3][2])]
-    out = archive_pages(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string"))
+    out = archive_pages(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, key string"), folder=f"file://{tmp_path}/archives")
     assert out.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert sorted(map(tuple, out.collect()), key=repr) == brute(rows)
-    folder = next(p for p in Scratch._kept["op4"] if "members" in p).removeprefix("file://")
+    folder = f"{tmp_path}/archives"
     seen = 0
     for path in glob.glob(f"{folder}/*.warc.gz"):
         data = open(path, "rb").read()
