@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 DIM = 1024
 GROUP = 1 << 19  # characters handled at once
 BLOCK = 8192  # trigrams bound at once
+PAIRS = 64  # vectors of single texts' trigrams that are added at once
 
 _letters: list[np.ndarray] = []
 _vectors: dict[int, np.ndarray] = {}
@@ -78,11 +79,25 @@ def _group_vectors(group: list[str]) -> np.ndarray:
     owners = owner[:-2][whole]
     out = np.zeros((len(group), DIM), dtype=np.float64)
     used, where = np.unique(codes, return_inverse=True)
-    for start in range(0, len(used), BLOCK):
-        width = min(BLOCK, len(used) - start)
-        at = (where >= start) & (where < start + width)
-        counts = np.bincount(owners[at] * width + (where[at] - start), minlength=len(group) * width).reshape(len(group), width)
-        out += counts.astype(np.float32) @ _bind(used[start : start + width])
+    # Each text's different trigrams and how often it has them, in order of text within a block of trigrams.
+    block = where // BLOCK
+    cells, counts = np.unique((block * len(group) + owners) * BLOCK + where % BLOCK, return_counts=True)
+    texts, columns, edges = cells // BLOCK % len(group), cells % BLOCK, np.searchsorted(cells, np.arange(len(used) // BLOCK + 2) * len(group) * BLOCK)
+    for k, start in enumerate(range(0, len(used), BLOCK)):
+        vectors, at = _bind(used[start : start + BLOCK]), slice(edges[k], edges[k + 1])
+        rows, column, often = texts[at], columns[at], counts[at].astype(np.float32)
+        own, first, place = np.unique(rows, return_index=True, return_inverse=True)
+        if 30 * len(rows) > len(own) * len(vectors):  # dense enough for a product of matrices
+            table = np.zeros((len(own), len(vectors)), dtype=np.float32)
+            table[place, column] = often
+            out[own] += table @ vectors
+            continue
+        for a in range(0, len(rows), PAIRS):
+            b = min(a + PAIRS, len(rows))
+            lo, hi = np.searchsorted(first, a, side="right") - 1, np.searchsorted(first, b)
+            table = np.zeros((hi - lo, b - a), dtype=np.float32)
+            table[place[a:b] - lo, np.arange(b - a)] = often[a:b]
+            out[own[lo:hi]] += table @ vectors[column[a:b]]
     return out
 
 
@@ -102,17 +117,15 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"lang": table.column("lang")[:1], "v": pa.array([total.tobytes()], pa.binary())})
 
 
-def learn_prototypes(docs: DataFrame, train: Column, per_lang: int = 2000, max_langs: int = 1000) -> tuple[list[str], np.ndarray]:
-    """Prototypes of the languages of ``docs`` (doc_id, text, lang) where ``train`` holds and lang isn't null.
+def learn_prototypes(docs: DataFrame, train: Column, per_lang: int = 2000) -> tuple[list[str], np.ndarray]:
+    """Prototypes of all languages of ``docs`` (doc_id, text, lang) where ``train`` holds and lang isn't null.
 
-    Fitted on a bounded sample: about ``per_lang`` texts of each language, those with the lowest hash of doc_id, and
-    the ``max_langs`` most frequent languages."""
+    Fitted on a bounded sample: about ``per_lang`` texts of each language, those with the lowest hash of doc_id. What
+    comes to the driver is a vector for each language."""
     known = docs.where(train & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
-    if not counts:
-        return [], np.zeros((0, DIM))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20) < F.element_at(share, F.col("lang")))
+    counts = known.groupBy(F.col("lang").alias("l")).agg((F.lit(float(per_lang)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / float(1 << 20)
+    sample = known.join(F.broadcast(counts), (F.col("lang") == F.col("l")) & (draw < F.col("share")))
     rows = sample.select("lang", "text").mapInArrow(_bundle, "lang string, v binary").groupBy("lang").applyInArrow(_add, "lang string, v binary").collect()
     rows.sort(key=lambda r: r.lang)
     vectors = np.stack([np.frombuffer(r.v) for r in rows]) if rows else np.zeros((0, DIM))
@@ -147,7 +160,7 @@ def identify_languages(docs: DataFrame, per_lang: int = 2000) -> DataFrame:
     """Predicts the language of every text of ``docs`` (doc_id, text, lang; others are ignored).
 
     Learns from rows that aren't held out and have a lang. Returns doc_id, held_out, lang_pred and score (the cosine
-    with the prototype, not below 0), a row for each row. A null text or one without letters gets ``und`` and 0, as
+    with the prototype, not below 0), a row for each row; any number of languages is learned. A null text or one without letters gets ``und`` and 0, as
     does every text if no row can be learned from. Ties go to the language that sorts first.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
