@@ -164,8 +164,8 @@ class AdditiveModel:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = text_features(batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(rows), pa.list_(pa.float64()))], ["quality", "features"])
+        rows = text_features(batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "features"])
 
 
 def _scored(model: AdditiveModel) -> Callable:
@@ -179,13 +179,15 @@ def _scored(model: AdditiveModel) -> Callable:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000) -> AdditiveModel:
     """Fits on a bounded sample: of the labelled rows that aren't held out, the ``train_rows`` with the lowest hash of
-    doc_id. Without labelled rows every score is 0.5; with one label only, the score is the same for all texts."""
+    doc_id. Of documents that share a doc_id one counts, that with the lowest features. Without labelled rows every score is 0.5; with one label only, the score is the same for all texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out())
     sample = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "quality").limit(train_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "quality")
-    rows = texts.mapInArrow(_featured, "quality int, features array<double>").limit(2 * train_rows).toPandas()
-    x = np.array(rows["features"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    y = (rows["quality"].to_numpy() > 0).astype(float)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id")
+    rows = labelled.mapInArrow(_featured, "doc_id long, features array<double>").groupBy("doc_id").agg(F.min("features").alias("features")).collect()
+    found = {r.doc_id: r.features for r in rows}
+    pairs = [(found[r.doc_id], r.quality) for r in sample.collect() if r.doc_id in found]
+    x = np.array([f for f, _ in pairs], dtype=float).reshape(-1, len(FEATURES))
+    y = np.array([q > 0 for _, q in pairs], dtype=float)
     order = np.lexsort((*x.T, y))
     return AdditiveModel().fit(x[order], y[order])
 

@@ -1,8 +1,13 @@
+import math
 import random
+import re
+import time
+import unicodedata
 import zlib
 
 import numpy as np
 
+from framelake.llm import language_id, quality
 from framelake.llm.language_id import identify_languages, text_vectors
 from framelake.llm.quality import FEATURES, AdditiveModel, score_quality, text_features
 
@@ -54,6 +59,91 @@ def test_vectors_bind_and_bundle():
     assert np.array_equal(next(text_vectors(["A-B,  c"])), next(text_vectors(["a b c"])))
 
 
+def brute_vector(text):
+    """Trigram by trigram, in the words of the method."""
+    text = re.sub(" +", " ", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in f" {(text or '').lower()} "))
+    total = np.zeros(language_id.DIM)
+    for k in range(len(text) - 2):
+        if text[k : k + 3].strip():
+            a, b, c = (language_id._letter_vector(ord(x)) for x in text[k : k + 3])
+            total += np.roll(a, 2) * np.roll(b, 1) * c
+    return total
+
+
+def test_vectors_against_brute_force(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefghijklm  éß\n") for _ in range(rng.randrange(80))) for _ in range(300)]
+    texts += [None, "", "a", "..", "A b", "x" * 3000, "".join(rng.choice("abcdefg hijklmnopqrstuvwxyzéèà") for _ in range(9000))]
+    for block in (8192, 100):
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert all(np.array_equal(v, brute_vector(t)) for v, t in zip(text_vectors(texts), texts, strict=True))
+
+
+def test_predictions_against_brute_force(spark):
+    rows = documents(90, 5)
+    schema = "doc_id long, text string, lang string"
+    sums = {}
+    for k, t, lang, _ in rows:
+        if not held(k):
+            v = brute_vector(t)
+            sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    for parts in (1, 7):
+        for r in identify_languages(spark.createDataFrame([r[:3] for r in rows], schema).repartition(parts)).collect():
+            v = brute_vector(rows[r.doc_id][1])
+            cosines = {lang: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for lang, p in sums.items()}
+            assert r.lang_pred == max(sorted(cosines), key=cosines.get) and abs(r.score - max(0, cosines[r.lang_pred])) < 1e-9
+
+
+def test_short_texts_take_bounded_time():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(50)) for _ in range(10_000)]
+    began = time.process_time()
+    assert sum(1 for _ in text_vectors(texts)) == 10_000
+    assert time.process_time() - began < 8
+
+
+def test_any_number_of_languages_and_long_texts(spark):
+    rows = [(k, chr(0x4E00 + k) * 3 + chr(0x4E00 + k + 1), f"l{k}") for k in range(0, 4000, 3)] + [(9001, "und nicht " * 200_000, "de"), (9003, " " * 1_000_000, None)]
+    out = {r.doc_id: r for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[k].lang_pred == lang for k, _, lang in rows[:-2] if not held(k)) and out[9003].lang_pred == "und"
+
+
+def brute_features(text):
+    """Character by character and word by word."""
+    text = text or ""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    is_letter = lambda b: 97 <= b <= 122 or 65 <= b <= 90 or b >= 192
+    is_symbol = lambda b: not (is_letter(b) or 48 <= b <= 57 or b in b"\t\n\x0b\x0c\r .,;:?'\"-()!" or b >= 128)
+    lower = [w.lower() for w in words]
+    letters, n = sum(map(is_letter, raw)), len(words)
+    used, some = max(letters, 1), max(n, 1)
+    return [
+        sum(map(is_symbol, raw)) / used, sum(65 <= b <= 90 for b in raw) / used, sum(48 <= b <= 57 for b in raw) / used,
+        sum(not any(map(is_letter, w)) for w in words) / some, sum(a == b for a, b in zip(lower, lower[1:])) / some, len(set(lower)) / some**0.8, letters / some,
+        math.log1p(n), sum(b in b".,;:?" for b in raw) / some, sum(is_symbol(w[-1]) for w in words) / some, min(n / (text.count("\n") + 1), 1e4), raw.count(b"!") / some,
+    ]
+
+
+def test_features_against_brute_force():
+    rng = random.Random(4)
+    texts = [None, "", " ", "\n\n", "é É ß", "x" * 100_000] + ["".join(rng.choice("aAbB zZ 09.,;:?!'\"-()$%&é\n\t中") for _ in range(rng.randrange(200))) for _ in range(200)]
+    assert np.allclose(text_features(texts), [brute_features(t) for t in texts], rtol=1e-12, atol=0)
+
+
+def test_scores_against_brute_force(spark):
+    """One by one through the learned tables; the same for every partitioning, and with repeated ids."""
+    rows = documents(200, 7)
+    docs = spark.createDataFrame([(k, t) for k, t, _, _ in rows] + [(3, "other text"), (3, "other text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, _, q in rows] + [(6, 0)] * 3, "doc_id long, quality int")
+    model = quality.fit_quality(docs.repartition(7), labels)
+    for r in score_quality(docs.repartition(3), labels).where("doc_id != 3").collect():
+        f = brute_features(rows[r.doc_id][1])
+        bins = [sum(edge <= x for edge in edges) for x, edges in zip(f, model.edges)]
+        total = model.intercept + sum(table[b] for table, b in zip(model.tables, bins)) + sum(table[bins[i], bins[j]] for i, j, table in model.pairs)
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-6
+
+
 def test_quality(spark):
     rows = documents()
     docs = spark.createDataFrame([(k, t, 5) for k, t, _, _ in rows] + [(9000, None, 5), (None, "", 5)], "doc_id long, text string, score int")
