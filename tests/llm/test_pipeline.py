@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 from framelake.llm.mixing import mix_sources
@@ -47,6 +48,30 @@ def test_stages(spark, tmp_path):
     assert packed.where("start = 0").count() == sum(mixed.values())
 
 
+def test_near_duplicates_without_ids_and_with_clashing_columns(spark, tmp_path):
+    text = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(5, f"{text} 1"), (3, f"{text} 2"), (None, f"{text} 3"), (None, "q r s t u v"), (None, "q r s t u v"), (None, None), (7, None), (7, ""), (9, "x y z"), (9, "other words"), (9, "x y z")]
+    docs = spark.createDataFrame([(*r, k, k, k, k) for k, r in enumerate(rows)], "doc_id long, text string, _row int, _kept int, r int, i int")
+    for parts in (1, 5):
+        out = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), str(tmp_path))
+        assert out.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert got == sorted([(3, f"{text} 2"), (None, "q r s t u v"), (None, None), (7, None), (7, ""), (9, "x y z"), (9, "other words")], key=repr)
+    plain = docs.where("doc_id in (3, 5)")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, plain, str(tmp_path)).collect()] == [3]
+    taken = corpus_pipeline.mixing(spark, docs.withColumn("source", docs.text).withColumn("_mix_id", docs.r), str(tmp_path))
+    assert taken.count() >= 0 and "_mix_id" in taken.columns
+
+
+def test_runs_in_threads(spark, tmp_path):
+    """Two runs at a time in one session neither share nor delete each other's tables."""
+    tables(tmp_path, spark)
+    with ThreadPoolExecutor(2) as pool:
+        results = list(pool.map(lambda _: corpus_pipeline.run(spark, str(tmp_path)), range(2)))
+    rows = [sorted(map(tuple, r.collect()), key=repr) for r in results]
+    assert rows[0] and len(rows[0]) == len(rows[1])
+
+
 def test_run_and_empty_table(spark, tmp_path):
     tables(tmp_path, spark)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
