@@ -8,30 +8,152 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Lookup tables.
+# Language codes and names.
 LANGUAGES = {
-    "English": "en eng", "Spanish": "es spa", "French": "fr fre fra", "German": "de ger deu", "Italian": "it ita", "Japanese": "ja jpn",
-    "Korean": "ko kor", "Chinese": "zh chi zho", "Russian": "ru rus", "Portuguese": "pt por", "Dutch": "nl dut nld", "Arabic": "ar ara", "Hindi": "hi hin",
-}
-ASPECTS = {"1.778": "16:9", "1.333": "4:3", "1.600": "16:10", "2.350": "2.35:1", "2.35": "2.35:1", "2.400": "2.40:1", "2.40": "2.40:1", "1.850": "1.85:1", "0.562": "9:16", "0.750": "3:4"}
+    "en": "English",
+    "eng": "English",
+    "es": "Spanish",
+    "spa": "Spanish",
+    "fr": "French",
+    "fre": "French",
+    "fra": "French",
+    "de": "German",
+    "ger": "German",
+    "deu": "German",
+    "it": "Italian",
+    "ita": "Italian",
+    "ja": "Japanese",
+    "jpn": "Japanese",
+    "ko": "Korean",
+    "kor": "Korean",
+    "zh": "Chinese",
+    "chi": "Chinese",
+    "zho": "Chinese",
+    "ru": "Russian",
+    "rus": "Russian",
+    "pt": "Portuguese",
+    "por": "Portuguese",
+    "nl": "Dutch",
+    "dut": "Dutch",
+    "nld": "Dutch",
+    "ar": "Arabic",
+    "ara": "Arabic",
+    "hi": "Hindi",
+    "hin": "Hindi",
+}
+# Display aspect ratios.
+ASPECTS = {
+    "1.778": "16:9",
+    "1.333": "4:3",
+    "1.600": "16:10",
+    "2.350": "2.35:1",
+    "2.35": "2.35:1",
+    "2.400": "2.40:1",
+    "2.40": "2.40:1",
+    "1.850": "1.85:1",
+    "0.562": "9:16",
+    "0.750": "3:4",
+}
+# Media types of containers.
 CONTAINER_MIME = {
-    "mp42": "video/mp4", "isom": "video/mp4", "avc1": "video/mp4", "qt  ": "video/quicktime", "3gp4": "video/3gpp", "mkv": "video/x-matroska", "matroska": "video/x-matroska", "webm": "video/x-matroska",
-    "avi": "video/x-msvideo", "AVI ": "video/x-msvideo", "wav": "audio/wav", "WAVE": "audio/wav", "flv": "video/x-flv", "FLV ": "video/x-flv", "ogg": "audio/ogg", "OggS": "audio/ogg",
-    "asf ": "video/x-ms-asf", "WMA ": "video/x-ms-asf", "WMV ": "video/x-ms-asf", "mpeg": "video/mp2t", "ts": "video/mp2t", "dvd": "video/mpeg", "vob": "video/mpeg",
-    "heic": "image/heif", "mif1": "image/heif", "jp2 ": "image/jp2", "MXF ": "application/mxf",
-}
+    "mp42": "video/mp4",
+    "isom": "video/mp4",
+    "avc1": "video/mp4",
+    "qt  ": "video/quicktime",
+    "3gp4": "video/3gpp",
+    "mkv": "video/x-matroska",
+    "matroska": "video/x-matroska",
+    "webm": "video/x-matroska",
+    "avi": "video/x-msvideo",
+    "AVI ": "video/x-msvideo",
+    "wav": "audio/wav",
+    "WAVE": "audio/wav",
+    "flv": "video/x-flv",
+    "FLV ": "video/x-flv",
+    "ogg": "audio/ogg",
+    "OggS": "audio/ogg",
+    "asf ": "video/x-ms-asf",
+    "WMA ": "video/x-ms-asf",
+    "WMV ": "video/x-ms-asf",
+    "mpeg": "video/mp2t",
+    "ts": "video/mp2t",
+    "dvd": "video/mpeg",
+    "vob": "video/mpeg",
+    "heic": "image/heif",
+    "mif1": "image/heif",
+    "jp2 ": "image/jp2",
+    "MXF ": "application/mxf",
+}
+# Media types of codecs.
 CODEC_MIME = {
-    "mp4a": "audio/mp4", "avc1": "video/H264", "avc3": "video/H264", "h264": "video/H264", "hvc1": "video/H265", "hev1": "video/H265", "h265": "video/H265", "av01": "video/AV1",
-    "vp09": "video/VP9", "vp9 ": "video/VP9", "vp8 ": "video/VP9", "mp3 ": "audio/mpeg", "aac ": "audio/aac", "AAC ": "audio/aac", "ac-3": "audio/ac3", "ac3 ": "audio/ac3",
-    "ec-3": "audio/eac3", "eac3": "audio/eac3", "dts ": "audio/dts", "dtsc": "audio/dts", "flac": "audio/flac", "opus": "audio/opus", "vorb": "audio/vorbis", "theo": "video/theora", "jpeg": "image/jpeg", "png ": "image/png",
-}
+    "mp4a": "audio/mp4",
+    "avc1": "video/H264",
+    "avc3": "video/H264",
+    "h264": "video/H264",
+    "hvc1": "video/H265",
+    "hev1": "video/H265",
+    "h265": "video/H265",
+    "av01": "video/AV1",
+    "vp09": "video/VP9",
+    "vp9 ": "video/VP9",
+    "vp8 ": "video/VP9",
+    "mp3 ": "audio/mpeg",
+    "aac ": "audio/aac",
+    "AAC ": "audio/aac",
+    "ac-3": "audio/ac3",
+    "ac3 ": "audio/ac3",
+    "ec-3": "audio/eac3",
+    "eac3": "audio/eac3",
+    "dts ": "audio/dts",
+    "dtsc": "audio/dts",
+    "flac": "audio/flac",
+    "opus": "audio/opus",
+    "vorb": "audio/vorbis",
+    "theo": "video/theora",
+    "jpeg": "image/jpeg",
+    "png ": "image/png",
+}
+# Other spellings of field names and what they stand for.
 ALIASES = {
-    "Encoded_Application": "WritingApplication Writing_Application", "Encoded_Library": "WritingLibrary Writing_Library", "InternetMediaType": "MimeType", "colour_primaries": "ColorPrimaries Color_primaries",
-    "transfer_characteristics": "TransferCharacteristics Transfer_Characteristics", "matrix_coefficients": "MatrixCoefficients Matrix_Coefficients", "colour_range": "ColorRange Range",
-    "Sampled_Width": "Coded_Width Stored_Width", "Sampled_Height": "Coded_Height Stored_Height", "Format_Profile": "Codec_Profile", "Format_Level": "Codec_Level", "BitDepth": "Resolution",
-    "Channels": "Channel(s) Channel_s_", "ChannelLayout": "Channel_Layout", "Format_Settings_CABAC": "PixelFormat Colorimetry", "FrameRate": "FrameRate_Original FrameRate_Nominal", "BitRate": "BitRate_Nominal",
-    "Delay": "Video_Delay Video0_Delay", "Format_Settings": "Format_Settings/String Format_Settings_Encoding", "CodecID": "Codec", "Title": "Track", "FrameCount": "Source_FrameCount", "SamplingRate": "Sampling_Rate SampleRate", "ImageHeight": "ImageLength",
-}
+    "WritingApplication": "Encoded_Application",
+    "Writing_Application": "Encoded_Application",
+    "WritingLibrary": "Encoded_Library",
+    "Writing_Library": "Encoded_Library",
+    "MimeType": "InternetMediaType",
+    "ColorPrimaries": "colour_primaries",
+    "Color_primaries": "colour_primaries",
+    "TransferCharacteristics": "transfer_characteristics",
+    "Transfer_Characteristics": "transfer_characteristics",
+    "MatrixCoefficients": "matrix_coefficients",
+    "Matrix_Coefficients": "matrix_coefficients",
+    "ColorRange": "colour_range",
+    "Range": "colour_range",
+    "Coded_Width": "Sampled_Width",
+    "Stored_Width": "Sampled_Width",
+    "Coded_Height": "Sampled_Height",
+    "Stored_Height": "Sampled_Height",
+    "Codec_Profile": "Format_Profile",
+    "Codec_Level": "Format_Level",
+    "Resolution": "BitDepth",
+    "Channel(s)": "Channels",
+    "Channel_s_": "Channels",
+    "Channel_Layout": "ChannelLayout",
+    "PixelFormat": "Format_Settings_CABAC",
+    "Colorimetry": "Format_Settings_CABAC",
+    "FrameRate_Original": "FrameRate",
+    "FrameRate_Nominal": "FrameRate",
+    "BitRate_Nominal": "BitRate",
+    "Video_Delay": "Delay",
+    "Video0_Delay": "Delay",
+    "Format_Settings/String": "Format_Settings",
+    "Format_Settings_Encoding": "Format_Settings",
+    "Codec": "CodecID",
+    "Track": "Title",
+    "Source_FrameCount": "FrameCount",
+    "Sampling_Rate": "SamplingRate",
+    "SampleRate": "SamplingRate",
+    "ImageLength": "ImageHeight",
+}
 # Level index: name, most luma samples a picture, most luma samples a second.
 AV1_LEVELS = (
     ("2.0", 147456, 4915200), ("2.1", 262144, 8847360), ("3.0", 491520, 16515072), ("3.1", 1048576, 35389440), ("4.0", 2088960, 69632000), ("4.1", 2088960, 139264000), ("5.0", 8912896, 297096000),
@@ -45,10 +167,6 @@ def lookup(key: Column, table: dict[str, str], otherwise: Column | None = None)
     return found if otherwise is None else F.coalesce(found, otherwise)
 
 
-def _inverse(table: dict[str, str]) -> dict[str, str]:
-    return {key: name for name, keys in table.items() for key in keys.split()}
-
-
 def fixed(value: Column, digits: int) -> Column:
     """Decimal text with ``digits`` places; exact ties go to the even digit."""
     return F.call_function("format_number", value.cast("double"), F.lit("0" + ("." + "0" * digits if digits else "")))
@@ -118,7 +236,7 @@ def display_aspect(raw: Column) -> Column:
 
 
 def language_name(code: Column) -> Column:
-    return lookup(code, _inverse(LANGUAGES), code)
+    return lookup(code, LANGUAGES, code)
 
 
 def rate_mode_word(raw: Column) -> Column:
@@ -134,7 +252,7 @@ def codec_mime(fourcc: Column) -> Column:
 
 
 def field_alias(name: Column) -> Column:
-    return lookup(name, _inverse(ALIASES), name)
+    return lookup(name, ALIASES, name)
 
 
 def summary_size(size: Column) -> Column:
