@@ -334,7 +334,7 @@ def extract_main_text(pages: DataFrame, owner: str = "op6") -> DataFrame:
     parts = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)(.*)$"
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.lower(F.regexp_extract(url, parts, 1)).alias("host"), F.regexp_extract(url, parts, 2).alias("path"), F.col("html").cast("string").alias("html"))
-    blocks = scratch.table("blocks", rows.mapInArrow(_extract, _BLOCKS))
+    blocks = scratch.table("blocks", rows.mapInArrow(_extract, _BLOCKS), dense=True)
     reps, deleted = page_differences(scratch, blocks)
     deleted = deleted.where(F.size("deleted") > 0)
     # Pages of which each line is guarded or furniture are settled by that, whatever their neighbours share.

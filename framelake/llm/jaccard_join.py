@@ -246,7 +246,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
         near = scratch.table(f"near-{turn}", both.mapInArrow(_near(num, den), "a long, b long"))
         ids = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
         keys = scratch.table(f"ids-{turn}", classes.join(ids, "vid").select("vid", "key", "least"))
-        named = docs.join(keys.where("least is not null"), F.col("doc_id") == F.col("least")).select("vid", "key", "text")
+        named = docs.join(keys.where("least is not null").hint("merge"), F.col("doc_id") == F.col("least")).select("vid", "key", "text")
         sets = named.mapInArrow(_sets_of(words), "vid long, key binary, raw binary")
         nameless = keys.where("least is null").select(F.col("vid").alias("v"), F.col("key").alias("k"))
         if not nameless.isEmpty():

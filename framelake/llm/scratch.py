@@ -58,11 +58,12 @@ class Scratch:
         self.paths[label] = f"{self.root}/{label}"
         return self.paths[label]
 
-    def table(self, label: str, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """``batch``: rows that Python workers get at once, where rows are wide."""
+    def table(self, label: str, df: DataFrame, batch: int | None = None, dense: bool = False) -> DataFrame:
+        """``batch``: rows that Python workers get at once, where rows are wide. ``dense``: smaller files for more work and
+        memory, which pays for texts."""
         path = self.folder(label)
         with self.batches(batch):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", "zstd" if dense else "snappy").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     @contextlib.contextmanager
