@@ -15,6 +15,7 @@ class Found:
 
     def __init__(self) -> None:
         self.rows: dict[tuple[int, int, str, bool], str] = {}
+        self.cut = False  # whether the blob ends before what it announces
 
     def put(self, kind: int, name: str, value, pos: int = 0, extra: bool = False, force: bool = False) -> None:
         key = (kind, pos, name, extra)
@@ -59,17 +60,19 @@ def wav(data: bytes, f: Found) -> bool:
         return False
     size, fmt, data_size, long_size, bext = u(data, 4, 4, True), None, 0, None, None
     end = len(data) if data[:4] == b"RF64" or size in (0, 0xFFFFFFFF) else min(len(data), 8 + size)
+    f.cut = data[:4] == b"RIFF" and size not in (0, 0xFFFFFFFF) and 8 + size > len(data)
     at = 12
     while at + 8 <= end:
         name, n, body = data[at : at + 4], u(data, at + 4, 4, True), at + 8
         if name == b"data" and n == 0xFFFFFFFF and long_size is not None:
             n = long_size
         if body + n > end:
+            f.cut = f.cut or end == len(data)
             break
         if name == b"ds64":
             long_size = u(data, body + 8, 8, True)
         elif name == b"fmt " and n >= 16:
-            fmt = struct.unpack_from("<HHIIHH", data, body)
+            fmt = struct.unpack("<HHIIHH", data[body : body + 16])
         elif name == b"data":
             data_size = n
         elif name == b"bext" and n >= 602:
@@ -178,7 +181,7 @@ def flac(data: bytes, f: Found) -> bool:
 def png(data: bytes, f: Found) -> bool:
     if data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR" or len(data) < 29:
         return False
-    width, height, depth, colour, _, _, _ = struct.unpack_from(">IIBBBBB", data, 16)
+    width, height, depth, colour, _, _, _ = struct.unpack(">IIBBBBB", data[16:29])
     at, overhead, tags, shape = 8, 0, {}, None
     while at + 8 <= len(data):
         size, name = u(data, at, 4), data[at + 4 : at + 8]
@@ -195,6 +198,8 @@ def png(data: bytes, f: Found) -> bool:
         elif name == b"IEND":
             break
         at += 12 + size
+    else:
+        f.cut = True
     f.many(G, Format="PNG", ImageCount=1, StreamSize=overhead, Encoded_Application=tags.get("Software"), Title=tags.get("Title"), Performer=tags.get("Author"), Description=tags.get("Description"), Copyright=tags.get("Copyright"), Recorded_Date=tags.get("Creation Time"), Comment=tags.get("Comment"))
     # Colour types.
     space = {0: "Y", 2: "RGB", 3: "RGB", 4: "YA", 6: "RGBA"}.get(colour)
@@ -478,7 +483,7 @@ def _track(data: bytes, at: int, end: int, f: Found, n: dict[int, int]) -> None:
     if sizes := _box(data, *table, b"stsz"):
         each, frames = u(data, sizes[0] + 4, 4), u(data, sizes[0] + 8, 4)
         known = min(frames, (sizes[1] - sizes[0] - 12) // 4)
-        total = each * frames if each else sum(struct.unpack_from(f">{known}I", data, sizes[0] + 12)) if known > 0 else 0
+        total = each * frames if each else sum(struct.unpack(f">{known}I", data[sizes[0] + 12 : sizes[0] + 12 + 4 * known])) if known > 0 else 0
     body = entry[0] + 16 if entry else 0
     if kind == V and entry:
         width, height = u(data, body + 24, 2), u(data, body + 26, 2)
@@ -990,14 +995,3 @@ KERNELS: dict[str, Callable[[bytes, Found], bool]] = {
     "wav": wav, "aiff": aiff, "flac": flac, "png": png, "jpeg": jpeg, "webp": webp, "ico": ico, "tiff": tiff, "mp3": mp3, "ogg": ogg, "mp4": mp4, "mkv": mkv, "avi": avi, "y4m": y4m, "swf": swf,
     "avc": avc, "aac_adts": aac_adts, "ac3": ac3, "mpeg_ts": mpeg_ts, "dsf": dsf, "caf": caf, "dts": dts,
 }
-
-
-def run_kernel(parser: str, data: bytes) -> list[tuple[int, int, str, str, bool]]:
-    """Rows (kind_id, pos, name, value, is_extra) of a blob; none if its parser rejects it."""
-    f = Found()
-    try:
-        if not KERNELS[parser](data, f):
-            return []
-    except (IndexError, struct.error, ValueError, OverflowError):
-        pass  # cut off or damaged: what was read before stands
-    return [(k, p, n, v, e) for (k, p, n, e), v in f.rows.items()]

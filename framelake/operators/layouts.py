@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framelake.functions.binary import at, be, latin1, le, signed
+from framelake.functions.binary import at, be, latin1, le, magic, signed
 from framelake.functions.display import duration_ms, fixed, lookup
 from framelake.model import KINDS
 
@@ -46,17 +46,22 @@ def gif(c: Column) -> Column:
 def psd(c: Column) -> Column:
     # Colour modes.
     mode = lookup(be(c, 24, 2).cast("string"), {"0": "Bitmap", "1": "Grayscale", "2": "Indexed", "3": "RGB", "4": "CMYK", "7": "Multichannel", "8": "Duotone", "9": "Lab"})
-    return _image("PSD", ("Format", "PSD"), ("Format_Version", be(c, 4, 2)), ("ColorSpace", mode), ("Width", be(c, 18, 4)), ("Height", be(c, 14, 4)), ("BitDepth", be(c, 22, 2)))
+    name = F.when(be(c, 4, 2) == 2, "PSB").otherwise("PSD")
+    rows = [("Format", name), ("Format_Version", be(c, 4, 2)), ("ColorSpace", mode), ("Width", be(c, 18, 4)), ("Height", be(c, 14, 4)), ("BitDepth", be(c, 22, 2)), ("Compression_Mode", "Lossless")]
+    return _fields((_G, "Format", name), (_G, "ImageCount", "1"), *[(_I, n, v) for n, v in rows])
 
 
 def pcx(c: Column) -> Column:
-    width, height = le(c, 8, 2) - le(c, 4, 2) + 1, le(c, 10, 2) - le(c, 6, 2) + 1
-    return _image("PCX", ("Format", "PCX"), ("Format_Version", be(c, 1, 1)), ("Width", width), ("Height", height), ("BitDepth", be(c, 3, 1) * be(c, 65, 1)), ("Compression_Mode", "Lossless"))
+    # Versions.
+    version = lookup(be(c, 1, 1).cast("string"), {"0": "Paintbrush v2.5", "2": "Paintbrush v2.8 with palette information", "3": "Paintbrush v2.8 without palette information", "4": "Paintbrush/Windows", "5": "Paintbrush v3.0+"})
+    width, height = le(c, 8, 2) - le(c, 4, 2), le(c, 10, 2) - le(c, 6, 2)
+    return _image("PCX", ("Format", "PCX"), ("Format_Version", version), ("Width", width), ("Height", height), ("BitDepth", be(c, 3, 1)), ("Compression_Mode", "Lossless"), ("DPI", F.concat(le(c, 14, 2).cast("string"), F.lit(" x "), le(c, 12, 2).cast("string"))))
 
 
 def dds(c: Column) -> Column:
-    bits = le(c, 88, 4)
-    return _image("DDS", ("Format", "DDS"), ("CodecID", F.when(le(c, 84, 4) != 0, latin1(c, 84, 4))), ("Width", le(c, 16, 4)), ("Height", le(c, 12, 4)), ("BitDepth", F.when(bits > 0, bits)))
+    packed = (le(c, 76, 4) >= 32) & (le(c, 80, 4).bitwiseAND(F.lit(4)) != 0)
+    rows = [("Format", F.when(packed, "DirectX TC").otherwise("DDS")), ("CodecID", F.when(packed, latin1(c, 84, 4))), ("Width", le(c, 16, 4)), ("Height", le(c, 12, 4)), ("BitDepth", F.when(le(c, 8, 4).bitwiseAND(F.lit(0x800000)) != 0, le(c, 24, 4))), ("StreamSize", F.octet_length(c))]
+    return _fields((_G, "Format", "DDS"), (_G, "ImageCount", "1"), (_G, "StreamSize", "0"), *[(_I, n, v) for n, v in rows])
 
 
 def ivf(c: Column) -> Column:
@@ -70,25 +75,55 @@ def ivf(c: Column) -> Column:
 
 def flv(c: Column) -> Column:
     flags = be(c, 4, 1)
-    has = lambda bit: F.when(flags.bitwiseAND(F.lit(bit)) != 0, "1")
+    has = lambda bit: F.when(flags.bitwiseAND(F.lit(bit)) != 0, "1").otherwise("0")
     return _fields((_G, "Format", "Flash Video"), (_G, "InternetMediaType", "video/x-flv"), (_G, "VideoCount", has(1)), (_G, "AudioCount", has(4)))
 
 
+# By encoding of an AU file, format, codec, bits a sample and whether nothing is lost.
+AU_ENCODINGS = {
+    1: ("ADPCM", "8-bit mu-law", 8, False),
+    2: ("PCM", "8-bit signed linear", 8, True),
+    3: ("PCM", "16-bit signed linear", 16, True),
+    4: ("PCM", "24-bit signed linear", 24, True),
+    5: ("PCM", "32-bit signed linear", 32, True),
+    6: ("PCM", "floating-point", 32, True),
+    7: ("PCM", "double precision float", 64, True),
+    8: ("fragmented sampled data", "fragmented sampled data", 0, False),
+    10: ("DSP program", "DSP program", 0, False),
+    11: ("PCM", "8-bit fixed-point", 8, True),
+    12: ("PCM", "16-bit fixed-point", 16, True),
+    13: ("PCM", "24-bit fixed-point", 24, True),
+    14: ("PCM", "32-bit fixed-point", 32, True),
+    17: ("ADPCM", "mu-law squelch", 0, False),
+    18: ("PCM", "16-bit linear with emphasis", 16, True),
+    19: ("PCM", "16-bit linear with compression", 16, False),
+    20: ("PCM", "16-bit linear with emphasis and compression", 16, False),
+    21: ("Music Kit DSP commands", "Music Kit DSP commands", 0, False),
+    22: ("Music Kit DSP samples", "Music Kit DSP samples", 0, False),
+    23: ("ADPCM", "G.721 ADPCM", 0, False),
+    24: ("ADPCM", "G.722 ADPCM", 0, False),
+    25: ("ADPCM", "G.723 ADPCM", 0, False),
+    26: ("ADPCM", "5-bit G.723 ADPCM", 0, False),
+    27: ("ADPCM", "8-bit a-law", 8, False),
+}
+
+
 def au(c: Column) -> Column:
-    # Encodings with their bits a sample.
-    code, rate, channels, size = be(c, 12, 4), be(c, 16, 4), be(c, 20, 4), be(c, 8, 4)
-    names = {"1": "µ-law", "2": "PCM", "3": "PCM", "4": "PCM", "5": "PCM", "6": "Float", "7": "Float", "27": "A-law"}
-    depth = lookup(code.cast("string"), {"1": "8", "2": "8", "3": "16", "4": "24", "5": "32", "6": "32", "7": "64", "27": "8"}).cast("long")
-    frame = F.when(depth * channels > 0, depth * channels)
+    code, rate, channels, start, told = be(c, 12, 4), be(c, 16, 4), be(c, 20, 4), be(c, 4, 4), be(c, 8, 4)
+    known = lambda k: lookup(code.cast("string"), {str(n): str(row[k]) for n, row in AU_ENCODINGS.items()})
+    name = F.coalesce(known(0), F.lit("PCM"))
+    bits = F.nullif(known(2).cast("long"), F.lit(0))
+    size = F.when(F.octet_length(c) >= start, F.octet_length(c) - start).when((told != 0) & (told < 0xFFFFFFFF), told).otherwise(0)
+    sound = (rate > 0) & (size > 0)
     return _fields(
-        (_G, "Format", "AU"), (_G, "AudioCount", "1"), (_A, "Format", lookup(code.cast("string"), names)), (_A, "CodecID", code), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", depth),
-        (_A, "Format_Settings_Endianness", "Big"), (_A, "BitRate_Mode", "CBR"), (_A, "BitRate", rate * frame), (_A, "StreamSize", F.when(size < 0xFFFFFFFF, size)),
-        (_A, "Duration", F.when(size < 0xFFFFFFFF, duration_ms(F.call_function("div", size * 8, frame), rate))),
+        (_G, "Format", "AU"), (_G, "AudioCount", "1"), (_A, "Format", name), (_A, "CodecID", known(1)), (_A, "Codec", known(1)), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", bits),
+        (_A, "Format_Settings_Endianness", F.when(name.isin("PCM", "ADPCM"), "Big")), (_A, "BitRate_Mode", "CBR"), (_A, "Compression_Mode", F.when(known(3) == "False", "Lossy").otherwise("Lossless")),
+        (_A, "Duration", F.when(sound, F.call_function("div", size * 1000, F.nullif(rate, F.lit(0))))), (_A, "BitRate", F.when(sound & (channels > 0), rate * bits * channels)), (_A, "StreamSize", F.when(size > 0, size)),
     )
 
 
 def midi(c: Column) -> Column:
-    return _fields((_G, "Format", "MIDI"), (_G, "AudioCount", be(c, 10, 2)))
+    return _fields((_G, "Format", "MIDI"), (_G, "AudioCount", "1"), (_A, "Format", "MIDI"))
 
 
 def elf(c: Column) -> Column:
@@ -111,7 +146,7 @@ def gzip(c: Column) -> Column:
 
 
 def bzip2(c: Column) -> Column:
-    return _fields((_G, "Format", "BZip2"), (_G, "Format_Level", latin1(c, 3, 1)))
+    return _fields((_G, "Format", "BZip2"), (_G, "Format_Level", F.concat(F.lit("block_size="), latin1(c, 3, 1))))
 
 
 def rar(c: Column) -> Column:
@@ -123,42 +158,174 @@ def iso9660(c: Column) -> Column:
     return _fields((_G, "Format", "ISO 9660"), (_G, "System_ID", text(0x8008)), (_G, "Volume_ID", text(0x8028)))
 
 
+# Positions and layouts of Opus by number of channels.
+OPUS_CHANNELS = {
+    1: ("Front: C", "M"),
+    2: ("Front: L R", "L R"),
+    3: ("Front: L C R", "L R C"),
+    4: ("Front: L R,   Rear: L R", "L R BL BR"),
+    5: ("Front: L C R, Back: L R", "L R BL BR LFE"),
+    6: ("Front: L C R, Back: L R, LFE", "L R C BL BR LFE"),
+    7: ("Front: L C R, Side: L R, Back: C, LFE", "L R C SL SR BC LFE"),
+    8: ("Front: L C R, Side: L R, Back: L R, LFE", "L R C SL SR BL BR LFE"),
+}
+
+
 def opus(c: Column) -> Column:
-    return _fields((_A, "Format", "Opus"), (_A, "Codec", "Opus"), (_A, "Channels", be(c, 9, 1)), (_A, "SamplingRate", le(c, 12, 4)))
+    place = lambda k: lookup(be(c, 9, 1).cast("string"), {str(n): row[k] for n, row in OPUS_CHANNELS.items()})
+    return _fields((_A, "Format", "Opus"), (_A, "Codec", "Opus"), (_A, "Channels", be(c, 9, 1)), (_A, "SamplingRate", F.when(le(c, 12, 4) > 0, le(c, 12, 4)).otherwise(48000)), (_A, "ChannelPositions", place(0)), (_A, "ChannelLayout", place(1)))
 
 
 def vorbis(c: Column) -> Column:
-    rate = signed(le(c, 20, 4), 4)
-    return _fields((_A, "Format", "Vorbis"), (_A, "Codec", "Vorbis"), (_A, "Channels", be(c, 11, 1)), (_A, "SamplingRate", le(c, 12, 4)), (_A, "BitRate", F.when(rate > 0, rate)))
+    most, usual, least = (signed(le(c, at, 4), 4) for at in (16, 20, 24))
+    mode = F.when((usual > 0) & (most == usual) & (usual == least), "CBR").otherwise("VBR")
+    return _fields((_A, "Format", "Vorbis"), (_A, "Codec", "Vorbis"), (_A, "Channels", be(c, 11, 1)), (_A, "SamplingRate", le(c, 12, 4)), (_A, "BitRate_Mode", mode), (_A, "BitRate", F.when(usual > 0, usual)))
 
 
 def tta(c: Column) -> Column:
     channels, bits, rate, samples = le(c, 6, 2), le(c, 8, 2), le(c, 10, 4), le(c, 14, 4)
-    return _fields((_G, "Format", "TTA"), (_G, "AudioCount", "1"), (_A, "Format", "TTA"), (_A, "Compression_Mode", "Lossless"), (_A, "BitDepth", bits), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "SamplingCount", samples), (_A, "Duration", duration_ms(samples, rate)))
+    rows = [("Format", "TTA"), ("Codec", "TTA "), ("Compression_Mode", "Lossless"), ("BitRate_Mode", "VBR"), ("BitDepth", bits), ("Channels", channels), ("SamplingRate", rate), ("SamplingCount", samples)]
+    return _fields((_G, "Format", "TTA"), (_G, "AudioCount", "1"), *[(_A, n, v) for n, v in rows], (_A, "Duration", F.call_function("div", samples * 1000, F.nullif(rate, F.lit(0)))))
+
+
+def cr2(c: Column) -> Column:
+    return _fields((_G, "Format", "CR2"), (_G, "Format_Version", F.concat_ws(".", be(c, 10, 1), be(c, 11, 1))))
+
+
+def arriraw(c: Column) -> Column:
+    return _fields((_G, "Format", "Arri Raw"), (_G, "StreamSize", "0"), (_I, "Format", "Arri Raw"), (_I, "StreamSize", F.octet_length(c)))
+
+
+def _head(c: Column) -> Column:
+    return F.decode(F.substring(c, 1, 1024), "ISO-8859-1")
+
+
+def dcp_am(c: Column) -> Column:
+    return _fields((_G, "Format", "DCP AM"), (_G, "Format_Version", F.when(_head(c).contains("PROTO-ASDCP-AM"), "Interop").otherwise("SMPTE")))
+
+
+def dcp_cpl(c: Column) -> Column:
+    return _fields((_G, "Format", F.when(_head(c).rlike("PROTO-ASDCP-CPL|schemas/429-7"), "DCP CPL").otherwise("IMF CPL")))
+
+
+def dcp_pkl(c: Column) -> Column:
+    return _fields((_G, "Format", "DCP PKL"), (_G, "StreamSize", F.octet_length(c)))
+
+
+def vp8(c: Column) -> Column:
+    key = be(c, 0, 1) < 128
+    side = lambda at_: F.when(key, le(c, at_, 2).bitwiseAND(F.lit(0x3FFF)))
+    return _fields((_V, "Format", "VP8"), (_V, "Codec", "VP8"), (_V, "BitDepth", "8"), (_V, "ColorSpace", "YUV"), (_V, "Width", side(6)), (_V, "Height", side(8)), (_G, "Format", "VP8"))
+
+
+def plain_wav(c: Column) -> Column:
+    """Whether a WAV file is nothing but its usual 44 bytes and the samples that these announce."""
+    whole = (le(c, 4, 4) + 8 == F.octet_length(c)) & (le(c, 40, 4) + 44 == F.octet_length(c)) & (le(c, 16, 4) == 16)
+    return F.coalesce(magic(c, (0, b"RIFF"), (8, b"WAVEfmt "), (36, b"data")) & whole, F.lit(False))
+
+
+def wav(c: Column) -> Column:
+    """The fields of a plain WAV file, as the kernel gives them for any."""
+    tag, channels, rate, align, bits, size = le(c, 20, 2), le(c, 22, 2), le(c, 24, 4), le(c, 32, 2), le(c, 34, 2), le(c, 40, 4)
+    name = lookup(tag.cast("string"), {"1": "PCM", "3": "PCM", "6": "A-law", "7": "µ-law", "65534": "PCM"}, F.lit("Unknown"))
+    samples = F.call_function("div", size, F.nullif(align, F.lit(0)))
+    bps = rate * channels * bits
+    return _fields(
+        (_G, "Format", "Wave"), (_G, "InternetMediaType", "audio/wav"), (_G, "Format_Settings", F.when(tag == 1, "PcmWaveformat")),
+        (_A, "Format", name), (_A, "Format_Settings_Endianness", F.when(tag.isin(1, 3, 0xFFFE), "Little")), (_A, "Format_Settings_Sign", F.when(tag == 1, F.when(bits <= 8, "Unsigned").otherwise("Signed")).when(tag == 3, "Signed")),
+        (_A, "CodecID", tag), (_A, "BitRate_Mode", "CBR"), (_A, "BitRate", F.when(bps > 0, bps)), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", bits), (_A, "StreamSize", size),
+        (_A, "SamplingCount", samples), (_A, "Duration", F.when((rate > 0) & samples.isNotNull(), duration_ms(samples, rate))), (_G, "AudioCount", "1"),
+    )
 
 
 #: Parsers with a layout of their own.
 LAYOUTS: dict[str, Callable[[Column], Column]] = {
     "bmp": bmp, "gif": gif, "psd": psd, "pcx": pcx, "dds": dds, "ivf": ivf, "flv": flv, "au": au, "midi": midi, "elf": elf, "zip": zip_, "gzip": gzip, "bzip2": bzip2, "rar": rar, "iso9660": iso9660,
-    "opus": opus, "vorbis": vorbis, "tta": tta,
+    "opus": opus, "vorbis": vorbis, "tta": tta, "cr2": cr2, "arriraw": arriraw, "dcp_am": dcp_am, "dcp_cpl": dcp_cpl, "dcp_pkl": dcp_pkl, "vp8": vp8, "wav": wav,
 }
 
-# Formats of which nothing but the name is read, as (kind, name).
-NAMES: dict[str, tuple[int, str]] = {
-    "cdxa": (_G, "CDXA"), "amv": (_G, "AMV"), "skm": (_G, "SKM"), "hds_f4m": (_G, "HDS F4M"), "dash_mpd": (_G, "DASH MPD"), "dcp_am": (_G, "DCP AM"), "dcp_cpl": (_G, "DCP CPL"), "dcp_pkl": (_G, "DCP PKL"),
-    "aaf": (_G, "AAF"), "dvdv": (_G, "DVD Video"), "lxf": (_G, "LXF"), "nut": (_G, "NUT"), "wm": (_G, "Windows Media"), "wtv": (_G, "WTV"), "rm": (_G, "RealMedia"), "ism": (_G, "ISM"), "hls": (_G, "HLS"),
-    "p2_clip": (_G, "P2 Clip"), "xdcam_clip": (_G, "XDCAM Clip"), "nsv": (_G, "NSV"), "cdp": (_T, "CDP"), "pgs": (_T, "PGS"), "dvb_subtitle": (_T, "DVB Subtitle"), "cmml": (_T, "CMML"), "ttml": (_T, "TTML"),
-    "n19": (_T, "N19"), "sub_rip": (_T, "SubRip"), "webvtt": (_T, "WebVTT"), "scc": (_T, "SCC"), "sdp": (_T, "SDP"), "pdf": (_T, "PDF"), "teletext": (_T, "Teletext"), "rle": (_T, "RLE"), "7z": (_G, "7-Zip"), "tar": (_G, "Tar"),
-    "ace": (_G, "ACE"), "mach_o": (_G, "Mach-O"), "aic": (_V, "AIC"), "avs": (_V, "AVS Video"), "avs3": (_V, "AVS3 Video"), "canopus": (_V, "Canopus HQ"), "cineform": (_V, "CineForm"), "dirac": (_V, "Dirac"),
-    "flic": (_V, "FLIC"), "fraps": (_V, "Fraps"), "huffyuv": (_V, "HuffYUV"), "lagarith": (_V, "Lagarith"), "ffv1": (_V, "FFV1"), "celt": (_A, "CELT"), "raf": (_G, "RAF"), "cr2": (_G, "CR2"),
-}
+# Formats of which nothing is read but what is told by the format itself, as (kind, field, value).
+NAMES: dict[str, tuple[tuple[int, str, str], ...]] = {
+    "cdxa": ((_G, "Format", "CDXA"),),
+    "amv": ((_G, "Format", "AMV"),),
+    "skm": ((_G, "Format", "SKM"),),
+    "hds_f4m": ((_G, "Format", "HDS F4M"),),
+    "dash_mpd": ((_G, "Format", "DASH MPD"),),
+    "dxw": ((_G, "Format", "DXW"),),
+    "aaf": ((_G, "Format", "AAF"),),
+    "dvdv": ((_G, "Format", "DVDV"),),
+    "lxf": ((_G, "Format", "LXF"),),
+    "nut": ((_G, "Format", "Nut"),),
+    "wm": ((_G, "Format", "Windows Media"), (_G, "InternetMediaType", "video/x-ms-asf")),
+    "wtv": ((_G, "Format", "WTV"),),
+    "rm": ((_G, "Format", "RealMedia"),),
+    "ism": ((_G, "Format", "ISM"),),
+    "mi_xml": ((_G, "Format", "MediaInfo XML"),),
+    "p2_clip": ((_G, "Format", "P2 Clip"),),
+    "xdcam_clip": ((_G, "Format", "XDCAM Clip"),),
+    "sequence_info": ((_G, "Format", "SequenceInfo"),),
+    "ptx": ((_G, "Format", "Pro Tools Session"), (_G, "Format_Version", "Version 10")),
+    "nsv": ((_G, "Format", "NSV"),),
+    "cdp": ((_G, "Format", "CDP"), (_T, "Format", "CDP")),
+    "pgs": ((_G, "Format", "PGS"), (_T, "Format", "PGS"), (_T, "Codec", "PGS")),
+    "dvb_subtitle": ((_G, "Format", "DVB Subtitle"), (_T, "Format", "DVB Subtitle")),
+    "cmml": ((_G, "Format", "CMML"), (_T, "Format", "CMML")),
+    "ttml": ((_G, "Format", "TTML"), (_T, "Format", "TTML")),
+    "n19": ((_G, "Format", "N19"), (_T, "Format", "N19")),
+    "sub_rip": ((_G, "Format", "SubRip"), (_T, "Format", "SubRip"), (_T, "Codec", "SubRip")),
+    "raf": ((_G, "Format", "RAF"), (_G, "Format_Commercial", "Fujifilm RAW")),
+    "aic": ((_V, "Format", "Apple Intermediate Codec"), (_V, "Format_Info", "AIC")),
+    "avs": ((_V, "Format", "AVS"), (_V, "Format_Info", "Chinese AVS standard")),
+    "avs3": ((_V, "Format", "AVS3"), (_V, "Format_Info", "Chinese AVS3 standard")),
+    "canopus": ((_V, "Format", "Canopus HQ"), (_V, "Format_Info", "Grass Valley HQX")),
+    "cineform": ((_V, "Format", "CineForm"), (_V, "Format_Info", "GoPro CineForm wavelet")),
+    "dirac": ((_V, "Format", "Dirac"), (_V, "Format_Info", "BBC Dirac wavelet")),
+    "flic": ((_V, "Format", "FLIC"), (_V, "Format_Info", "Autodesk Animator")),
+    "fraps": ((_V, "Format", "Fraps"), (_V, "Format_Info", "Fraps screen capture")),
+    "huffyuv": ((_V, "Format", "HuffYUV"), (_V, "Format_Info", "HuffYUV lossless")),
+    "lagarith": ((_V, "Format", "Lagarith"), (_V, "Format_Info", "Lagarith lossless")),
+    "dts_uhd": ((_G, "Format", "DTS"), (_G, "AudioCount", "1"), (_A, "Format", "DTS"), (_A, "Format_Profile", "UHD"), (_A, "Compression_Mode", "Lossy")),
+    "dolby_e": ((_A, "Format", "Dolby E"), (_A, "Format_Info", "Professional Dolby E"), (_A, "Compression_Mode", "Lossless")),
+    "mpegh3da": ((_A, "Format", "MPEG-H 3D Audio"), (_A, "Format_Info", "Immersive 3D Audio")),
+    "mpc_sv8": ((_A, "Format", "Musepack"), (_A, "Format_Version", "SV8"), (_A, "Format_Info", "Musepack SV8")),
+    "ps2_audio": ((_A, "Format", "PS2 Audio"), (_A, "Format_Info", "PlayStation 2 ADPCM")),
+    "smpte_st0302": ((_A, "Format", "AES3"), (_A, "Format_Info", "SMPTE ST 302"), (_A, "Format_Settings_Mode", "16 AES3 channels")),
+    "smpte_st0331": ((_A, "Format", "AES3"), (_A, "Format_Info", "SMPTE ST 331")),
+    "smpte_st0337": ((_A, "Format", "AES3"), (_A, "Format_Info", "SMPTE ST 337"), (_A, "Format_Settings", "Non-PCM")),
+    "channel_grouping": ((_A, "Format", "Channel Grouping"), (_A, "Format_Info", "Multi-stream channel grouping")),
+    "channel_splitting": ((_A, "Format", "Channel Splitting"), (_A, "Format_Info", "Multi-channel splitting")),
+    "rle": ((_G, "Format", "RLE"), (_T, "Format", "RLE"), (_T, "Codec", "RLE")),
+    "adpcm": ((_G, "Format", "ADPCM"), (_G, "AudioCount", "1"), (_A, "Format", "ADPCM"), (_A, "Codec", "ADPCM"), (_A, "Compression_Mode", "Lossy"), (_A, "BitRate_Mode", "CBR")),
+    "dolby_audio_metadata": ((_A, "Format", "Dolby Audio Metadata"), (_A, "Format_Info", "DAM")),
+    "pcm_m2ts": ((_A, "Format", "PCM"), (_A, "Format_Info", "Blu-ray LPCM"), (_A, "Format_Settings_Endianness", "Big")),
+    "mga": ((_A, "Format", "MPEG Audio"), (_A, "Format_Info", "MPEG-4 General Audio")),
+    "pdf": ((_T, "Format", "PDF"),),
+    "sdp": ((_T, "Format", "SDP"), (_T, "Format_Info", "Session Description Protocol")),
+    "pac": ((_T, "Format", "PAC"), (_T, "Format_Info", "PAC subtitle format")),
+    "dtvcc_transport": ((_T, "Format", "DTVCC"), (_T, "Format_Info", "Digital Television Closed Captioning")),
+    "scte20": ((_T, "Format", "SCTE-20"), (_T, "Format_Info", "SCTE 20 closed captioning")),
+    "eia608": ((_G, "Format", "EIA-608"), (_G, "TextCount", "1"), (_T, "Format", "EIA-608")),
+    "eia708": ((_G, "Format", "EIA-708"), (_T, "Format", "EIA-708")),
+    "vbi": ((_G, "Format", "VBI"),),
+    "webvtt": ((_T, "Format", "WebVTT"), (_T, "MuxingMode", "WebVTT")),
+    "afd_bar_data": ((_V, "Format", "AFD/Bar Data"), (_V, "Format_Info", "SMPTE 2016-1")),
+    "hdr_vivid": ((_V, "Format", "HDR Vivid"), (_V, "HDR_Format", "HDR Vivid"), (_V, "Format_Info", "Chinese HDR Vivid")),
+    "teletext": ((_T, "Format", "Teletext"), (_T, "MuxingMode", "Teletext")),
+    "scc": ((_T, "Format", "SCC"), (_T, "MuxingMode", "SCC")),
+    "7z": ((_G, "Format", "7-Zip"),),
+    "ace": ((_G, "Format", "ACE"),),
+}
+
+
+def _constants() -> Column:
+    """The fields of ``NAMES`` by parser, as one map of literals."""
+    row = lambda kind, name, value: f"named_struct('kind_id', {kind}, 'pos', 0, 'name', '{name}', 'value', '{value}', 'is_extra', false)"
+    return F.expr("map(" + ", ".join(f"'{n}', array({', '.join(row(*r) for r in rows)})" for n, rows in NAMES.items()) + ")")
 
 
 def layout_fields(parser: Column, content: Column) -> Column:
     """The fields of a blob by its parser; null for parsers without a layout."""
-    label, kind = lookup(parser, {n: x for n, (_, x) in NAMES.items()}), lookup(parser, {n: str(k) for n, (k, _) in NAMES.items()}).cast("int")
-    named = F.when(label.isNotNull(), F.array(*[F.struct(k.alias("kind_id"), F.lit(0).alias("pos"), F.lit("Format").alias("name"), label.alias("value"), F.lit(False).alias("is_extra")) for k in (F.lit(_G), kind)]))
     out = F.when(F.lit(False), F.array(_field(_G, "Format", "")))
     for name, layout in LAYOUTS.items():
         out = out.when(parser == name, layout(content))
-    return F.coalesce(out, F.array_distinct(named))
+    return F.coalesce(F.try_element_at(_constants(), parser), out)

@@ -1,66 +1,107 @@
-"""From blobs to the long table of fields: Catalyst layouts where they suffice, Arrow-batched kernels elsewhere."""
+"""From blobs to fields: Catalyst layouts where they suffice, Arrow-batched kernels elsewhere."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
 
-import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.model import KERNEL_FIELD, kind_name
-from framelake.operators.detection import detect
-from framelake.operators.kernels import KERNELS, run_kernel
-from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields
+from framelake.operators.detection import candidates, names
+from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, plain_wav
+from framelake.operators.registry import IN_LAYOUTS, KERNELS, first_accepting
 
 _FIELD = pa.struct([("kind_id", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("is_extra", pa.bool_())])
+_WALKED = pa.struct([("parser", pa.string()), ("fields", pa.list_(_FIELD)), ("truncated", pa.bool_())])
 
 
-def _kernel_fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fills in the fields of rows whose content is there; the others have theirs already."""
-    for batch in batches:
-        path, parser, content, fields = batch.columns
-        mine = content.is_valid().to_numpy(zero_copy_only=False)
-        if mine.any():
-            ends, columns = [0], ([], [], [], [], [])
-            for p, c in zip(parser.filter(pa.array(mine)).to_pylist(), content.filter(pa.array(mine)).to_pylist()):
-                for row in run_kernel(p, c):
-                    for column, value in zip(columns, row):
-                        column.append(value)
-                ends.append(len(columns[0]))
-            rows = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FIELD)], fields=list(_FIELD))
-            walked = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-            order = np.where(mine, len(fields) + np.cumsum(mine) - 1, np.arange(len(fields)))
-            fields = pa.concat_arrays([fields.cast(walked.type), walked]).take(pa.array(order))
-        yield pa.RecordBatch.from_arrays([path, fields], ["path", "fields"])
+_WALKED_SQL = f"struct<parser: string, fields: array<{KERNEL_FIELD}>, truncated: boolean>"
 
 
-_made: dict[int, Column] = {}
+def _walk(candidates: pa.Array, content: pa.Array) -> pa.Array:
+    """Tries the kernels in their order on rows that have content; the others stay null."""
+    parsers, cuts, ends, columns = [], [], [0], ([], [], [], [], [])
+    for tried, blob in zip(candidates, content):
+        found = first_accepting([n for n in tried.as_py() if n in KERNELS], blob.as_py()) if blob.is_valid else None
+        parsers.append(found[0] if found else None)
+        cuts.append(found[2] if found else None)
+        for row in found[1] if found else ():
+            for column, value in zip(columns, row):
+                column.append(value)
+        ends.append(len(columns[0]))
+    rows = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FIELD)], fields=list(_FIELD))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+    return pa.StructArray.from_arrays([pa.array(parsers, pa.string()), lists, pa.array(cuts, pa.bool_())], fields=list(_WALKED))
 
 
-def _layouts() -> Column:
+@functools.cache
+def _walker():
+    """Made when it is first used, as its type is parsed by a session."""
+    return F.arrow_udf(_WALKED_SQL)(_walk)
+
+
+_made: dict[tuple, Column] = {}
+
+
+def _layouts(name: str, *columns: str) -> Column:
     """The layouts of all parsers as one expression; made once for each JVM, as it has some thousand nodes."""
-    key = id(SparkContext._gateway)
+    key = id(SparkContext._gateway), name, *columns
     if key not in _made:
-        _made.clear()
-        _made[key] = layout_fields(F.col("parser"), F.col("content"))
+        _made[key] = layout_fields(*[F.col(c) for c in columns])
     return _made[key]
 
 
+def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None) -> DataFrame:
+    """(path, parser, fields, truncated, error): one row for each of ``files`` (path, content), by detection or by one parser
+    that is called for all.
+
+    ``fields`` is an array in the order of writing; null, with an error, where nothing accepts the blob. ``truncated`` tells
+    of walked blobs whether they end before what they announce. Python gets the content only of blobs whose first
+    candidates have to be walked; a plain WAV file doesn't."""
+    tried = F.when(F.col("content").isNotNull(), F.array(F.lit(parser))) if parser else names(candidates(F.col("content"), policy))
+    known = parser is None or parser in KERNELS or parser in LAYOUTS or parser in NAMES
+    rows = files.select("path", "content", F.explode(F.array(F.struct(tried.alias("tried"), plain_wav(F.col("content")).alias("plain")))).alias("d"))
+    rows = rows.select("path", "content", "d.tried", (F.col("d.plain") & (F.get("d.tried", 0) == "wav")).alias("plain")) if known else rows.select("path", "content", F.lit(None).cast("array<string>").alias("tried"), F.lit(False).alias("plain"))
+    walked = [n for n in KERNELS if n not in IN_LAYOUTS]
+    # The last candidate may need no walk; the others are tried by the kernels before it.
+    last = F.get("tried", F.size("tried") - 1)
+    settled = F.when(F.col("plain"), "wav").when(~last.isin(*walked), last)
+    rows = rows.withColumn("settled", settled)
+    walk = ~F.coalesce(F.col("plain"), F.lit(False)) & F.get("tried", 0).isin(*walked) & (F.size("tried") > 0)
+    # One struct made once for all its uses; only rows to be walked have content in it.
+    rows = rows.select("path", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
+    rows = rows.withColumn("walked", _walker()(F.coalesce("tried", F.array().cast("array<string>")), "body")) if parser is None or parser in walked else rows.withColumn("walked", F.lit(None).cast(_WALKED_SQL))
+    mine = F.col("walked.parser").isNotNull()
+    fields = F.when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
+    name = F.when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
+    error = F.when(F.col("content").isNull(), "no content").when(name.isNull(), "no parser accepts the blob")
+    return rows.select("path", name.alias("parser"), fields.alias("fields"), F.coalesce("walked.truncated", F.lit(False)).alias("truncated"), error.alias("error"))
+
+
+def long_fields(rows: DataFrame) -> DataFrame:
+    """The long table of what ``parsed`` makes."""
+    flat = rows.select("path", F.posexplode("fields").alias("ord", "f"))
+    return flat.select("path", "f.kind_id", kind_name(F.col("f.kind_id")).alias("kind"), "f.pos", "f.name", "f.value", "f.is_extra", "ord")
+
+
 def parse(files: DataFrame, policy: str = "compat", parser: str | None = None) -> DataFrame:
-    """The fields of all ``files`` (path, content), by detection or by one parser called for all.
-
-    Blobs that nothing accepts have no rows. Files are read once; Python sees the content only of those whose format has
-    to be walked."""
-    known = F.struct(F.lit(parser).alias("parser")) if parser else detect(F.col("content"), policy)
-    found = files.select("path", "content", F.explode(F.array(known)).alias("d")).select("path", F.col("d.parser").alias("parser"), "content")
-    if parser:
-        found = found.where(F.lit(parser in KERNELS or parser in LAYOUTS or parser in NAMES))
-    walked = F.col("parser").isin(*KERNELS)
-    rows = found.where("parser is not null").select("path", "parser", F.when(walked, F.col("content")).alias("content"), _layouts().alias("fields"))
-    if parser is None or parser in KERNELS:
-        rows = rows.mapInArrow(_kernel_fields, f"path string, fields array<{KERNEL_FIELD}>")
-    rows = rows.select("path", F.posexplode("fields").alias("ord", "f"))
-    return rows.select("path", "f.kind_id", kind_name(F.col("f.kind_id")).alias("kind"), "f.pos", "f.name", "f.value", "f.is_extra", "ord")
+    """The fields of all ``files`` (path, content) as the long table. Blobs that nothing accepts have no rows here; ``parsed``
+    tells why."""
+    return long_fields(parsed(files, policy, parser))
+
+
+def stream_maps(rows: DataFrame, kind: int) -> DataFrame:
+    """(path, pos, fields): the streams of a kind of what ``parsed`` makes, a map of each one's fields. A file's fields are in
+    one row already, so nothing is shuffled."""
+    own = F.filter("fields", lambda r: (r["kind_id"] == kind) & ~r["is_extra"])
+    flat = rows.select("path", own.alias("own")).select("path", "own", F.explode(F.array_sort(F.array_distinct(F.transform("own", lambda r: r["pos"])))).alias("pos"))
+    pairs = F.transform(F.filter("own", lambda r: r["pos"] == F.col("pos")), lambda r: F.struct(r["name"], r["value"]))
+    return flat.select("path", "pos", F.map_from_entries(pairs).alias("fields"))
+
+
+def typed_streams(rows: DataFrame, kind: int, columns: dict[str, str]) -> DataFrame:
+    """One row a stream of a kind of what ``parsed`` makes, with named fields cast to types; what can't be cast is null."""
+    return stream_maps(rows, kind).select("path", "pos", *[F.try_element_at("fields", F.lit(n)).try_cast(t).alias(n) for n, t in columns.items()])

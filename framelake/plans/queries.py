@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.functions import display as D
-from framelake.model import kind_id
+from framelake.model import KINDS, kind_id
 from framelake.operators import derived, diffing, streams, summary
 from framelake.operators.detection import detected
-from framelake.operators.parsing import parse
+from framelake.operators.parsing import long_fields, parse, parsed, stream_maps, typed_streams
 from framelake.plans import blobs
 from framelake.sources import media
 
+AUDIO, IMAGE = KINDS.index("Audio"), KINDS.index("Image")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,8 +44,7 @@ select hz::varchar as sampling_rate, ch::varchar as channels, count(*) as files,
 from ({_WAV}) group by all""")
 def wav_roundtrip_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: build, detect, decode, view typed, aggregate."""
-    fields = parse(blobs.wav_blobs(_table(spark, sf_dir, "lineitem")))
-    audio = streams.typed_view(fields, "Audio", {"SamplingRate": "string", "Channels": "string", "StreamSize": "long", "Duration": "long", "BitRate": "long"})
+    audio = typed_streams(parsed(blobs.wav_blobs(_table(spark, sf_dir, "lineitem"))), AUDIO, {"SamplingRate": "string", "Channels": "string", "StreamSize": "long", "Duration": "long", "BitRate": "long"})
     return audio.groupBy(F.col("SamplingRate").alias("sampling_rate"), F.col("Channels").alias("channels")).agg(
         F.count("*").alias("files"), F.sum("StreamSize").alias("bytes"), F.min("Duration").alias("duration_min"), F.max("Duration").alias("duration_max"), F.max("BitRate").alias("bitrate")
     )
@@ -53,8 +54,7 @@ def wav_roundtrip_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'bmp/' || p_partkey as path, (16 + p_size)::varchar as width, (16 + p_partkey % 1000)::varchar as height,
   case when p_partkey % 2 = 0 then 'RGB' else 'Palette' end as color_space, case when p_partkey % 2 = 0 then '24' else '8' end as bit_depth from part""")
 def bmp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = parse(blobs.bmp_blobs(_table(spark, sf_dir, "part")))
-    view = streams.typed_view(fields, "Image", {"Width": "string", "Height": "string", "ColorSpace": "string", "BitDepth": "string"})
+    view = typed_streams(parsed(blobs.bmp_blobs(_table(spark, sf_dir, "part"))), IMAGE, {"Width": "string", "Height": "string", "ColorSpace": "string", "BitDepth": "string"})
     return view.select("path", F.col("Width").alias("width"), F.col("Height").alias("height"), F.col("ColorSpace").alias("color_space"), F.col("BitDepth").alias("bit_depth"))
 
 
@@ -62,7 +62,7 @@ def bmp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'gif/' || p_partkey as path, case when p_partkey % 3 = 0 then '87a' else '89a' end as profile,
   printf('%.3f', (16 + p_size)::double / (16 + p_partkey % 1000)) as aspect from part""")
 def gif_roundtrip_dar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = streams.typed_view(parse(blobs.gif_blobs(_table(spark, sf_dir, "part"))), "Image", {"Format_Profile": "string", "DisplayAspectRatio": "string"})
+    view = typed_streams(parsed(blobs.gif_blobs(_table(spark, sf_dir, "part"))), IMAGE, {"Format_Profile": "string", "DisplayAspectRatio": "string"})
     return view.select("path", F.col("Format_Profile").alias("profile"), F.col("DisplayAspectRatio").alias("aspect"))
 
 
@@ -71,7 +71,7 @@ select color_space, count(*) as files, max(w)::bigint as width_max, min(h)::bigi
   select case o_orderkey % 5 when 0 then 'Y' when 1 then 'RGB' when 2 then 'RGB' when 3 then 'YA' else 'RGBA' end as color_space, o_orderkey % 4000 + 1 as w, o_custkey % 3000 + 1 as h from orders)
 group by all""")
 def png_ihdr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    view = streams.typed_view(parse(blobs.png_blobs(_table(spark, sf_dir, "orders"))), "Image", {"Width": "long", "Height": "long", "ColorSpace": "string"})
+    view = typed_streams(parsed(blobs.png_blobs(_table(spark, sf_dir, "orders"))), IMAGE, {"Width": "long", "Height": "long", "ColorSpace": "string"})
     return view.groupBy(F.col("ColorSpace").alias("color_space")).agg(F.count("*").alias("files"), F.max("Width").alias("width_max"), F.min("Height").alias("height_min"))
 
 
@@ -88,8 +88,8 @@ _BLOBS = "(select 'documents' as t, text from documents union all select 'pages'
 
 
 @_query(f"""
-select t as source, case when text is null or text = '' then null when strlen(text) >= 10 and ord(text[1]) >= 128 then 'vp8' else 'rle' end as parser, count(*) as blobs
-from {_BLOBS} group by all""")
+select t as source, case when text is null or text = '' then null when strlen(text) >= 10 and ord(text[1]) >= 128 then 'vp8' when a // 64 = 0 and a // 4 % 4 < 3 and a % 4 < 2 and b // 64 < 2 then 'dat' else 'rle' end as parser, count(*) as blobs
+from (select *, ('0x' || nullif(substr(hex(encode(text)), 11641, 2), ''))::int as a, ('0x' || nullif(substr(hex(encode(text)), 11643, 2), ''))::int as b from {_BLOBS}) group by all""")
 def detect_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain text falls through to the gates that accept nearly anything."""
     files = blobs.text_blobs(*[_table(spark, sf_dir, t) for t in ("documents", "pages", "conversations")])
@@ -175,8 +175,8 @@ select hz::varchar as rate, count(*) as audio_streams, 'PCM' as audio_formats, s
   'Streams: 0 video, ' || count(*) || ' audio, 0 text, 0 image' as line from ({_WAV}) group by all""")
 def collection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary of all files of a sampling rate, from parsed blobs."""
-    wide = streams.streams_wide(parse(blobs.wav_blobs(_table(spark, sf_dir, "lineitem"))).where("kind = 'Audio'"))
-    keyed = wide.withColumn("rate", F.col("fields")["SamplingRate"])
+    wide = stream_maps(parsed(blobs.wav_blobs(_table(spark, sf_dir, "lineitem"))), AUDIO)
+    keyed = wide.withColumn("kind", F.lit("Audio")).withColumn("rate", F.col("fields")["SamplingRate"])
     return summary.summarise(keyed, "rate").select("rate", "audio_streams", "audio_formats", "channels", "line")
 
 
@@ -334,12 +334,15 @@ def coverage_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("""
 select a.p_partkey || '.mkv' as path, count(b.p_partkey) as sidecars, coalesce(sum(16 + b.p_size), 0)::bigint as bytes
-from part a left join part b on a.p_partkey % 50 = b.p_partkey % 50 and b.p_partkey % 2 = 1 where a.p_partkey % 10 = 0 group by all""")
+from (select * from part where p_partkey % 2 = 0) a left join (select * from part where p_partkey % 2 = 1) b on a.p_partkey // 8 = b.p_partkey // 8 group by all""")
 def sidecar_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and their companions: equal folder and stem, another extension."""
+    """Files and their companions: equal folder and stem, another extension. Even keys are films, odd ones companions, eight
+    keys share a stem; a folder holds a thousand keys."""
+    key = F.col("p_partkey")
+    place = [F.floor(key / 1000).cast("string").alias("folder"), F.floor(key / 8).cast("string").alias("stem")]
     part = _table(spark, sf_dir, "part")
-    files = part.where("p_partkey % 10 = 0").select(F.concat("p_partkey", F.lit(".mkv")).alias("path"), F.lit("d").alias("folder"), (F.col("p_partkey") % 50).cast("string").alias("stem"))
-    others = part.where("p_partkey % 2 = 1").select(F.concat("p_partkey", F.lit(".srt")).alias("sidecar"), F.lit("d").alias("folder"), (F.col("p_partkey") % 50).cast("string").alias("stem"), (F.col("p_size") + 16).cast("long").alias("length"))
+    files = part.where(key % 2 == 0).select(F.concat(key, F.lit(".mkv")).alias("path"), *place)
+    others = part.where(key % 2 == 1).select(F.concat(key, F.lit(".srt")).alias("sidecar"), *place, (F.col("p_size") + 16).cast("long").alias("length"))
     joined = media.with_sidecars(files, others)
     return joined.groupBy("path").agg(F.count("sidecar").alias("sidecars"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
 
@@ -366,8 +369,7 @@ def _export(name: str, make: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         from framelake.sinks import exporters
 
-        fields = parse(blobs.wav_blobs(_table(spark, sf_dir, "lineitem")))
-        return exporters.export(fields, make)
+        return exporters.export(parsed(blobs.wav_blobs(_table(spark, sf_dir, "lineitem"))), make)
 
     f.__name__ = name
     _query()(f)

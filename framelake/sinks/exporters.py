@@ -111,7 +111,7 @@ LABELS = {
     "SamplingRate": "Sampling rate", "Compression_Mode": "Compression mode", "Encoded_Application": "Writing application", "Encoded_Library": "Writing library", "Encoded_Date": "Encoded date", "Tagged_Date": "Tagged date",
     "Format_Settings_CABAC": "Format settings, CABAC", "Format_Settings_RefFrames": "Format settings, Reference frames", "Format_Settings_GOP": "Format settings, GOP", "Format_Settings_Mode": "Mode",
 }
-_LANGUAGE = {code: name for name, codes in LANGUAGES.items() for code in codes.split()}
+_LANGUAGE = LANGUAGES
 
 
 def _figures(v: float) -> str:
@@ -296,8 +296,12 @@ def _rendered(form: str) -> Callable:
 
 
 def export(fields: DataFrame, form: str) -> DataFrame:
-    """(path, document): the fields of each path as one of ``FORMS``."""
+    """(path, document): the fields of each path as one of ``FORMS``. ``fields`` is the long table, whose rows are gathered
+    by path; or what ``parsed`` makes, a row a file with its fields in it, which needs no shuffle."""
     if form not in FORMS:
         raise ValueError(f"unknown form {form}")
-    rows = fields.groupBy("path").agg(F.collect_list(F.struct("kind_id", "pos", "name", "value", "is_extra", "ord")).alias("rows"))
+    if "fields" in fields.columns:
+        rows = fields.select("path", F.transform("fields", lambda r, k: F.struct(r["kind_id"], r["pos"], r["name"], r["value"], r["is_extra"], k.alias("ord"))).alias("rows")).where("rows is not null")
+    else:
+        rows = fields.groupBy("path").agg(F.collect_list(F.struct("kind_id", "pos", "name", "value", "is_extra", "ord")).alias("rows"))
     return rows.mapInArrow(_rendered(form), "path string, document string")

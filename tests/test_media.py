@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framelake.operators import derived, diffing, streams
 from framelake.operators.detection import detected
-from framelake.operators.parsing import parse
+from framelake.operators.parsing import parse, parsed
 from framelake.plans import queries
 from framelake.sinks.exporters import FORMS, Media, export
 from framelake.sources import media
@@ -41,18 +41,44 @@ def blobs(spark, rows):
     return spark.createDataFrame([(p, bytearray(c) if c is not None else None) for p, c in rows], "path string, content binary")
 
 
+# What each policy calls samples that an earlier gate accepts as well, or that only a direct call reads.
+SHADOWED = {
+    "aac_adts": ("vp8", "aac_adts"),
+    "vvc": ("gain_map", "vvc"),
+    "vp8": ("vp8", None),
+    "vp9": ("vp8", "vp9"),
+    "theora": ("vp8", "theora"),
+    "prores": ("gain_map", "prores"),
+    "vc3": ("rle", "vc3"),
+    "dolby_vision": ("rle", "dolby_vision"),
+    "tar": ("rle", "tar"),
+    "mz_exe": ("rle", "mz_exe"),
+    "mach_o": ("vp8", "mach_o"),
+    "iamf": ("vp8", "iamf"),
+    "ac4": ("vp8", "ac4"),
+    "dat": ("dat", None),
+    "usac": ("rle", "aac"),
+    "pcm": ("rle", "pcm"),
+    "aac": ("rle", "aac"),
+    "adm": ("rle", None),
+    "pcm_vob": ("rle", None),
+    "gain_map": ("gain_map", None),
+    "timed_text": ("rle", None),
+}
+
+
 def test_detection_policies(spark):
-    rows = [(n, d) for n, (d, _) in SAMPLES.items()] + [("empty", b""), ("null", None), ("prose", b"Just some prose."), ("high", "Écrit en français".encode()), ("zip", b"PK\x03\x04" + bytes(30)), ("amv", b"RIFF\0\0\0\0AMV " + bytes(20)), ("srt", b"\xef\xbb\xbf1\r\n00:00:01,000 --> 00:00:02,000\r\nHi")]
+    rows = [(n, SAMPLES[n][0]) for n in SAMPLES] + [("empty", b""), ("null", None), ("prose", b"Just some prose."), ("high", "Écrit en français".encode()), ("zip", b"PK\x03\x04" + bytes(30)), ("amv", b"RIFF\0\0\0\0AMV " + bytes(20)), ("srt", b"\xef\xbb\xbf1\r\n00:00:01,000 --> 00:00:02,000\r\nHi")]
     compat = {r.path: r.parser for r in detected(blobs(spark, rows)).collect()}
     sane = {r.path: r.parser for r in detected(blobs(spark, rows), "sane").collect()}
-    for n in set(SAMPLES):
-        assert compat[n] == ("vp8" if n == "aac_adts" else n) and sane[n] == n
+    assert {n: compat[n] for n in SAMPLES} == {n: SHADOWED.get(n, (n, n))[0] for n in SAMPLES}
+    assert {n: sane[n] for n in SAMPLES} == {n: SHADOWED.get(n, (n, n))[1] for n in SAMPLES}
     assert [compat[n] for n in ("empty", "null", "prose", "high", "zip", "amv", "srt")] == [None, None, "rle", "vp8", "rle", "amv", "sub_rip"]
     assert [sane[n] for n in ("empty", "null", "prose", "high", "zip", "amv", "srt")] == [None, None, None, None, "zip", "amv", "sub_rip"]
 
 
 def test_parse_mixed_blobs(spark):
-    rows = [(n, d) for n, (d, _) in SAMPLES.items() if n != "aac_adts"]
+    rows = [(n, d) for n, (d, _) in SAMPLES.items() if n not in SHADOWED]
     rows += [("gif", b"GIF89a" + bytes.fromhex("8007 3804") + b"\0\0\0"), ("prose", b"Just some prose."), ("null", None), ("bad", b"RIFF\x04\0\0\0WAVE")]
     fields = parse(blobs(spark, rows)).collect()
     by = {}
@@ -60,8 +86,11 @@ def test_parse_mixed_blobs(spark):
         by.setdefault(r.path, {})[r.kind_id, r.pos, r.name] = r.value
     for n, (_, want) in ((n, SAMPLES[n]) for n in SAMPLES if n in by):
         assert {k: by[n].get(k) for k in want} == want
-    assert by["gif"][5, 0, "DisplayAspectRatio"] == "1.778" and by["prose"] == {(0, 0, "Format"): "RLE", (3, 0, "Format"): "RLE"}
-    assert {n for n, _ in rows} - set(by) == {"null", "bad"}
+    assert by["gif"][5, 0, "DisplayAspectRatio"] == "1.778" and by["prose"] == {(0, 0, "Format"): "RLE", (3, 0, "Format"): "RLE", (3, 0, "Codec"): "RLE"}
+    assert by["bad"][0, 0, "Format"] == "RLE"  # its own parser rejects it, so it falls to the next gate
+    assert {n for n, _ in rows} - set(by) == {"null"}
+    why = {r.path: (r.parser, r.truncated, r.error) for r in parsed(blobs(spark, rows + [("cut", SAMPLES["wav"][0][:3000])]), "sane").collect()}
+    assert why["null"] == (None, False, "no content") and why["bad"] == (None, False, "no parser accepts the blob") and why["prose"][2] and why["wav"] == ("wav", False, None) and why["cut"] == ("wav", True, None)
     direct = parse(blobs(spark, [("z", b"PK\x03\x04\x14\0\0\0\x08\0" + bytes(20))]), parser="zip").collect()
     assert [(r.name, r.value) for r in direct] == [("Format", "ZIP"), ("Format_Compression", "Deflate")]
     assert parse(blobs(spark, []), parser="nothing").collect() == []
