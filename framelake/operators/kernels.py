@@ -404,96 +404,6 @@ def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
         at = stop
 
 
-def _box(data: bytes, at: int, end: int, *path: bytes) -> tuple[int, int] | None:
-    for name in path:
-        here = next(((a, b) for n, a, b in boxes(data, at, end) if n == name), None)
-        if here is None:
-            return None
-        at, end = here
-    return at, end
-
-
-# Sample entries and brands.
-MP4_CODECS = {
-    "avc1": "AVC", "avc3": "AVC", "hvc1": "HEVC", "hev1": "HEVC", "av01": "AV1", "vp09": "VP9", "vp08": "VP8", "mp4v": "MPEG-4 Visual", "apcn": "ProRes", "apch": "ProRes", "mp4a": "AAC", "ac-3": "AC-3", "ec-3": "E-AC-3",
-    "Opus": "Opus", "fLaC": "FLAC", "alac": "ALAC", "sowt": "PCM", "twos": "PCM", "tx3g": "Timed Text", "wvtt": "WebVTT", "stpp": "TTML", "c608": "EIA-608",
-}
-MP4_PROFILES = {"isom": "Base Media / Version 1", "mp42": "Base Media / Version 2", "avc1": "Base Media", "qt  ": "QuickTime", "M4A ": "Apple audio with iTunes info", "M4V ": "Apple TV", "dash": "Base Media / DASH"}
-
-
-def mp4(data: bytes, f: Found) -> bool:
-    if data[4:8] != b"ftyp":
-        return False
-    end, moov, mdat, media, at = len(data), None, None, 0, 0
-    brands: list[str] = []
-    for name, a, b in boxes(data, 0, end):
-        if name == b"ftyp":
-            brands = [data[k : k + 4].decode("latin-1") for k in (a, *range(a + 8, b - 3, 4))]
-        elif name == b"moov":
-            moov = a, b
-        elif name == b"mdat":
-            mdat = a if mdat is None else mdat
-            media += b - a
-    major = brands[0] if brands else ""
-    f.many(G, Format="MPEG-4", InternetMediaType="video/quicktime" if major == "qt  " else "video/mp4", StreamSize=end - media, IsStreamable=("Yes" if mdat is None or moov[0] < mdat else "No") if moov else None)
-    f.many(G, Format_Profile=MP4_PROFILES.get(major), CodecID=major, CodecID_Compatible="/".join(dict.fromkeys(b for b in brands if b.strip("\0"))) or None)
-    if moov is None:
-        return True
-    if head := _box(data, *moov, b"mvhd"):
-        at = head[0] + (20 if data[head[0]] else 12)
-        scale, length = u(data, at, 4), u(data, at + 4, 8 if data[head[0]] else 4)
-        made = u(data, head[0] + 4, 8 if data[head[0]] else 4)
-        f.many(G, Duration=milliseconds(length, scale) or None, Encoded_Date=_mac_date(made))
-    n = {V: 0, A: 0, T: 0}
-    for name, a, b in boxes(data, *moov):
-        if name == b"trak":
-            _track(data, a, b, f, n)
-    f.many(G, VideoCount=n[V] or None, AudioCount=n[A] or None, TextCount=n[T] or None)
-    return True
-
-
-def _mac_date(seconds: int) -> str | None:
-    import datetime
-
-    if not 0 < seconds - 2082844800 < 1 << 34:
-        return None
-    return (datetime.datetime(1970, 1, 1) + datetime.timedelta(seconds=seconds - 2082844800)).strftime("%Y-%m-%d %H:%M:%S UTC")
-
-
-def _track(data: bytes, at: int, end: int, f: Found, n: dict[int, int]) -> None:
-    kind_box, media, table = _box(data, at, end, b"mdia", b"hdlr"), _box(data, at, end, b"mdia", b"mdhd"), _box(data, at, end, b"mdia", b"minf", b"stbl")
-    if not (kind_box and media and table):
-        return
-    kind = {b"vide": V, b"soun": A, b"text": T, b"sbtl": T, b"subt": T}.get(data[kind_box[0] + 8 : kind_box[0] + 12])
-    if kind is None:
-        return
-    pos, n[kind] = n[kind], n[kind] + 1
-    long_ = data[media[0]]
-    where = media[0] + (20 if long_ else 12)
-    scale, length = u(data, where, 4), u(data, where + 4, 8 if long_ else 4)
-    code = u(data, where + (12 if long_ else 8), 2)
-    lang = "".join(chr((code >> s & 31) + 96) for s in (10, 5, 0))
-    if head := _box(data, at, end, b"tkhd"):
-        f.put(kind, "ID", u(data, head[0] + (20 if data[head[0]] else 12), 4), pos)
-    entry = _box(data, *table, b"stsd")
-    codec = data[entry[0] + 12 : entry[0] + 16].decode("latin-1") if entry else ""
-    ms = milliseconds(length, scale)
-    f.many(kind, pos, Format=MP4_CODECS.get(codec, codec or None), CodecID=codec or None, Duration=ms or None, Language=None if lang in ("und", "```") else lang)
-    frames = total = 0
-    if sizes := _box(data, *table, b"stsz"):
-        each, frames = u(data, sizes[0] + 4, 4), u(data, sizes[0] + 8, 4)
-        known = min(frames, (sizes[1] - sizes[0] - 12) // 4)
-        total = each * frames if each else sum(struct.unpack(f">{known}I", data[sizes[0] + 12 : sizes[0] + 12 + 4 * known])) if known > 0 else 0
-    body = entry[0] + 16 if entry else 0
-    if kind == V and entry:
-        width, height = u(data, body + 24, 2), u(data, body + 26, 2)
-        f.many(V, pos, Width=width, Height=height, DisplayAspectRatio=three(width / height) if height else None, FrameRate=three(frames * 1000 / ms) if ms and frames else None, FrameCount=frames or None)
-    elif kind == A and entry:
-        rate = u(data, body + 24, 4) >> 16
-        f.many(A, pos, Channels=u(data, body + 16, 2), SamplingRate=rate, SamplingCount=(ms * rate + 500) // 1000 or None)
-    f.many(kind, pos, StreamSize=total or None, BitRate=total * 8000 // ms if ms and total else None)
-
-
 def vint(data: bytes, at: int, keep: bool) -> tuple[int, int]:
     """EBML number at ``at`` and its length; (0, 0) where there's none."""
     first = data[at] if at < len(data) else 0
@@ -715,80 +625,11 @@ def nal_units(data: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
         at = after
 
 
-# Profiles, chroma formats and the sample aspect ratios of idc 1 to 16.
-AVC_PROFILES = {66: "Baseline", 77: "Main", 88: "Extended", 100: "High", 110: "High 10", 122: "High 4:2:2", 244: "High 4:4:4 Predictive"}
+# Chroma formats and the sample aspect ratios of idc 1 to 16.
 CHROMA = {0: None, 1: "4:2:0", 2: "4:2:2", 3: "4:4:4"}
 ASPECTS = ((1, 1), (12, 11), (10, 11), (16, 11), (40, 33), (24, 11), (20, 11), (32, 11), (80, 33), (18, 11), (15, 11), (64, 33), (160, 99), (4, 3), (3, 2), (2, 1))
 
 
-def avc(data: bytes, f: Found) -> bool:
-    sps = next((n for n in nal_units(data) if n and n[0] & 31 == 7), None)
-    if sps is None or len(sps) < 5:
-        return False
-    profile, level, b = sps[1], sps[3], Bits(sps[4:])
-    b.ue()
-    chroma, depth = 1, 8
-    if profile in (100, 110, 122, 244, 44, 83, 86, 118, 128):
-        chroma = b.ue()
-        if chroma == 3:
-            b.take(1)
-        depth = b.ue() + 8
-        b.ue()
-        b.take(1)
-        if b.take(1):
-            for k in range(8 if chroma != 3 else 12):
-                if b.take(1):
-                    last = after = 8
-                    for _ in range(16 if k < 6 else 64):
-                        after = (last + b.se()) % 256 if after else 0
-                        last = after or last
-    b.ue()
-    order = b.ue()
-    if order == 0:
-        b.ue()
-    elif order == 1:
-        b.take(1)
-        b.se()
-        b.se()
-        for _ in range(min(b.ue(), 255)):
-            b.se()
-    references = b.ue()
-    b.take(1)
-    wide, high, frames = b.ue() + 1, b.ue() + 1, b.take(1)
-    if not frames:
-        b.take(1)
-    b.take(1)
-    width, height = wide * 16, high * 16 * (2 - frames)
-    if b.take(1):
-        x, y = (1, 1) if chroma in (0, 3) else (2, 2 if chroma == 1 else 1)
-        left, right, top, bottom = b.ue(), b.ue(), b.ue(), b.ue()
-        width, height = width - (left + right) * x, height - (top + bottom) * y * (2 - frames)
-    shape, rate = (1, 1), None
-    if b.take(1):
-        if b.take(1):
-            idc = b.take(8)
-            shape = (b.take(16), b.take(16)) if idc == 255 else ASPECTS[idc - 1] if 1 <= idc <= 16 else (1, 1)
-        if b.take(1):
-            b.take(1)
-        if b.take(1):
-            b.take(4)
-            if b.take(1):
-                b.take(24)
-        if b.take(1):
-            b.ue()
-            b.ue()
-        if b.take(1):
-            unit, scale = b.take(32), b.take(32)
-            rate = scale / (2 * unit) if unit else None
-    if width <= 0 or height <= 0:
-        return False
-    ratio = shape[0] / shape[1] if shape[1] else 1.0
-    f.many(V, Format="AVC", Format_Profile=AVC_PROFILES.get(profile), Format_Level=f"{level / 10:g}", Format_Settings_RefFrames=references, Width=width, Height=height, Sampled_Width=wide * 16, Sampled_Height=high * 16 * (2 - frames))
-    f.many(V, PixelAspectRatio=three(ratio), DisplayAspectRatio=three(width * ratio / height), FrameRate=three(rate) if rate else None, ColorSpace="YUV", ChromaSubsampling=CHROMA.get(chroma), BitDepth=depth, ScanType="Progressive" if frames else "Interlaced")
-    f.many(G, Format="AVC", VideoCount=1, FrameRate=three(rate) if rate else None)
-    return True
-
-
 # Sampling rates by index.
 ADTS_RATES = (96000, 88200, 64000, 48000, 44100, 32000, 24000, 22050, 16000, 12000, 11025, 8000, 7350)
 
@@ -992,6 +833,6 @@ def exif(data: bytes, f: Found) -> bool:
 
 #: Kernels by the name of their parser.
 KERNELS: dict[str, Callable[[bytes, Found], bool]] = {
-    "wav": wav, "aiff": aiff, "flac": flac, "png": png, "jpeg": jpeg, "webp": webp, "ico": ico, "tiff": tiff, "mp3": mp3, "ogg": ogg, "mp4": mp4, "mkv": mkv, "avi": avi, "y4m": y4m, "swf": swf,
-    "avc": avc, "aac_adts": aac_adts, "ac3": ac3, "mpeg_ts": mpeg_ts, "dsf": dsf, "caf": caf, "dts": dts,
+    "wav": wav, "aiff": aiff, "flac": flac, "png": png, "jpeg": jpeg, "webp": webp, "ico": ico, "tiff": tiff, "mp3": mp3, "ogg": ogg, "mkv": mkv, "avi": avi, "y4m": y4m, "swf": swf,
+    "aac_adts": aac_adts, "ac3": ac3, "mpeg_ts": mpeg_ts, "dsf": dsf, "caf": caf, "dts": dts,
 }

@@ -27,7 +27,7 @@ def wav_blobs(lineitem: DataFrame) -> DataFrame:
     fmt = F.concat(to_le(F.lit(1), 2), to_le(channels, 2), to_le(rate, 4), to_le(rate * channels * 2, 4), to_le(channels * 2, 2), to_le(F.lit(16), 2))
     data = F.unhex(F.repeat(F.lit("00"), size.cast("int")))
     content = F.concat(_bytes(b"RIFF"), to_le(size + 36, 4), _bytes(b"WAVEfmt "), to_le(F.lit(16), 4), fmt, _bytes(b"data"), to_le(size, 4), data)
-    path = F.concat_ws("/", F.lit("wav"), "l_orderkey", "l_linenumber", F.xxhash64(*lineitem.columns))
+    path = F.concat_ws("/", F.lit("wav"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))
     return spread(lineitem).select(path.alias("path"), content.alias("content"))
 
 
@@ -65,3 +65,74 @@ def text_blobs(documents: DataFrame, pages: DataFrame, conversations: DataFrame)
     html = pages.select(F.concat(F.lit("pages/"), "page_id").alias("path"), raw("html"))
     turns = conversations.select(F.concat_ws("/", F.lit("conversations"), "conv_id", "turn").alias("path"), raw("text"))
     return docs.unionByName(html).unionByName(turns)
+
+
+def _box(name: bytes, *parts: Column) -> Column:
+    """An ISO media box."""
+    body = F.concat(*parts)
+    return F.concat(to_be(F.octet_length(body) + 8, 4), _bytes(name), body)
+
+
+def mp4_blobs(part: DataFrame) -> DataFrame:
+    """(path, content): one AVC track of p_size + 1 pictures at 25 a second, with codec configuration, colours and tags."""
+    frames, key = (F.col("p_size") + 1).cast("long"), F.col("p_partkey")
+    width, height = F.col("p_size") * 16 + 16, (key % 50) * 16 + 16
+    config = _box(b"avcC", _bytes(b"\x01\x64\x00"), to_be(F.lit(10) + key % 42, 1), _bytes(b"\xff\xe0\x00"))
+    colour = _box(b"colr", _bytes(b"nclx"), to_be(F.lit(1) + 8 * (key % 2), 2), to_be(F.lit(1), 2), to_be(F.lit(1), 2), _bytes(b"\0"))
+    shape = _box(b"pasp", to_be(F.lit(4), 4), to_be(F.lit(3), 4))
+    entry = _box(b"avc1", _bytes(bytes(24)), to_be(width, 2), to_be(height, 2), _bytes(bytes(50)), config, colour, shape)
+    table = _box(b"stbl", _box(b"stsd", _bytes(bytes(7) + b"\1"), entry), _box(b"stts", _bytes(bytes(7) + b"\1"), to_be(frames, 4), to_be(F.lit(40), 4)), _box(b"stsz", _bytes(bytes(4)), to_be(F.lit(100), 4), to_be(frames, 4)))
+    media = _box(b"mdia", _box(b"mdhd", _bytes(bytes(12)), to_be(F.lit(1000), 4), to_be(frames * 40, 4), to_be(F.lit(5 << 10 | 14 << 5 | 7), 2), _bytes(bytes(2))), _box(b"hdlr", _bytes(bytes(8) + b"vide" + bytes(12))), _box(b"minf", table))
+    track = _box(b"trak", _box(b"tkhd", _bytes(bytes(12)), to_be(F.lit(1), 4), _bytes(bytes(64))), media)
+    title = _box(b"\xa9nam", _box(b"data", _bytes(b"\0\0\0\1\0\0\0\0"), F.col("p_name").cast("binary")))
+    tags = _box(b"udta", _box(b"meta", _bytes(bytes(4)), _box(b"ilst", title)))
+    movie = _box(b"moov", _box(b"mvhd", _bytes(bytes(12)), to_be(F.lit(1000), 4), to_be(frames * 40, 4), _bytes(bytes(80))), track, tags)
+    content = F.concat(_box(b"ftyp", _bytes(b"isom" + bytes(4) + b"isomavc1")), movie, _box(b"mdat", F.unhex(F.repeat(F.lit("00"), (frames * 100).cast("int")))))
+    return spread(part).select(F.concat(F.lit("mp4/"), "p_partkey").alias("path"), content.alias("content"))
+
+
+def _element(name: str, *parts: Column) -> Column:
+    """An EBML element whose size takes eight bytes."""
+    body = F.concat(*parts)
+    return F.concat(F.unhex(F.lit(name)), _bytes(b"\x01"), to_be(F.octet_length(body), 7), body)
+
+
+def mkv_blobs(part: DataFrame) -> DataFrame:
+    """(path, content): a WebM file with a VP9 and an Opus track."""
+    key = F.col("p_partkey")
+    number = lambda name, value, size: _element(name, to_be(value, size))
+    text = lambda name, value: _element(name, value.cast("binary"))
+    head = _element("1A45DFA3", text("4282", F.lit("webm")), number("4287", F.lit(4), 1))
+    info = _element("1549A966", number("2AD7B1", F.lit(1_000_000), 3), text("7BA9", F.col("p_name")))
+    picture = _element("AE", number("D7", F.lit(1), 1), number("83", F.lit(1), 1), text("86", F.lit("V_VP9")), number("23E383", F.lit(40_000_000), 4), _element("E0", number("B0", F.col("p_size") + 100, 2), number("BA", key % 500 + 100, 2)))
+    sound = _element("AE", number("D7", F.lit(2), 1), number("83", F.lit(2), 1), text("86", F.lit("A_OPUS")), text("22B59C", F.lit("ger")), _element("E1", number("9F", key % 2 + 1, 1)))
+    content = F.concat(head, _element("18538067", info, _element("1654AE6B", picture, sound)))
+    return spread(part).select(F.concat(F.lit("mkv/"), "p_partkey").alias("path"), content.alias("content"))
+
+
+def flac_blobs(orders: DataFrame) -> DataFrame:
+    rate = F.element_at(F.array(*[F.lit(r) for r in RATES]), (F.col("o_orderkey") % 3 + 1).cast("int")).cast("long")
+    samples = F.col("o_custkey") * 1000 + 1000
+    packed = F.shiftleft(rate, 44) + F.shiftleft(F.col("o_orderkey") % 8, 41) + F.shiftleft(F.lit(23).cast("long"), 36) + samples
+    content = F.concat(_bytes(b"fLaC\x80\0\0\x22" + bytes(10)), to_be(packed, 8), _bytes(bytes(16)))
+    return spread(orders).select(F.concat(F.lit("flac/"), "o_orderkey").alias("path"), content.alias("content"))
+
+
+def mp3_blobs(part: DataFrame) -> DataFrame:
+    """(path, content): an ID3 tag without frames, and 1 to 5 frames of MPEG-1 layer 3."""
+    code, frames = F.col("p_partkey") % 14 + 1, (F.col("p_size") % 5 + 1).cast("int")
+    rates = (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+    size = F.element_at(F.array(*[F.lit(144 * r * 1000 // 44100) for r in rates]), code.cast("int"))
+    frame = F.concat(F.lit("FFFB"), F.lpad(F.hex(code * 16), 2, "0"), F.lit("00"), F.repeat(F.lit("00"), size - 4))
+    content = F.concat(_bytes(b"ID3\3\0\0\0\0\0\0"), F.unhex(F.repeat(frame, frames)))
+    return spread(part).select(F.concat(F.lit("mp3/"), "p_partkey").alias("path"), content.alias("content"))
+
+
+def jpeg_blobs(part: DataFrame) -> DataFrame:
+    """(path, content): a baseline picture with an Exif segment that tells the maker."""
+    maker = F.concat(F.col("p_brand").cast("binary"), _bytes(b"\0"))
+    exif = F.concat(_bytes(b"Exif\0\0II*\0\x08\0\0\0\x01\0\x0f\x01\x02\0"), to_le(F.octet_length(maker), 4), to_le(F.lit(26), 4), _bytes(bytes(4)), maker)
+    segment = lambda mark, body: F.concat(_bytes(b"\xff" + mark), to_be(F.octet_length(body) + 2, 2), body)
+    frame = F.concat(_bytes(b"\x08"), to_be(F.col("p_partkey") % 1000 + 16, 2), to_be(F.col("p_size") + 16, 2), _bytes(b"\x03\x01\x22\0\x02\x11\1\x03\x11\1"))
+    content = F.concat(_bytes(b"\xff\xd8"), segment(b"\xe1", exif), segment(b"\xc0", frame), _bytes(b"\xff\xda\0\x02data"))
+    return spread(part).select(F.concat(F.lit("jpeg/"), "p_partkey").alias("path"), content.alias("content"))

@@ -177,7 +177,7 @@ SAMPLES = {
     "flac": (flac(), {(2, 0, "Duration"): "2000", (2, 0, "Channels"): "2", (2, 0, "BitDepth"): "16", (0, 0, "Track"): "Song", (0, 0, "Performer"): "Who", (2, 0, "MD5_Unencoded"): bytes(range(16)).hex().upper(), (0, 0, "StreamSize"): "0"}),
     "png": (png(), {(5, 0, "Width"): "1920", (5, 0, "DisplayAspectRatio"): "1.778", (5, 0, "ColorSpace"): "RGBA", (0, 0, "StreamSize"): "23", (0, 0, "Encoded_Application"): "me"}),
     "jpeg": (jpeg(), {(5, 0, "Width"): "800", (5, 0, "Height"): "600", (5, 0, "ChromaSubsampling"): "4:2:0", (5, 0, "Comment"): "hello", (0, 0, "JFIFVersion"): "1.02"}),
-    "mp4": (mp4(), {(0, 0, "Duration"): "2000", (0, 0, "IsStreamable"): "Yes", (0, 0, "CodecID_Compatible"): "isom/avc1", (0, 0, "Encoded_Date"): "1970-01-02 00:00:00 UTC", (1, 0, "Width"): "1280", (1, 0, "FrameRate"): "1.500", (1, 0, "StreamSize"): "600", (1, 0, "Format"): "AVC", (1, 0, "Language"): "eng"}),
+    "mp4": (mp4(), {(0, 0, "Duration"): "2000", (0, 0, "IsStreamable"): "Yes", (0, 0, "CodecID_Compatible"): "isom/avc1", (0, 0, "Encoded_Date"): "1970-01-02 00:00:00 UTC", (1, 0, "Width"): "1280", (1, 0, "FrameRate"): "1.500", (1, 0, "StreamSize"): "600", (1, 0, "Format"): "AVC", (1, 0, "Language"): "en"}),
     "mkv": (mkv(), {(0, 0, "Format"): "WebM", (0, 0, "Duration"): "1500", (1, 0, "FrameRate"): "25.000", (1, 0, "Width"): "1280", (2, 0, "SamplingRate"): "48000", (2, 0, "Format"): "Opus", (0, 0, "IsStreamable"): "Yes"}),
     "ogg": (ogg(), {(2, 0, "Duration"): "1500", (2, 0, "Channels"): "2", (2, 0, "StreamSize"): "24000"}),
     "mp3": (mp3(), {(2, 0, "BitRate"): "128000", (2, 0, "FrameCount"): "5", (2, 0, "Format_Profile"): "Layer 3", (0, 0, "StreamSize"): "20"}),
