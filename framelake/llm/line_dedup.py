@@ -82,7 +82,8 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
     own = {name: f"_own_{k}" for k, name in enumerate(fields)}
     own |= {"doc_id": "_id", "text": "_text"}
     flat = docs.select(*[F.col(f"`{name}`").alias(own[name]) for name in fields], content.alias("_content"))
-    joined = flat.join(gone, F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_content") == F.col("_gone_content")), "left")
+    # One plan at every size: a broadcast would be right for small tables only.
+    joined = flat.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_content") == F.col("_gone_content")), "left")
     # By place the hash of the chunk that is gone there, or null: looked up in constant time.
     place = lambda k: F.coalesce(F.get("gone", k)["start"], F.lit(-1))
     gaps = F.transform("gone", lambda g, k: F.concat(F.array_repeat(F.lit(None).cast("binary"), g["start"] - F.when(k > 0, place(k - 1)).otherwise(-1) - 1), F.array(g["hash"])))
