@@ -72,8 +72,9 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
 
     seen = scratch.table("seen", hashed.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     many = seen.agg(F.sum("n")).first()[0] or 0
+    # One plan at every size, here and where texts are fetched: a broadcast would be right for small tables only.
     dealt, known = salted(hashed, seen, {"hash": "hash"}, "n", many, F.xxhash64("doc_id", "content", "start"))
-    copies = scratch.table("copies", dealt.join(known.drop("n"), ["hash", "_salt"]))
+    copies = scratch.table("copies", dealt.join(known.drop("n").hint("merge"), ["hash", "_salt"]))
     first = copies.groupBy("hash", "piece").agg(F.min(order()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # The first occurrence goes to every salt of its hash.
     later = copies.join(first.join(known.select("hash", "_salt"), "hash"), ["hash", "piece", "_salt"]).where(order() != F.col("first"))
@@ -82,7 +83,6 @@ def remove_repeated_chunks(docs: DataFrame, average: int = AVERAGE, least: int =
     own = {name: f"_own_{k}" for k, name in enumerate(fields)}
     own |= {"doc_id": "_id", "text": "_text"}
     flat = docs.select(*[F.col(f"`{name}`").alias(own[name]) for name in fields], content.alias("_content"))
-    # One plan at every size: a broadcast would be right for small tables only.
     joined = flat.join(gone.hint("merge"), F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_content") == F.col("_gone_content")), "left")
     # By place the hash of the chunk that is gone there, or null: looked up in constant time.
     place = lambda k: F.coalesce(F.get("gone", k)["start"], F.lit(-1))
