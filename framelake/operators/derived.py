@@ -31,6 +31,19 @@ def bitrate_ranges(streams: DataFrame) -> DataFrame:
     return streams.groupBy("path").agg(F.when(top > 0, top).alias("OverallBitRate_Maximum"), F.min(F.col("BitRate").try_cast("long")).alias("OverallBitRate_Minimum"))
 
 
+def composite(exif: DataFrame) -> DataFrame:
+    """From a typed view of Exif with FocalLength, FocalLengthIn35mmFilm, FNumber, ExposureTime and PhotographicSensitivity as
+    numbers: what follows from them, as text; null where something is missing. Other columns stay."""
+    near, film, stop, time, speed = (F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("FocalLength", "FocalLengthIn35mmFilm", "FNumber", "ExposureTime", "PhotographicSensitivity"))
+    scale = film / near
+    circle = F.sqrt(F.lit(24.0 * 24 + 36 * 36)) / (scale * 1440)
+    angle = F.degrees(2 * F.atan(F.lit(36.0) / (2 * near * scale)))
+    return exif.withColumns({
+        "ScaleFactor35efl": D.fixed(scale, 1), "CircleOfConfusion": F.concat(D.fixed(circle, 3), F.lit(" mm")), "FieldOfView": F.concat(D.fixed(angle, 1), F.lit(" deg")),
+        "HyperfocalDistance": F.concat(D.fixed(near * near / (stop * circle * 1000), 2), F.lit(" m")), "LightValue": D.fixed(F.log2(stop * stop / time) - F.log2(speed / 100), 1),
+    })
+
+
 def lowest_bitrate(rate: Column) -> Column:
     """BitRate_Minimum where a stream has none: half its rate."""
     return F.call_function("div", rate.try_cast("long"), F.lit(2))

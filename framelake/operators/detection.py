@@ -353,6 +353,13 @@ def candidates(content: Column, policy: str = "compat") -> Column:
     return F.when(F.octet_length(content) > 0, F.filter(every, lambda i: i <= F.coalesce(settled, i))).when(content.isNotNull(), none)
 
 
+def kernel_order(policy: str = "compat") -> list[str]:
+    """The parsers that walk, in the order of detection."""
+    from framelake.operators.registry import KERNELS
+
+    return [n for _, n, _ in _gates(policy) if n in KERNELS]
+
+
 def names(indexes: Column) -> Column:
     """The names of gates by their indexes."""
     table = F.expr("map(" + ", ".join(f"{i}, '{n}'" for i, n, _ in GATES) + ")")

@@ -426,84 +426,6 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         at = begin + size
 
 
-# Codec ids.
-MKV_CODECS = {
-    "V_MPEG4/ISO/AVC": "AVC", "V_MPEGH/ISO/HEVC": "HEVC", "V_VP8": "VP8", "V_VP9": "VP9", "V_AV1": "AV1", "V_MPEG2": "MPEG Video", "A_AAC": "AAC", "A_AC3": "AC-3", "A_EAC3": "E-AC-3", "A_DTS": "DTS", "A_OPUS": "Opus",
-    "A_VORBIS": "Vorbis", "A_FLAC": "FLAC", "A_MPEG/L3": "MPEG Audio", "A_PCM/INT/LIT": "PCM", "S_TEXT/UTF8": "UTF-8", "S_TEXT/ASS": "ASS", "S_TEXT/SSA": "SSA", "S_HDMV/PGS": "PGS", "S_VOBSUB": "VobSub",
-}
-
-
-def _float(raw: bytes) -> float:
-    return struct.unpack(">f", raw)[0] if len(raw) == 4 else struct.unpack(">d", raw)[0] if len(raw) == 8 else 0.0
-
-
-def mkv(data: bytes, f: Found) -> bool:
-    if data[:4] != b"\x1a\x45\xdf\xa3":
-        return False
-    kind, version = None, None
-    for name, a, b in elements(data, 0, len(data)):
-        if name == 0x1A45DFA3:
-            for n, x, y in elements(data, a, b):
-                if n == 0x4282:
-                    kind = text(data[x:y])
-                elif n == 0x4287:
-                    version = u(data, x, y - x)
-            if kind not in ("matroska", "webm"):
-                return False
-            f.many(G, Format="WebM" if kind == "webm" else "Matroska", InternetMediaType="video/x-matroska", Format_Version=version)
-        elif name == 0x18538067:
-            _segment(data, a, b, f)
-    return kind is not None
-
-
-def _segment(data: bytes, at: int, end: int, f: Found) -> None:
-    scale, length, seek, n = 1_000_000, 0.0, None, {V: 0, A: 0, T: 0}
-    for name, a, b in elements(data, at, end):
-        if name == 0x114D9B74 and seek is None:
-            seek = True
-        elif name == 0x1F43B675:
-            seek = bool(seek)
-        elif name == 0x1549A966:
-            for i, x, y in elements(data, a, b):
-                raw = data[x:y]
-                if i == 0x2AD7B1:
-                    scale = u(data, x, y - x)
-                elif i == 0x4489:
-                    length = _float(raw)
-                elif i == 0x73A4:
-                    f.put(G, "UniqueID", int.from_bytes(raw, "big"))
-                elif i in (0x4D80, 0x5741, 0x7BA9):
-                    f.put(G, {0x4D80: "Encoded_Application", 0x5741: "Encoded_Library", 0x7BA9: "Title"}[i], text(raw))
-        elif name == 0x1654AE6B:
-            for i, x, y in elements(data, a, b):
-                if i == 0xAE:
-                    _entry(data, x, y, f, n)
-    f.many(G, IsStreamable="Yes" if seek else None, Duration=int(length * scale / 1e6 + 0.5) or None, VideoCount=n[V] or None, AudioCount=n[A] or None, TextCount=n[T] or None)
-
-
-def _entry(data: bytes, at: int, end: int, f: Found, n: dict[int, int]) -> None:
-    top = {i: (x, y) for i, x, y in elements(data, at, end)}
-    number = lambda i, within=top: u(data, within[i][0], within[i][1] - within[i][0]) if i in within else None
-    kind = {1: V, 2: A, 17: T}.get(number(0x83))
-    if kind is None:
-        return
-    pos, n[kind] = n[kind], n[kind] + 1
-    codec = text(data[slice(*top[0x86])]) if 0x86 in top else None
-    name = text(data[slice(*top[0x536E])]) if 0x536E in top else None
-    lang = text(data[slice(*top[0x22B59C])]) if 0x22B59C in top else None
-    f.many(kind, pos, ID=number(0xD7), UniqueID=number(0x73C5), Format=MKV_CODECS.get(codec, codec), CodecID=codec)
-    if kind == V and 0xE0 in top:
-        inner = {i: (x, y) for i, x, y in elements(data, *top[0xE0])}
-        width, height, each = number(0xB0, inner), number(0xBA, inner), number(0x23E383)
-        f.many(V, pos, Width=width, Height=height, DisplayAspectRatio=three(width / height) if width and height else None, FrameRate_Mode="CFR" if each else None, FrameRate=three(1e9 / each) if each else None)
-    elif kind == A and 0xE1 in top:
-        inner = {i: (x, y) for i, x, y in elements(data, *top[0xE1])}
-        rate = _float(data[slice(*inner[0xB5])]) if 0xB5 in inner else 8000.0
-        places = LAYOUTS.get(number(0x9F, inner) or 1, (None, None))
-        f.many(A, pos, Channels=number(0x9F, inner) or 1, ChannelPositions=places[0], ChannelLayout=places[1], SamplingRate=int(rate + 0.5), BitDepth=number(0x6264, inner))
-    f.many(kind, pos, Title=name, Language=lang, Default="Yes" if number(0x88) in (None, 1) else "No", Forced="Yes" if number(0x55AA) == 1 else "No")
-
-
 def avi(data: bytes, f: Found) -> bool:
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         return False
@@ -750,7 +672,7 @@ def mpeg_ts(data: bytes, f: Found) -> bool:
 def dsf(data: bytes, f: Found) -> bool:
     if data[:4] != b"DSD " or data[28:32] != b"fmt " or len(data) < 80:
         return False
-    version, _, kind, channels, rate, bits, samples = struct.unpack_from("<IIIIIIQ", data, 40)
+    version, _, kind, channels, rate, bits, samples = struct.unpack("<IIIIIIQ", data[40 : 40 + struct.calcsize("<IIIIIIQ")])
     places = LAYOUTS.get(channels, (None, None))
     f.many(G, Format="DSF", Format_Version=version, AudioCount=1)
     f.many(A, Format="DSD", ChannelPositions=places[0], ChannelLayout=places[1], Channels=channels, SamplingRate=rate, Format_Settings_Endianness="Little" if bits == 1 else "Big", BitDepth=1, SamplingCount=samples, Duration=milliseconds(samples, rate) or None, Compression_Mode="Lossless", BitRate_Mode="CBR", BitRate=rate * channels)
@@ -760,8 +682,8 @@ def dsf(data: bytes, f: Found) -> bool:
 def caf(data: bytes, f: Found) -> bool:
     if data[:4] != b"caff" or data[8:12] != b"desc" or len(data) < 52:
         return False
-    rate, codec = struct.unpack_from(">d", data, 20)[0], data[28:32].decode("latin-1")
-    _, per_packet, frames, channels, bits = struct.unpack_from(">IIIII", data, 32)
+    rate, codec = struct.unpack(">d", data[20 : 20 + struct.calcsize(">d")])[0], data[28:32].decode("latin-1")
+    _, per_packet, frames, channels, bits = struct.unpack(">IIIII", data[32 : 32 + struct.calcsize(">IIIII")])
     f.many(G, Format="CAF", Format_Version=u(data, 4, 2), AudioCount=1)
     name = {"lpcm": "PCM", "alac": "ALAC", "aac ": "AAC", "ima4": "ADPCM", "ulaw": "µ-law", "alaw": "A-law", ".mp3": "MPEG Audio"}.get(codec, codec)
     f.many(A, Format=name, SamplingRate=int(rate + 0.5) if 0 < rate < 1e9 else None, Channels=channels, BitDepth=bits or None, BitRate=int(rate * per_packet * 8 / frames) if frames and per_packet and 0 < rate < 1e9 else None)
@@ -833,6 +755,6 @@ def exif(data: bytes, f: Found) -> bool:
 
 #: Kernels by the name of their parser.
 KERNELS: dict[str, Callable[[bytes, Found], bool]] = {
-    "wav": wav, "aiff": aiff, "flac": flac, "png": png, "jpeg": jpeg, "webp": webp, "ico": ico, "tiff": tiff, "mp3": mp3, "ogg": ogg, "mkv": mkv, "avi": avi, "y4m": y4m, "swf": swf,
+    "wav": wav, "aiff": aiff, "flac": flac, "png": png, "jpeg": jpeg, "webp": webp, "ico": ico, "tiff": tiff, "mp3": mp3, "ogg": ogg, "avi": avi, "y4m": y4m, "swf": swf,
     "aac_adts": aac_adts, "ac3": ac3, "mpeg_ts": mpeg_ts, "dsf": dsf, "caf": caf, "dts": dts,
 }

@@ -54,8 +54,8 @@ def _layouts(name: str, *columns: str) -> Column:
     return _made[key]
 
 
-def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None) -> DataFrame:
-    """(path, parser, fields, truncated, error): one row for each of ``files`` (path, content), by detection or by one parser
+def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None, keep_length: bool = False) -> DataFrame:
+    """(path, [length,] parser, fields, truncated, error): one row for each of ``files`` (path, content), by detection or by one parser
     that is called for all.
 
     ``fields`` is an array in the order of writing; null, with an error, where nothing accepts the blob. ``truncated`` tells
@@ -78,7 +78,8 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None)
     fields = F.when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
     name = F.when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
     error = F.when(F.col("content").isNull(), "no content").when(name.isNull(), "no parser accepts the blob")
-    return rows.select("path", name.alias("parser"), fields.alias("fields"), F.coalesce("walked.truncated", F.lit(False)).alias("truncated"), error.alias("error"))
+    length = [F.octet_length("content").cast("long").alias("length")] if keep_length else []
+    return rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("walked.truncated", F.lit(False)).alias("truncated"), error.alias("error"))
 
 
 def long_fields(rows: DataFrame) -> DataFrame:
@@ -105,3 +106,27 @@ def stream_maps(rows: DataFrame, kind: int) -> DataFrame:
 def typed_streams(rows: DataFrame, kind: int, columns: dict[str, str]) -> DataFrame:
     """One row a stream of a kind of what ``parsed`` makes, with named fields cast to types; what can't be cast is null."""
     return stream_maps(rows, kind).select("path", "pos", *[F.try_element_at("fields", F.lit(n)).try_cast(t).alias(n) for n, t in columns.items()])
+
+
+def _value(kind: int, name: str) -> Column:
+    """A field of the first stream of a kind, as text."""
+    return F.get(F.filter("fields", lambda r: (r["kind_id"] == kind) & (r["pos"] == 0) & (r["name"] == name) & ~r["is_extra"]), F.lit(0))["value"]
+
+
+def with_file_level(rows: DataFrame) -> DataFrame:
+    """Adds what a file as a whole has to the fields of what ``parsed`` makes with ``keep_length``: FileSize, Duration,
+    OverallBitRate and its mode, FrameRate, FrameCount and StreamSize of General, where the parser told none. The rules are
+    those of ``derived.file_level``; nothing is shuffled."""
+    whole = lambda c: c.try_cast("long")
+    video = F.exists("fields", lambda r: r["kind_id"] == 1)
+    ms = F.coalesce(whole(_value(0, "Duration")), whole(_value(2, "Duration")))
+    overall = F.when(ms > 0, F.round(F.col("length") * 8.0 * 1000.0 / ms).cast("long"))
+    mode = F.when(~video, _value(2, "BitRate_Mode")).when(_value(1, "FrameRate_Mode") == "VFR", "VBR")
+    sound, picture = whole(_value(2, "StreamSize")), F.coalesce(whole(_value(1, "StreamSize")), F.lit(0))
+    inner = F.when(sound.isNotNull(), sound + picture).when(picture > 0, picture)
+    found = {
+        "FileSize": F.col("length"), "Duration": ms, "OverallBitRate": overall, "OverallBitRate_Mode": F.when(overall.isNotNull(), mode), "FrameRate": F.when(video, _value(1, "FrameRate")), "FrameCount": F.when(video, _value(1, "FrameCount")),
+        "StreamSize": F.when(inner < F.col("length"), F.col("length") - inner),
+    }
+    made = [F.when(v.isNotNull() & _value(0, n).isNull(), F.struct(F.lit(0).alias("kind_id"), F.lit(0).alias("pos"), F.lit(n).alias("name"), v.cast("string").alias("value"), F.lit(False).alias("is_extra"))) for n, v in found.items()]
+    return rows.withColumn("fields", F.when(F.col("fields").isNotNull(), F.concat("fields", F.array_compact(F.array(*made)))))

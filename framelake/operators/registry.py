@@ -5,13 +5,13 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
-from framelake.operators import kernels, kernels_audio, kernels_container, kernels_image, kernels_mp4, kernels_video
+from framelake.operators import kernels, kernels_audio, kernels_container, kernels_image, kernels_mkv, kernels_mp4, kernels_tags, kernels_video
 from framelake.operators.kernels import Found
 
 Kernel = Callable[[bytes, Found], bool]
 
 #: Kernels by the name of their parser.
-KERNELS: dict[str, Kernel] = kernels.KERNELS | kernels_audio.KERNELS | kernels_image.KERNELS | kernels_video.KERNELS | kernels_container.KERNELS | kernels_mp4.KERNELS
+KERNELS: dict[str, Kernel] = kernels.KERNELS | kernels_audio.KERNELS | kernels_image.KERNELS | kernels_video.KERNELS | kernels_container.KERNELS | kernels_mp4.KERNELS | kernels_mkv.KERNELS
 #: These are Catalyst layouts where detection meets them; the kernels serve callers with bytes at hand.
 IN_LAYOUTS = frozenset(("vp8",))
 
@@ -36,6 +36,7 @@ def run_kernel(name: str, data: bytes) -> tuple[list[Row], bool] | None:
     try:
         if not KERNELS[name](data, found):
             return None
+        kernels_tags.tags(name, data, found)
     except (IndexError, struct.error, ValueError, OverflowError, ZeroDivisionError):
         found.cut = True  # what was read before stands
         if not found.rows:

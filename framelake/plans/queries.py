@@ -11,7 +11,7 @@ from framelake.functions import display as D
 from framelake.model import KINDS, kind_id
 from framelake.operators import derived, diffing, streams, summary
 from framelake.operators.detection import detected
-from framelake.operators.parsing import long_fields, parse, parsed, stream_maps, typed_streams
+from framelake.operators.parsing import parse, parsed, stream_maps, typed_streams, with_file_level
 from framelake.plans import blobs, planted
 from framelake.sinks import orders
 from framelake.sources import media
@@ -379,7 +379,7 @@ def mp4_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-select 'mkv/' || p_partkey as path, 100 + p_size as width, (100 + p_partkey % 500)::int as height, '25.000' as rate, (1 + p_partkey % 2)::int as channels, 'VP9' as video, 'Opus' as audio, 'ger' as language from part""")
+select 'mkv/' || p_partkey as path, 100 + p_size as width, (100 + p_partkey % 500)::int as height, '25.000' as rate, (1 + p_partkey % 2)::int as channels, 'VP9' as video, 'Opus' as audio, 'de' as language from part""")
 def mkv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parsed(blobs.mkv_blobs(_table(spark, sf_dir, "part")))
     of = lambda kind, name: F.get(F.filter("fields", lambda r: (r["kind_id"] == kind) & (r["name"] == name)), F.lit(0))["value"]
@@ -411,6 +411,29 @@ def jpeg_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", of(KINDS.index("Exif"), "Make").alias("make"), of(IMAGE, "Width").cast("int").alias("width"), of(IMAGE, "Height").cast("int").alias("height"), of(IMAGE, "ChromaSubsampling").alias("sampling"))
 
 
+@_query("""
+select 'wav/' || l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || n as path, (44 + n * ch * 2)::bigint as size, ms::bigint as duration, case when ms > 0 then round((44 + n * ch * 2) * 8.0 * 1000.0 / ms)::bigint end as rate,
+  case when ms > 0 then 'CBR' end as mode, 44::bigint as stream_size from (select *, (n * 1000 + hz // 2) // hz as ms from
+  (select *, 1 + l_linenumber % 2 as ch, case l_orderkey % 3 when 0 then 8000 when 1 then 44100 else 48000 end as hz, l_quantity::bigint as n from lineitem))""")
+def file_level_of_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a file as a whole has, computed on parsed blobs."""
+    rows = with_file_level(parsed(blobs.wav_blobs(_table(spark, sf_dir, "lineitem")), keep_length=True))
+    view = typed_streams(rows, 0, {"FileSize": "long", "Duration": "long", "OverallBitRate": "long", "OverallBitRate_Mode": "string", "StreamSize": "long"})
+    return view.select("path", F.col("FileSize").alias("size"), F.col("Duration").alias("duration"), F.col("OverallBitRate").alias("rate"), F.col("OverallBitRate_Mode").alias("mode"), F.col("StreamSize").alias("stream_size"))
+
+
+@_query("""
+select p_partkey as key, near, printf('%.1f', scale) as "ScaleFactor35efl", printf('%.3f mm', sqrt(1872.0) / (scale * 1440)) as "CircleOfConfusion", printf('%.1f deg', degrees(2 * atan(36.0 / (2 * near * scale)))) as "FieldOfView",
+  printf('%.2f m', near * near / (4 * (sqrt(1872.0) / (scale * 1440)) * 1000)) as "HyperfocalDistance", printf('%.1f', log2(16.0 * 128) - log2(200 / 100.0)) as "LightValue"
+from (select p_partkey, 4.25 + p_size % 13 as near, (20.1 + p_partkey % 180) / (4.25 + p_size % 13) as scale from part)""")
+def composite_exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that follow from Exif."""
+    near, film = F.lit(4.25) + F.col("p_size") % 13, F.lit(20.1) + F.col("p_partkey") % 180
+    fixed = {"FNumber": F.lit(4.0), "ExposureTime": F.lit(1 / 128), "PhotographicSensitivity": F.lit(200)}
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), near.alias("FocalLength"), film.alias("FocalLengthIn35mmFilm"), *[v.alias(n) for n, v in fixed.items()])
+    return derived.composite(rows).select("key", F.col("FocalLength").alias("near"), "ScaleFactor35efl", "CircleOfConfusion", "FieldOfView", "HyperfocalDistance", "LightValue")
+
+
 _PLANTED = list(planted.PLANTED.items())
 
 
