@@ -33,7 +33,7 @@ from framelake.llm.scratch import Scratch
 from framelake.llm.words import shingle_sets
 
 BLOCK = 1 << 16
-BATCH = 1000  # texts or pairs of sets that a Python worker gets at once
+BATCH = 256  # texts or pairs of sets that a Python worker gets at once
 SKETCH = 1024  # bits
 HEAVY = 1024  # a list that may be longer is dealt out by a salt
 BITS = 22  # of the table of counts, at most
