@@ -323,34 +323,39 @@ def _gates(policy: str) -> list[tuple[int, str, Marks | Text | Gate]]:
     return [g for g in GATES if policy == "compat" or g[1] not in PERMISSIVE]
 
 
-def candidates(content: Column, policy: str = "compat") -> Column:
-    """The indexes of the gates that accept the blob, in their order, up to the first whose parser needs no walk; empty for
-    an empty blob, null for a null one.
+def with_candidates(rows: DataFrame, policy: str = "compat") -> DataFrame:
+    """``rows`` (content, ...) with tried: the names of the gates that accept the blob, in their order, up to the first whose
+    parser needs no walk; empty for an empty blob, null for a null one.
 
-    Gates of fixed bytes are rows of literal arrays that one lambda checks, so the expression stays small; those that begin
-    with four bytes are found in a map first. The gates that compute something are conditions of their own."""
+    What gates find is generated as columns of their own first, in compiled code that shares the bytes that several look
+    at; gates of fixed bytes at the front, most of them, are found in a map by four bytes. The few that met are sorted out
+    after that."""
     from framelake.operators.registry import IN_LAYOUTS, KERNELS
 
-    gates = _gates(policy)
+    gates, content = _gates(policy), F.col("content")
     text = F.decode(F.substring(content, 1, HEAD), "ISO-8859-1")  # marks are ASCII, so any bytes may be read so
-    fits = lambda r: (F.octet_length(content) >= r["least"]) & F.forall(r["marks"], lambda m: F.substring(content, m["at"] + 1, m["size"]) == m["bytes"])
-    met_rows = lambda rows: F.transform(F.filter(rows, fits), lambda r: r["idx"])
     by_start: dict[bytes, list[str]] = {}
-    others: list[str] = []
+    others: list[Column] = []
+    met = lambda condition, i: F.when(F.coalesce(condition, F.lit(False)), F.lit(i))
     for i, _, g in gates:
         for a in g.alternatives if isinstance(g, Marks) else ():
-            (by_start.setdefault(a[0][1][:4], []) if a[0][0] == 0 and len(a[0][1]) >= 4 else others).append(_row(i, g.least, a))
-    starts = F.expr("map(" + ", ".join(f"X'{k.hex()}', array({', '.join(rows)})" for k, rows in by_start.items()) + ")")
+            if a[0][0] == 0 and len(a[0][1]) >= 4:
+                by_start.setdefault(a[0][1][:4], []).append(_row(i, g.least, a))
+            else:
+                others.append(met(magic(content, *a) & (F.octet_length(content) >= g.least), i))
+    starts = F.expr("map(" + ", ".join(f"X'{k.hex()}', array({', '.join(found)})" for k, found in by_start.items()) + ")")
+    texts = F.when(be(content, 0, 1).isin(*TEXT_STARTS), F.array(*[met(g.gate(content, text), i) for i, _, g in gates if isinstance(g, Text)]))
+    computed = F.array(*others, *[met(g(content, text), i) for i, _, g in gates if not isinstance(g, (Marks, Text))])
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    found = rows.select(*own, F.explode(F.array(F.struct(F.try_element_at(starts, F.substring(content, 1, 4)).alias("starts"), computed.alias("computed"), texts.alias("texts")))).alias("_gates"))
     none = F.array().cast("array<int>")
-    by_marks = F.concat(F.coalesce(met_rows(F.try_element_at(starts, F.substring(content, 1, 4))), none), met_rows(F.expr(f"array({', '.join(others)})")))
-    met = lambda gate, i: F.when(F.coalesce(gate(content, text), F.lit(False)), F.lit(i))
-    texts = F.array(*[met(g.gate, i) for i, _, g in gates if isinstance(g, Text)])
-    by_text = F.when(be(content, 0, 1).isin(*TEXT_STARTS), texts).otherwise(none)
-    computed = F.array(*[met(g, i) for i, _, g in gates if not isinstance(g, (Marks, Text))])
-    every = F.array_sort(F.array_distinct(F.array_compact(F.concat(by_marks, by_text, computed))))
+    fits = lambda r: (F.octet_length(content) >= r["least"]) & F.forall(r["marks"], lambda m: F.substring(content, m["at"] + 1, m["size"]) == m["bytes"])
+    front = F.when(F.col("_gates.starts").isNotNull(), F.transform(F.filter("_gates.starts", fits), lambda r: r["idx"])).otherwise(none)
+    every = F.array_sort(F.array_distinct(F.array_compact(F.concat(front, F.col("_gates.computed"), F.coalesce("_gates.texts", none)))))
+    found = found.select(*own, F.explode(F.array(F.when(F.octet_length(content) > 0, every).when(content.isNotNull(), none))).alias("_every"))
     walked = [i for i, n, _ in gates if n in KERNELS and n not in IN_LAYOUTS]
-    settled = F.array_min(F.filter(every, lambda i: ~i.isin(*walked)))
-    return F.when(F.octet_length(content) > 0, F.filter(every, lambda i: i <= F.coalesce(settled, i))).when(content.isNotNull(), none)
+    settled = F.array_min(F.filter("_every", lambda i: ~i.isin(*walked)))
+    return found.select(*own, names(F.filter("_every", lambda i: i <= F.coalesce(settled, i))).alias("tried"))
 
 
 def kernel_order(policy: str = "compat") -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.model import KERNEL_FIELD, kind_name
-from framelake.operators.detection import candidates, names
+from framelake.operators.detection import with_candidates
 from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, plain_wav
 from framelake.operators.registry import IN_LAYOUTS, KERNELS, first_accepting
 
@@ -61,10 +61,13 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     ``fields`` is an array in the order of writing; null, with an error, where nothing accepts the blob. ``truncated`` tells
     of walked blobs whether they end before what they announce. Python gets the content only of blobs whose first
     candidates have to be walked; a plain WAV file doesn't."""
-    tried = F.when(F.col("content").isNotNull(), F.array(F.lit(parser))) if parser else names(candidates(F.col("content"), policy))
     known = parser is None or parser in KERNELS or parser in LAYOUTS or parser in NAMES
-    rows = files.select("path", "content", F.explode(F.array(F.struct(tried.alias("tried"), plain_wav(F.col("content")).alias("plain")))).alias("d"))
-    rows = rows.select("path", "content", "d.tried", (F.col("d.plain") & (F.get("d.tried", 0) == "wav")).alias("plain")) if known else rows.select("path", "content", F.lit(None).cast("array<string>").alias("tried"), F.lit(False).alias("plain"))
+    rows = files.select("path", "content")
+    if parser is None:
+        rows = with_candidates(rows, policy)
+    else:
+        rows = rows.withColumn("tried", F.when(F.col("content").isNotNull() & F.lit(known), F.array(F.lit(parser))))
+    rows = rows.withColumn("plain", (F.get("tried", F.lit(0)) == "wav") & plain_wav(F.col("content")))
     walked = [n for n in KERNELS if n not in IN_LAYOUTS]
     # The last candidate may need no walk; the others are tried by the kernels before it.
     last = F.get("tried", F.size("tried") - 1)
