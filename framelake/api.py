@@ -16,18 +16,26 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.operators.parsing import long_fields, parsed, with_file_level
+from framelake.operators.parsing import long_fields, parsed, with_computed, with_file_level
 from framelake.operators.registry import KERNELS, first_accepting, parser
 from framelake.operators.streams import filter_keep, selection
 from framelake.sinks.exporters import FORMS, export
-from framelake.sources.media import from_table, read_files
+from framelake.sources.media import concatenated, from_table, name_parts, options, read_files, sidecars
 
 __all__ = ["FORMS", "fields", "inform", "parse", "parser", "read", "register", "table", "verify"]
 
 
-def read(spark: SparkSession, *paths: str, pattern: str | None = None, policy: str = "compat") -> DataFrame:
-    """(path, length, parser, fields, truncated, error) of files, with what the file as a whole has."""
-    return parse(read_files(spark, *paths, pattern=pattern), policy)
+def read(spark: SparkSession, *paths: str, pattern: str | None = None, policy: str = "compat", **given: str) -> DataFrame:
+    """(path, length, parser, fields, truncated, error) of files, with what the file as a whole has. Options are those of
+    ``sources.media``: with multifile="1", companions (by folder and stem, multifilemax of them) belong to their file."""
+    set_ = options(**given)
+    files = read_files(spark, *paths, pattern=pattern)
+    if set_.get("multifile", "0") in ("1", "yes", "true"):
+        named = name_parts(files)
+        others = sidecars(named)
+        own = named.join(others.select("path"), "path", "left_anti")
+        files = concatenated(own, others, int(set_.get("multifilemax", 64)))
+    return parse(files, policy)
 
 
 def table(rows: DataFrame, path: str, content: str, policy: str = "compat") -> DataFrame:
@@ -37,7 +45,7 @@ def table(rows: DataFrame, path: str, content: str, policy: str = "compat") -> D
 
 def parse(files: DataFrame, policy: str = "compat") -> DataFrame:
     """The same of any (path, content)."""
-    return with_file_level(parsed(files, policy, keep_length=True))
+    return with_computed(with_file_level(parsed(files, policy, keep_length=True)))
 
 
 def fields(rows: DataFrame) -> DataFrame:

@@ -709,47 +709,117 @@ def dts(data: bytes, f: Found) -> bool:
     return True
 
 
-# Public EXIF tags by directory.
+# Public EXIF tags, by directory.
 EXIF_TAGS = {
-    270: "ImageDescription", 271: "Make", 272: "Model", 274: "Orientation", 305: "Software", 306: "DateTime", 315: "Artist", 33432: "Copyright", 33434: "ExposureTime", 33437: "FNumber", 34850: "ExposureProgram", 34855: "PhotographicSensitivity",
-    36867: "DateTimeOriginal", 36868: "DateTimeDigitized", 37377: "ShutterSpeedValue", 37378: "ApertureValue", 37380: "ExposureBiasValue", 37383: "MeteringMode", 37385: "Flash", 37386: "FocalLength", 41989: "FocalLengthIn35mmFilm", 42035: "LensMake", 42036: "LensModel",
+    254: "SubfileType", 255: "OldSubfileType", 256: "ImageWidth", 257: "ImageHeight", 258: "BitsPerSample", 259: "Compression", 262: "PhotometricInterpretation", 266: "FillOrder", 269: "DocumentName", 270: "ImageDescription", 271: "Make",
+    272: "Model", 274: "Orientation", 277: "SamplesPerPixel", 278: "RowsPerStrip", 282: "XResolution", 283: "YResolution", 284: "PlanarConfiguration", 285: "PageName", 296: "ResolutionUnit", 297: "PageNumber", 305: "Software", 306: "DateTime",
+    315: "Artist", 316: "HostComputer", 317: "Predictor", 318: "WhitePoint", 319: "PrimaryChromaticities", 322: "TileWidth", 323: "TileLength", 338: "ExtraSamples", 339: "SampleFormat", 513: "ThumbnailOffset", 514: "ThumbnailLength",
+    529: "YCbCrCoefficients", 530: "YCbCrSubSampling", 531: "YCbCrPositioning", 532: "ReferenceBlackWhite", 18246: "Rating", 18249: "RatingPercent", 33432: "Copyright", 33434: "ExposureTime", 33437: "FNumber", 34850: "ExposureProgram",
+    34852: "SpectralSensitivity", 34855: "PhotographicSensitivity", 34864: "SensitivityType", 34865: "StandardOutputSensitivity", 34866: "RecommendedExposureIndex", 34867: "ISOSpeed", 34868: "ISOSpeedLatitudeyyy", 34869: "ISOSpeedLatitudezzz",
+    36864: "ExifVersion", 36867: "DateTimeOriginal", 36868: "DateTimeDigitized", 36880: "OffsetTime", 36881: "OffsetTimeOriginal", 36882: "OffsetTimeDigitized", 37121: "ComponentsConfiguration", 37122: "CompressedBitsPerPixel",
+    37377: "ShutterSpeedValue", 37378: "ApertureValue", 37379: "BrightnessValue", 37380: "ExposureBiasValue", 37381: "MaxApertureValue", 37382: "SubjectDistance", 37383: "MeteringMode", 37384: "LightSource", 37385: "Flash", 37386: "FocalLength",
+    37396: "SubjectArea", 37520: "SubSecTime", 37521: "SubSecTimeOriginal", 37522: "SubSecTimeDigitized", 37888: "AmbientTemperature", 37889: "Humidity", 37890: "Pressure", 37891: "WaterDepth", 37892: "Acceleration", 37893: "CameraElevationAngle",
+    40960: "FlashpixVersion", 40961: "ColorSpace", 40962: "ExifImageWidth", 40963: "ExifImageHeight", 40964: "RelatedSoundFile", 41483: "FlashEnergy", 41486: "FocalPlaneXResolution", 41487: "FocalPlaneYResolution",
+    41488: "FocalPlaneResolutionUnit", 41492: "SubjectLocation", 41493: "ExposureIndex", 41495: "SensingMethod", 41728: "FileSource", 41729: "SceneType", 41985: "CustomRendered", 41986: "ExposureMode", 41987: "WhiteBalance",
+    41988: "DigitalZoomRatio", 41989: "FocalLengthIn35mmFilm", 41990: "SceneCaptureType", 41991: "GainControl", 41992: "Contrast", 41993: "Saturation", 41994: "Sharpness", 41996: "SubjectDistanceRange", 42016: "ImageUniqueID",
+    42032: "CameraOwnerName", 42033: "BodySerialNumber", 42034: "LensSpecification", 42035: "LensMake", 42036: "LensModel", 42037: "LensSerialNumber", 42080: "CompositeImage", 42240: "Gamma", 50341: "PrintIM",
 }
-GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude"}
-X = 7
+GPS_TAGS = {
+    0: "GPSVersionID", 1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 5: "GPSAltitudeRef", 6: "GPSAltitude", 7: "GPSTimeStamp", 8: "GPSSatellites", 9: "GPSStatus", 10: "GPSMeasureMode", 11: "GPSDOP", 12: "GPSSpeedRef",
+    13: "GPSSpeed", 14: "GPSTrackRef", 15: "GPSTrack", 16: "GPSImgDirectionRef", 17: "GPSImgDirection", 18: "GPSMapDatum", 19: "GPSDestLatitudeRef", 20: "GPSDestLatitude", 21: "GPSDestLongitudeRef", 22: "GPSDestLongitude",
+    23: "GPSDestBearingRef", 24: "GPSDestBearing", 25: "GPSDestDistanceRef", 26: "GPSDestDistance", 29: "GPSDateStamp", 30: "GPSDifferential", 31: "GPSHPositioningError",
+}
+INTEROP_TAGS = {1: "InteropIndex", 2: "InteropVersion"}
+APPLE_TAGS = {
+    1: "MakerNoteVersion", 4: "AEStable", 5: "AETarget", 6: "AEAverage", 7: "AFStable", 8: "AccelerationVector", 12: "FocusDistanceRange", 17: "ContentIdentifier", 20: "ImageCaptureType", 23: "LivePhotoVideoIndex", 31: "PhotosAppFeatureFlags",
+    33: "HDRHeadroom", 39: "SignalToNoiseRatio", 43: "PhotoIdentifier", 45: "ColorTemperature", 46: "CameraType", 47: "FocusPosition",
+}
+X, N = 7, 12
+_EXIF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+
+
+def directory(data: bytes, at: int, little: bool, names: dict[int, str]) -> tuple[dict[str, object], dict[int, tuple[int, int]], int]:
+    """The named values of a TIFF directory, where each tag's bytes lie, and where the next directory begins."""
+    order, found, places = "little" if little else "big", {}, {}
+    rows = min(u(data, at, 2, little), 512)
+    for row in range(at + 2, at + 2 + 12 * rows, 12):
+        tag, kind, n = u(data, row, 2, little), u(data, row + 2, 2, little), u(data, row + 4, 4, little)
+        width = _EXIF_SIZES.get(kind, 0)
+        where = row + 8 if width * n <= 4 else u(data, row + 8, 4, little)
+        if not width or not 0 < n <= 1 << 20 or where + width * n > len(data):
+            continue
+        places[tag] = where, width * n
+        if tag not in names or n > 1 << 16:
+            continue
+        if kind == 2:
+            value = text(bytes(data[where : where + n]), "latin-1")
+        elif kind in (5, 10):
+            pairs = [(int.from_bytes(data[k : k + 4], order, signed=kind == 10), int.from_bytes(data[k + 4 : k + 8], order, signed=kind == 10)) for k in range(where, where + 8 * min(n, 8), 8)]
+            value = [a / b if b else 0.0 for a, b in pairs]
+        elif kind == 7:
+            raw = bytes(data[where : where + min(n, 64)])
+            value = raw.decode("ascii").strip("\0 ") or None if raw.isascii() and raw.strip(b"\0").decode("ascii").isprintable() else None
+        elif kind in (11, 12):
+            value = [float(x) for x in struct.unpack(f"{'<' if little else '>'}{min(n, 8)}{'f' if kind == 11 else 'd'}", data[where : where + width * min(n, 8)])]
+        elif kind in (6, 8, 9):
+            value = int.from_bytes(data[where : where + width], order, signed=True)
+        else:
+            value = [float(u(data, k, width, little)) for k in range(where, where + width * min(n, 8), width)] if 1 < n <= 8 else u(data, where, width, little)
+        if value is not None:
+            found.setdefault(names[tag], value)
+    return found, places, u(data, at + 2 + 12 * rows, 4, little)
+
+
+def _shown(value) -> str:
+    return (f"{value[0]:g}" if len(value) == 1 else " ".join(f"{v:g}" for v in value)) if isinstance(value, list) else str(value)
+
+
+def apple_note(note: bytes, f: Found) -> bool:
+    """Apple's maker note: its own directory after 14 bytes, with offsets from its start."""
+    if note[:10] != b"Apple iOS\0" or note[12:14] not in (b"MM", b"II"):
+        return False
+    found, _, _ = directory(note, 14, note[12:14] == b"II", APPLE_TAGS)
+    for name, value in found.items():
+        f.put(N, name, _shown(value))
+    return bool(found)
+
+
+def lens(found: dict) -> str | None:
+    """The lens by its specification (least and largest focal length and their apertures), as 24-70mm f/2.8."""
+    spec = found.get("LensSpecification")
+    if not isinstance(spec, list) or len(spec) != 4 or not spec[0]:
+        return None
+    span = lambda a, b: f"{a:g}" if a == b or not b else f"{a:g}-{b:g}"
+    return f"{span(spec[0], spec[1])}mm" + (f" f/{span(spec[2], spec[3])}" if spec[2] else "")
 
 
 def exif(data: bytes, f: Found) -> bool:
-    """Fields of a TIFF structure, as JPEG's Exif segment or a TIFF file has them, with positions in degrees."""
+    """Fields of a TIFF structure, as JPEG's Exif segment or a TIFF file has them: its first directory with those for Exif,
+    positions and interoperability, the thumbnail's, and Apple's maker note. Positions come in degrees as well."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         return False
-    little, found = data[:2] == b"II", {}
-
-    def walk(at: int, names: dict[int, str], depth: int) -> None:
-        for k in range(min(u(data, at, 2, little), 512)):
-            row = at + 2 + 12 * k
-            tag, kind, n = u(data, row, 2, little), u(data, row + 2, 2, little), u(data, row + 4, 4, little)
-            width = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}.get(kind, 0)
-            where = row + 8 if width * n <= 4 else u(data, row + 8, 4, little)
-            if tag in (34665, 34853) and depth == 0:
-                walk(u(data, row + 8, 4, little), EXIF_TAGS if tag == 34665 else GPS_TAGS, 1)
-            if tag not in names or not width or not 0 < n <= 1 << 16 or where + width * n > len(data):
-                continue
-            if kind == 2:
-                value = text(data[where : where + n], "latin-1")
-            elif kind in (5, 10):
-                pairs = [(int.from_bytes(data[where + 8 * j : where + 8 * j + 4], "little" if little else "big", signed=kind == 10), u(data, where + 8 * j + 4, 4, little)) for j in range(min(n, 8))]
-                value = [a / b if b else 0.0 for a, b in pairs]
-            else:
-                value = u(data, where, width, little)
-            found.setdefault(names[tag], value)
-
-    walk(u(data, 4, 4, little), EXIF_TAGS, 0)
+    little = data[:2] == b"II"
+    found, places, after = directory(data, u(data, 4, 4, little), little, EXIF_TAGS)
+    inner: dict[int, tuple[int, int]] = {}
+    for tag, names in ((34665, EXIF_TAGS), (34853, GPS_TAGS)):
+        if tag in places:
+            more, inside, _ = directory(data, u(data, places[tag][0], 4, little), little, names)
+            found = {**more, **found} if tag == 34853 else found | {k: v for k, v in more.items() if k not in found}
+            inner |= inside if tag == 34665 else {}
+    if 40965 in inner:
+        found |= directory(data, u(data, inner[40965][0], 4, little), little, INTEROP_TAGS)[0]
+    if after:
+        small, _, _ = directory(data, after, little, EXIF_TAGS)
+        found |= {k: v for k, v in small.items() if k.startswith("Thumbnail")}
     for name, value in found.items():
-        f.put(X, name, (f"{value[0]:g}" if len(value) == 1 else " ".join(f"{v:g}" for v in value)) if isinstance(value, list) else value)
+        f.put(X, name, _shown(value))
+    f.put(X, "LensSpec", lens(found))
     for axis, minus in (("Latitude", "S"), ("Longitude", "W")):
         parts = found.get(f"GPS{axis}")
         if isinstance(parts, list) and len(parts) >= 3:
             f.put(X, f"GPS{axis}Decimal", f"{(parts[0] + parts[1] / 60 + parts[2] / 3600) * (-1 if found.get(f'GPS{axis}Ref') == minus else 1):.6f}")
+    if 37500 in inner:
+        apple_note(bytes(data[inner[37500][0] : sum(inner[37500])]), f)
     return bool(found)
 
 

@@ -9,7 +9,9 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.functions import display as D
 from framelake.model import KERNEL_FIELD, kind_name
+from framelake.operators import derived
 from framelake.operators.detection import with_candidates
 from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, plain_wav
 from framelake.operators.registry import IN_LAYOUTS, KERNELS, first_accepting
@@ -82,7 +84,12 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     name = F.when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
     error = F.when(F.col("content").isNull(), "no content").when(name.isNull(), "no parser accepts the blob")
     length = [F.octet_length("content").cast("long").alias("length")] if keep_length else []
-    return rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("walked.truncated", F.lit(False)).alias("truncated"), error.alias("error"))
+    return _made_once(rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("walked.truncated", F.lit(False)).alias("truncated"), error.alias("error")))
+
+
+def _made_once(rows: DataFrame) -> DataFrame:
+    """``rows`` as generated ones: what is built on them refers to their columns instead of repeating the expressions."""
+    return rows.select(F.explode(F.array(F.struct(*rows.columns))).alias("_row")).select("_row.*")
 
 
 def long_fields(rows: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def stream_maps(rows: DataFrame, kind: int) -> DataFrame:
     """(path, pos, fields): the streams of a kind of what ``parsed`` makes, a map of each one's fields. A file's fields are in
     one row already, so nothing is shuffled."""
     own = F.filter("fields", lambda r: (r["kind_id"] == kind) & ~r["is_extra"])
-    flat = rows.select("path", own.alias("own")).select("path", "own", F.explode(F.array_sort(F.array_distinct(F.transform("own", lambda r: r["pos"])))).alias("pos"))
+    flat = _made_once(rows.select("path", own.alias("own"))).select("path", "own", F.explode(F.array_sort(F.array_distinct(F.transform("own", lambda r: r["pos"])))).alias("pos"))
     pairs = F.transform(F.filter("own", lambda r: r["pos"] == F.col("pos")), lambda r: F.struct(r["name"], r["value"]))
     return flat.select("path", "pos", F.map_from_entries(pairs).alias("fields"))
 
@@ -132,4 +139,36 @@ def with_file_level(rows: DataFrame) -> DataFrame:
         "StreamSize": F.when(inner < F.col("length"), F.col("length") - inner),
     }
     made = [F.when(v.isNotNull() & _value(0, n).isNull(), F.struct(F.lit(0).alias("kind_id"), F.lit(0).alias("pos"), F.lit(n).alias("name"), v.cast("string").alias("value"), F.lit(False).alias("is_extra"))) for n, v in found.items()]
-    return rows.withColumn("fields", F.when(F.col("fields").isNotNull(), F.concat("fields", F.array_compact(F.array(*made)))))
+    return _made_once(rows.withColumn("fields", F.when(F.col("fields").isNotNull(), F.concat("fields", F.array_compact(F.array(*made))))))
+
+
+def with_computed(rows: DataFrame) -> DataFrame:
+    """Adds to the fields of what ``parsed`` makes those that follow from others of the same stream: Bits_Pixel_Frame,
+    FrameRate_Mode_Original and Format_Level_Inferred of video, BitRate_Minimum of video and audio, where there are none;
+    and the bit rate ranges of the file. Nothing is shuffled."""
+    streams = F.array_distinct(F.transform(F.filter("fields", lambda r: r["kind_id"].isin(1, 2)), lambda r: F.struct(r["kind_id"].alias("kind_id"), r["pos"].alias("pos"))))
+
+    def of(s: Column, name: str) -> Column:
+        return F.get(F.filter("fields", lambda r: (r["kind_id"] == s["kind_id"]) & (r["pos"] == s["pos"]) & (r["name"] == name) & ~r["is_extra"]), F.lit(0))["value"]
+
+    def row(s: Column, name: str, value: Column) -> Column:
+        made = F.struct(s["kind_id"].alias("kind_id"), s["pos"].alias("pos"), F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(False).alias("is_extra"))
+        return F.when(value.isNotNull() & of(s, name).isNull(), made)
+
+    def computed(s: Column) -> Column:
+        number = lambda name: of(s, name).try_cast("double")
+        video = s["kind_id"] == 1
+        return F.array(
+            row(s, "Bits_Pixel_Frame", F.when(video, D.bits_pixel_frame(number("Width"), number("Height"), number("FrameRate"), number("BitRate")))),
+            row(s, "FrameRate_Mode_Original", F.when(video, of(s, "FrameRate_Mode"))),
+            row(s, "BitRate_Minimum", derived.lowest_bitrate(of(s, "BitRate"))),
+            row(s, "Format_Level_Inferred", F.when(video & (of(s, "Format") == "AV1"), derived.inferred_av1_level(of(s, "Format_Profile"), number("Width"), number("Height"), number("FrameRate")))),
+        )
+
+    every = F.concat("fields", F.array_compact(F.flatten(F.transform(streams, computed))))
+    rows = _made_once(rows.withColumn("fields", F.when(F.col("fields").isNotNull(), every)))
+    rates = lambda name: F.array_compact(F.transform(F.filter("fields", lambda r: r["kind_id"].isin(1, 2) & (r["name"] == name)), lambda r: r["value"].try_cast("long")))
+    top = F.aggregate(rates("BitRate_Maximum"), F.lit(0).cast("long"), lambda a, x: a + x)
+    general = {"OverallBitRate_Maximum": F.when(top > 0, top), "OverallBitRate_Minimum": F.array_min(rates("BitRate"))}
+    made = [F.when(v.isNotNull() & _value(0, n).isNull(), F.struct(F.lit(0).alias("kind_id"), F.lit(0).alias("pos"), F.lit(n).alias("name"), v.cast("string").alias("value"), F.lit(False).alias("is_extra"))) for n, v in general.items()]
+    return _made_once(rows.withColumn("fields", F.when(F.col("fields").isNotNull(), F.concat("fields", F.array_compact(F.array(*made))))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Options by name; underscores and letter case don't matter.
+#: Options by name; underscores and letter case don't matter. multifile and multifilemax decide on companions (``api.read``);
+#: the others are known, so that callers' settings pass, and change nothing here.
 OPTIONS = frozenset("demux tracelevel traceformat tracetimesectiononlyfirst parsespeed showcomplete complete multifile multifilemax".split())
 
 
@@ -52,11 +53,15 @@ def with_sidecars(files: DataFrame, others: DataFrame) -> DataFrame:
     return files.join(others, ["folder", "stem"], "left")
 
 
-def concatenated(files: DataFrame, others: DataFrame) -> DataFrame:
-    """Each file's content followed by its companions' in order of path. Meant for companions of bounded number."""
-    joined = with_sidecars(files, others.select("folder", "stem", F.col("path").alias("sidecar"), F.col("content").alias("more")))
-    parts = joined.groupBy("path").agg(F.first("content").alias("content"), F.array_sort(F.collect_list(F.when(F.col("sidecar").isNotNull(), F.struct("sidecar", "more")))).alias("parts"))
-    return parts.select("path", F.aggregate("parts", F.col("content"), lambda a, p: F.concat(a, p["more"])).alias("content"))
+def concatenated(files: DataFrame, others: DataFrame, most: int = 64) -> DataFrame:
+    """Each file's content followed by its companions' in order of path, of the first ``most`` of them (the option
+    multifilemax). Companions are chosen by their paths; only the contents of those that are are put together."""
+    named = others.select("folder", "stem", F.col("path").alias("sidecar")).groupBy("folder", "stem").agg(F.array_sort(F.collect_set("sidecar")).alias("all"))
+    chosen = named.select("folder", "stem", F.posexplode(F.slice("all", 1, most)).alias("at", "sidecar"))
+    parts = chosen.join(others.select(F.col("path").alias("sidecar"), F.col("content").alias("more")), "sidecar")
+    whole = parts.groupBy("folder", "stem").agg(F.array_sort(F.collect_list(F.struct("at", "more"))).alias("parts"))
+    joined = files.join(whole, ["folder", "stem"], "left")
+    return joined.select("path", F.aggregate(F.coalesce("parts", F.array().cast("array<struct<at: int, more: binary>>")), F.col("content"), lambda a, p: F.concat(a, p["more"])).alias("content"))
 
 
 def reader_label(path: Column) -> Column:

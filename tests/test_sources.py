@@ -3,8 +3,11 @@ import struct
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from framelake import api
-from framelake.operators import kernels_tags
+from framelake.functions import pcm
+from framelake.operators import kernels, kernels_tags
 from framelake.operators.kernels import Found
 from framelake.operators.parsing import parsed
 from framelake.operators.registry import run_kernel
@@ -89,6 +92,16 @@ def test_front(spark, tmp_path, capsys):
     assert "SamplingRate" in capsys.readouterr().out
 
 
+def test_companions(spark, tmp_path):
+    for name, body in (("a.wav", wav()), ("a.srt", b"1"), ("a.sub", b"23"), ("b.wav", wav()), ("c.srt", b"9")):
+        (tmp_path / name).write_bytes(body)
+    sizes = {os.path.basename(r.path): r.length for r in api.read(spark, str(tmp_path), MultiFile="1").collect()}
+    assert sizes == {"a.wav": len(wav()) + 3, "b.wav": len(wav())}
+    assert {r.length for r in api.read(spark, str(tmp_path), multifile="1", multifile_max="1").collect()} == {len(wav()) + 1, len(wav())}
+    with pytest.raises(ValueError):
+        api.read(spark, str(tmp_path), nothing="1")
+
+
 def found(read, data):
     f = Found()
     assert read(data, f)
@@ -135,3 +148,30 @@ def test_mp4_tags_and_configurations():
     got = {(k, n): v for k, p, n, v, _ in run_kernel("mp4", changed)[0]}
     assert got[0, "Title"] == "Film" and got[0, "Track"] == "3" and got[0, "Track/Total"] == "9" and got[0, "Compilation"] == "Yes" and got[0, "MediaType"] == "Movie"
     assert run_kernel("mp4", whole[:-100])[1] and not run_kernel("mp4", whole)[1]
+
+
+def test_computed_fields(spark):
+    rows = spark.createDataFrame([("a", bytearray(SAMPLES["mp4"][0])), ("b", bytearray(wav())), ("c", bytearray(b"x"))], "path string, content binary")
+    by = {r.path: {(x.kind_id, x.name): x.value for x in r.fields or []} for r in api.parse(rows, "sane").collect()}
+    video = by["a"]
+    assert video[1, "Bits_Pixel_Frame"] == "0.002" and video[1, "BitRate_Minimum"] == "1200" and video[0, "OverallBitRate_Minimum"] == "2400" and by["c"] == {}
+    assert by["b"][2, "BitRate_Minimum"] == "705600"
+
+
+def test_channel_pairs_and_spans(spark):
+    data = bytes(range(30)) + b"x"
+    assert pcm.split_pairs(data, 3, 2) == [b"".join(data[k : k + 4] for k in range(0, 30, 6)), b"".join(data[k + 4 : k + 6] for k in range(0, 30, 6))]
+    assert pcm.group_pairs(pcm.split_pairs(data, 3, 2), 2) == data[:30] and pcm.group_pairs(pcm.split_pairs(data[:24], 4, 2), 2) == data[:24] and pcm.group_pairs([], 2) == b""
+    row = spark.createDataFrame([(bytearray(data), [10, 50, 70]), (None, [])], "d binary, t array<long>").select(pcm.channel_pairs(F.col("d"), F.lit(3), F.lit(2)).alias("p"), pcm.index_duration(F.col("t")).alias("a"), pcm.last_frame_duration(F.col("t")).alias("b")).collect()
+    assert [bytes(x) for x in row[0].p] == pcm.split_pairs(data, 3, 2) and (row[0].a, row[0].b) == (60, 20) and row[1].p is None and row[1].a is None
+
+
+def test_apple_note_and_lens():
+    note = b"Apple iOS\0\0\1MM" + struct.pack(">H", 2) + struct.pack(">HHII", 1, 9, 1, 14) + struct.pack(">HHII", 5, 9, 1, 180) + bytes(4)
+    lens = struct.pack("<8I", 24, 1, 70, 1, 28, 10, 28, 10)
+    first = struct.pack("<H", 1) + struct.pack("<HHII", 34665, 4, 1, 26) + bytes(4)
+    inner = struct.pack("<H", 2) + struct.pack("<HHII", 37500, 7, len(note), 56) + struct.pack("<HHII", 42034, 5, 4, 56 + len(note)) + bytes(4)
+    f = Found()
+    assert kernels.exif(b"II*\0" + struct.pack("<I", 8) + first + inner + note + lens, f)
+    got = {(k, n): v for (k, p, n, e), v in f.rows.items()}
+    assert got[12, "MakerNoteVersion"] == "14" and got[12, "AETarget"] == "180" and got[7, "LensSpec"] == "24-70mm f/2.8"
