@@ -34,6 +34,7 @@ from framelake.llm.words import shingle_sets
 
 BLOCK = 1 << 16
 BATCH = 256  # texts or pairs of sets that a Python worker gets at once
+PAIRS = 1000  # pairs of sets that one task compares at least
 SKETCH = 1024  # bits
 HEAVY = 1024  # a list that may be longer is dealt out by a salt
 BITS = 22  # of the table of counts, at most
@@ -209,7 +210,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     spark = docs.sparkSession
     scratch = Scratch(spark, owner)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = bits or min(BITS, max(12, (128 * docs.count()).bit_length()))
+    total = docs.count()
+    bits = bits or min(BITS, max(12, (128 * total).bit_length()))
     with scratch.batches(BATCH):
         table = shingle_counts(docs.select("text"), words, bits)
     counts = spark.sparkContext.broadcast((table, int(np.median(table))))
@@ -217,8 +219,8 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     prefixes = scratch.table("prefixes", docs.mapInArrow(_prefixes(words, bits, counts, num, den), schema).withColumn("row", F.monotonically_increasing_id()), BATCH)
 
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    classes = scratch.table("keys", prefixes.where("n > 0").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.row", F.col("first.doc_id").alias("least")))
-    classes = scratch.table("classes", _vertices(classes).join(classes.select("key", "row", "least"), "key"))
+    classes = scratch.table("keys", prefixes.where("n > 0").groupBy("key").agg(F.min(first).alias("first")).select("key", "first.row", F.col("first.doc_id").alias("least")), rows=total)
+    classes = scratch.table("classes", _vertices(classes).join(classes.select("key", "row", "least"), "key"), rows=total)
     # One plan at every size, here and where sets are fetched: a broadcast would be right for small tables only.
     known = scratch.table("known", prefixes.join(classes.select("row", "vid").hint("merge"), "row").select("vid", "n", "key", "sketch", "prefix"))
     entries = known.select("vid", "n", F.posexplode("prefix").alias("pos", "e"))
@@ -227,7 +229,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     # Rows of several texts that share a doc_id link the classes of these.
     twice = prefixes.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo != hi").select("doc_id")
     named = prefixes.where("n > 0").select("doc_id", "key").join(twice, "doc_id").join(classes.select("key", "vid"), "key")
-    same = scratch.table("same", named.select(F.col("doc_id").alias("d"), F.col("vid").alias("b")).join(named.groupBy("doc_id").agg(F.min("vid").alias("a")), F.col("d") == F.col("doc_id")).where("a != b").select("a", "b").distinct())
+    same = scratch.table("same", named.select(F.col("doc_id").alias("d"), F.col("vid").alias("b")).join(named.groupBy("doc_id").agg(F.min("vid").alias("a")), F.col("d") == F.col("doc_id")).where("a != b").select("a", "b").distinct(), rows=total)
 
     def hub(seed: int, *more: str) -> Column:
         """The entry with the fewest rarer shingles before it: of near copies, the one that was changed least."""
@@ -243,9 +245,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     def verified(pairs: DataFrame, turn: int) -> DataFrame:
         side = lambda v, *cols: known.select(F.col("vid").alias(v), *[F.col(c).alias(f"{c}_{v}") for c in cols])
         both = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
-        near = scratch.table(f"near-{turn}", both.mapInArrow(_near(num, den), "a long, b long"))
+        # A class has one hub a turn; only what remains after the turns may be more pairs than there are rows.
+        near = scratch.table(f"near-{turn}", both.mapInArrow(_near(num, den), "a long, b long"), rows=total if turn < hub_rounds else None)
+        pairs_left = near.count()
         ids = near.select(F.col("a").alias("vid")).unionByName(near.select(F.col("b").alias("vid"))).distinct()
-        keys = scratch.table(f"ids-{turn}", classes.join(ids, "vid").select("vid", "key", "least"))
+        keys = scratch.table(f"ids-{turn}", classes.join(ids, "vid").select("vid", "key", "least"), rows=total)
         named = docs.join(keys.where("least is not null").hint("merge"), F.col("doc_id") == F.col("least")).select("vid", "key", "text")
         sets = named.mapInArrow(_sets_of(words), "vid long, key binary, raw binary")
         nameless = keys.where("least is null").select(F.col("vid").alias("v"), F.col("key").alias("k"))
@@ -256,7 +260,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
         sets = scratch.table(f"sets-{turn}", sets.groupBy("vid", "key").agg(F.first("raw").alias("raw")) if copied else sets, BATCH)
         left = near.join(sets.select(F.col("vid").alias("a"), F.col("raw").alias("x")).hint("merge"), "a")
         full = left.join(sets.select(F.col("vid").alias("b"), F.col("raw").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-        links = scratch.table(f"links-{turn}", full.mapInArrow(_verify(num, den), "a long, b long"), BATCH)
+        links = scratch.table(f"links-{turn}", full.mapInArrow(_verify(num, den), "a long, b long"), BATCH, rows=pairs_left, each=PAIRS)
         scratch.drop(f"near-{turn}", f"sets-{turn}", f"ids-{turn}")
         return links
 

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS = 100_000  # narrow rows that a file of a table has at least, where their number is known
 _KEY = "spark.checkpoint.dir"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -58,10 +59,13 @@ class Scratch:
         self.paths[label] = f"{self.root}/{label}"
         return self.paths[label]
 
-    def table(self, label: str, df: DataFrame, batch: int | None = None, dense: bool = False) -> DataFrame:
+    def table(self, label: str, df: DataFrame, batch: int | None = None, dense: bool = False, rows: int | None = None, each: int = ROWS) -> DataFrame:
         """``batch``: rows that Python workers get at once, where rows are wide. ``dense``: smaller files for more work and
-        memory, which pays for texts."""
+        memory, which pays for texts. ``rows``: about how many there are, so that the table is written by a task for each
+        ``each`` of them rather than by one for each partition of a shuffle, however little that holds."""
         path = self.folder(label)
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // each)))
         with self.batches(batch):
             df.write.option("compression", "zstd" if dense else "snappy").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
