@@ -64,12 +64,11 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     of walked blobs whether they end before what they announce. Python gets the content only of blobs whose first
     candidates have to be walked; a plain WAV file doesn't."""
     known = parser is None or parser in KERNELS or parser in LAYOUTS or parser in NAMES
-    rows = files.select("path", "content")
+    rows = _made_once(files.select("path", "content", (plain_wav(F.col("content")) if parser in (None, "wav") else F.lit(False)).alias("plain")))
     if parser is None:
         rows = with_candidates(rows, policy)
     else:
         rows = rows.withColumn("tried", F.when(F.col("content").isNotNull() & F.lit(known), F.array(F.lit(parser))))
-    rows = rows.withColumn("plain", (F.get("tried", F.lit(0)) == "wav") & plain_wav(F.col("content")))
     walked = [n for n in KERNELS if n not in IN_LAYOUTS]
     # The last candidate may need no walk; the others are tried by the kernels before it.
     last = F.get("tried", F.size("tried") - 1)
