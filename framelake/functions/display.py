@@ -275,13 +275,18 @@ def summary_bitrate(bps: Column) -> Column:
     return F.when(bps >= 1_000_000, F.concat(fixed(bps / 1e6, 2), F.lit(" Mb/s"))).when(bps >= 1000, F.concat(fixed(bps / 1e3, 2), F.lit(" kb/s"))).otherwise(F.concat(bps.cast("string"), F.lit(" b/s")))
 
 
+def _civil(unix_seconds: Column) -> Column:
+    """Date and time. Spark puts a plus before years of more than four digits, which is no part of them."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(unix_seconds), "yyyy-MM-dd HH:mm:ss"), F.lit("+"))
+
+
 def utc_text(unix_seconds: Column) -> Column:
     """Needs a session in UTC."""
-    return F.concat(F.date_format(F.timestamp_seconds(unix_seconds), "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC"))
+    return F.concat(_civil(unix_seconds), F.lit(" UTC"))
 
 
 def local_text(unix_seconds: Column, offset_seconds: int) -> Column:
-    return F.date_format(F.timestamp_seconds(unix_seconds + offset_seconds), "yyyy-MM-dd HH:mm:ss")
+    return _civil(unix_seconds + offset_seconds)
 
 
 def mp4_date(seconds_since_1904: Column) -> Column:
