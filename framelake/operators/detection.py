@@ -329,7 +329,7 @@ def with_candidates(rows: DataFrame, policy: str = "compat") -> DataFrame:
 
     What gates find is generated as columns of their own first, in compiled code that shares the bytes that several look
     at; gates of fixed bytes at the front, most of them, are found in a map by four bytes. The few that met are sorted out
-    after that. Where ``plain`` holds, the first gate has settled the blob and no other is asked."""
+    after that. Where ``plain`` holds, the blob is settled and no gate is asked."""
     from framelake.operators.registry import IN_LAYOUTS, KERNELS
 
     gates, content = _gates(policy), F.col("content")
@@ -352,7 +352,7 @@ def with_candidates(rows: DataFrame, policy: str = "compat") -> DataFrame:
     fits = lambda r: (F.octet_length(content) >= r["least"]) & F.forall(r["marks"], lambda m: F.substring(content, m["at"] + 1, m["size"]) == m["bytes"])
     front = F.when(F.col("_gates.starts").isNotNull(), F.transform(F.filter("_gates.starts", fits), lambda r: r["idx"])).otherwise(none)
     every = F.array_sort(F.array_distinct(F.array_compact(F.concat(front, F.coalesce("_gates.computed", none), F.coalesce("_gates.texts", none)))))
-    found = found.select(*own, F.explode(F.array(F.when(F.col("plain"), F.array(F.lit(0))).when(F.octet_length(content) > 0, every).when(content.isNotNull(), none))).alias("_every"))
+    found = found.select(*own, F.explode(F.array(F.when(F.col("plain"), none).when(F.octet_length(content) > 0, every).when(content.isNotNull(), none))).alias("_every"))
     walked = [i for i, n, _ in gates if n in KERNELS and n not in IN_LAYOUTS]
     settled = F.array_min(F.filter("_every", lambda i: ~i.isin(*walked)))
     return found.select(*own, names(F.filter("_every", lambda i: i <= F.coalesce(settled, i))).alias("tried"))

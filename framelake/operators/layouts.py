@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -218,30 +219,36 @@ def vp8(c: Column) -> Column:
     return _fields((_V, "Format", "VP8"), (_V, "Codec", "VP8"), (_V, "BitDepth", "8"), (_V, "ColorSpace", "YUV"), (_V, "Width", side(6)), (_V, "Height", side(8)), (_G, "Format", "VP8"))
 
 
-def plain_wav(c: Column) -> Column:
-    """Whether a WAV file is nothing but its usual 44 bytes and the samples that these announce."""
-    whole = (le(c, 4, 4) + 8 == F.octet_length(c)) & (le(c, 40, 4) + 44 == F.octet_length(c)) & (le(c, 16, 4) == 16)
-    return F.coalesce(magic(c, (0, b"RIFF"), (8, b"WAVEfmt "), (36, b"data")) & whole, F.lit(False))
+# Codecs of WAV files by their tag.
+WAV_CODECS = {1: "PCM", 3: "PCM", 6: "A-law", 7: "µ-law", 65534: "PCM"}
+
+
+def plain_wav_fields(head: bytes, length: int) -> list[tuple[int, int, str, str, bool]] | None:
+    """The fields of a WAV file that is nothing but its usual 44 bytes and the samples that these announce, as the kernel gives
+    them for any; null for other blobs."""
+    if len(head) < 44 or head[36:40] != b"data":
+        return None
+    size_told, fmt, tag, channels, rate, align, bits, size = _WAV_HEAD.unpack_from(head)
+    if size_told + 8 != length or size + 44 != length or fmt != 16:
+        return None
+    samples, bps = size // align if align else None, rate * channels * bits
+    sign = ("Unsigned" if bits <= 8 else "Signed") if tag == 1 else "Signed" if tag == 3 else None
+    rows = (
+        (_G, "Format", "Wave"), (_G, "InternetMediaType", "audio/wav"), (_G, "Format_Settings", "PcmWaveformat" if tag == 1 else None),
+        (_A, "Format", WAV_CODECS.get(tag, "Unknown")), (_A, "Format_Settings_Endianness", "Little" if tag in (1, 3, 0xFFFE) else None), (_A, "Format_Settings_Sign", sign),
+        (_A, "CodecID", tag), (_A, "BitRate_Mode", "CBR"), (_A, "BitRate", bps or None), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", bits), (_A, "StreamSize", size),
+        (_A, "SamplingCount", samples), (_A, "Duration", (samples * 1000 + rate // 2) // rate if rate and samples is not None else None), (_G, "AudioCount", "1"),
+    )
+    return [(k, 0, n, str(v), False) for k, n, v in rows if v is not None]
 
 
-def wav(c: Column) -> Column:
-    """The fields of a plain WAV file, as the kernel gives them for any."""
-    tag, channels, rate, align, bits, size = le(c, 20, 2), le(c, 22, 2), le(c, 24, 4), le(c, 32, 2), le(c, 34, 2), le(c, 40, 4)
-    name = lookup(tag.cast("string"), {"1": "PCM", "3": "PCM", "6": "A-law", "7": "µ-law", "65534": "PCM"}, F.lit("Unknown"))
-    samples = F.call_function("div", size, F.nullif(align, F.lit(0)))
-    bps = rate * channels * bits
-    return _fields(
-        (_G, "Format", "Wave"), (_G, "InternetMediaType", "audio/wav"), (_G, "Format_Settings", F.when(tag == 1, "PcmWaveformat")),
-        (_A, "Format", name), (_A, "Format_Settings_Endianness", F.when(tag.isin(1, 3, 0xFFFE), "Little")), (_A, "Format_Settings_Sign", F.when(tag == 1, F.when(bits <= 8, "Unsigned").otherwise("Signed")).when(tag == 3, "Signed")),
-        (_A, "CodecID", tag), (_A, "BitRate_Mode", "CBR"), (_A, "BitRate", F.when(bps > 0, bps)), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", bits), (_A, "StreamSize", size),
-        (_A, "SamplingCount", samples), (_A, "Duration", F.when((rate > 0) & samples.isNotNull(), duration_ms(samples, rate))), (_G, "AudioCount", "1"),
-    )
+_WAV_HEAD = struct.Struct("<4xI8xIHHI4xHH4xI")
 
 
 #: Parsers with a layout of their own.
 LAYOUTS: dict[str, Callable[[Column], Column]] = {
     "bmp": bmp, "gif": gif, "psd": psd, "pcx": pcx, "dds": dds, "ivf": ivf, "flv": flv, "au": au, "midi": midi, "elf": elf, "zip": zip_, "gzip": gzip, "bzip2": bzip2, "rar": rar, "iso9660": iso9660,
-    "opus": opus, "vorbis": vorbis, "tta": tta, "cr2": cr2, "arriraw": arriraw, "dcp_am": dcp_am, "dcp_cpl": dcp_cpl, "dcp_pkl": dcp_pkl, "vp8": vp8, "wav": wav,
+    "opus": opus, "vorbis": vorbis, "tta": tta, "cr2": cr2, "arriraw": arriraw, "dcp_am": dcp_am, "dcp_cpl": dcp_cpl, "dcp_pkl": dcp_pkl, "vp8": vp8,
 }
 
 # Formats of which nothing is read but what is told by the format itself, as (kind, field, value).

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+import itertools
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from framelake.functions import display as D
 from framelake.model import KERNEL_FIELD, kind_name
 from framelake.operators import derived
 from framelake.operators.detection import with_candidates
-from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, plain_wav
+from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, plain_wav_fields
 from framelake.operators.registry import IN_LAYOUTS, KERNELS, first_accepting
 
 _FIELD = pa.struct([("kind_id", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("is_extra", pa.bool_())])
@@ -23,20 +25,61 @@ _WALKED = pa.struct([("parser", pa.string()), ("fields", pa.list_(_FIELD)), ("tr
 _WALKED_SQL = f"struct<parser: string, fields: array<{KERNEL_FIELD}>, truncated: boolean>"
 
 
+def _packed(found: list[tuple[str, list, bool] | None]) -> pa.Array:
+    """Results of kernels as one Arrow array."""
+    rows = [row for f in found if f for row in f[1]]
+    ends = [0, *itertools.accumulate(len(f[1]) if f else 0 for f in found)]
+    columns = zip(*rows) if rows else ((),) * len(_FIELD)
+    fields = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FIELD)], fields=list(_FIELD))
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)
+    return pa.StructArray.from_arrays([pa.array([f[0] if f else None for f in found], pa.string()), lists, pa.array([f[2] if f else None for f in found], pa.bool_())], fields=list(_WALKED))
+
+
 def _walk(candidates: pa.Array, content: pa.Array) -> pa.Array:
     """Tries the kernels in their order on rows that have content; the others stay null."""
-    parsers, cuts, ends, columns = [], [], [0], ([], [], [], [], [])
-    for tried, blob in zip(candidates, content):
-        found = first_accepting([n for n in tried.as_py() if n in KERNELS], blob.as_py()) if blob.is_valid else None
-        parsers.append(found[0] if found else None)
-        cuts.append(found[2] if found else None)
-        for row in found[1] if found else ():
-            for column, value in zip(columns, row):
-                column.append(value)
-        ends.append(len(columns[0]))
-    rows = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _FIELD)], fields=list(_FIELD))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
-    return pa.StructArray.from_arrays([pa.array(parsers, pa.string()), lists, pa.array(cuts, pa.bool_())], fields=list(_WALKED))
+    if content.null_count == len(content):
+        return pa.nulls(len(content), _WALKED)
+    return _packed([first_accepting([n for n in tried if n in KERNELS], blob) if blob is not None else None for tried, blob in zip(candidates.to_pylist(), content.to_pylist())])
+
+
+#: What stands at the front of blobs that one gate settles, before any other is asked.
+_SURE = {b"\x89PNG\r\n\x1a\n": "png", b"fLaC": "flac"}
+
+
+def _sure_kernel(blob: bytes) -> tuple[str, list, bool] | None:
+    """What the kernel of a blob's front says, where no gate before it can accept the blob."""
+    name = "flac" if blob[:4] == b"fLaC" else "png" if blob[12:16] == b"IHDR" and b"\x06\x0e\x2b\x34" not in blob[:4096] else None
+    return first_accepting([name], blob) if name else None
+
+
+def _surely(head: pa.Array, length: pa.Array) -> pa.Array:
+    """Fields of blobs whose front settles what they are, null for all others: of plain WAV files, of which the first 44 bytes
+    come here, and of PNG and FLAC files that their kernels accept. Equal heads are read once a batch."""
+    wav = pc.equal(pc.binary_slice(head, 0, 4), pa.scalar(b"RIFF", head.type))
+    places: dict[tuple | int | None, int] = {}
+    at, found = [], []
+    for k, (blob, size) in enumerate(zip(head.to_pylist(), pc.if_else(wav, length, None).to_pylist())):
+        place = places.setdefault((blob, size) if size is not None else None if blob is None else k, len(found))
+        at.append(place)
+        if place == len(found):
+            fields = plain_wav_fields(blob, size) if size is not None else None
+            found.append(("wav", fields, False) if fields else _sure_kernel(blob) if blob is not None and size is None else None)
+    made = _packed(found)
+    return made if len(found) == len(at) else made.take(pa.array(at, pa.int32()))
+
+
+def _sure_head() -> Column:
+    """The part of a blob that ``_surely`` needs, null for blobs that the gates have to sort out."""
+    c = F.col("content")
+    front = lambda mark: F.substring(c, 1, len(mark)) == F.lit(bytes(mark))
+    whole = functools.reduce(lambda a, b: a | b, [front(m) for m in _SURE])
+    return F.when(front(b"RIFF") & (F.substring(c, 9, 8) == F.lit(b"WAVEfmt ")), F.substring(c, 1, 44)).when(whole, c)
+
+
+@functools.cache
+def _sure():
+    """Made when it is first used, as its type is parsed by a session."""
+    return F.arrow_udf(_WALKED_SQL)(_surely)
 
 
 @functools.cache
@@ -62,9 +105,16 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
 
     ``fields`` is an array in the order of writing; null, with an error, where nothing accepts the blob. ``truncated`` tells
     of walked blobs whether they end before what they announce. Python gets the content only of blobs whose first
-    candidates have to be walked; a plain WAV file doesn't."""
+    candidates have to be walked, and the first 44 bytes of a plain WAV file."""
     known = parser is None or parser in KERNELS or parser in LAYOUTS or parser in NAMES
-    rows = _made_once(files.select("path", "content", (plain_wav(F.col("content")) if parser in (None, "wav") else F.lit(False)).alias("plain")))
+    rows = files.select("path", "content")
+    if parser in (None, "wav", *_SURE.values()):
+        rows = _made_once(rows).withColumn("sure", _sure()(_sure_head(), F.octet_length("content")))
+        if parser is not None:
+            rows = rows.withColumn("sure", F.when(F.col("sure.parser") == parser, F.col("sure")))
+    else:
+        rows = rows.withColumn("sure", F.lit(None).cast(_WALKED_SQL))
+    rows = _made_once(rows.select("path", "content", "sure", F.col("sure.parser").isNotNull().alias("plain")))
     if parser is None:
         rows = with_candidates(rows, policy)
     else:
@@ -72,18 +122,17 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     walked = [n for n in KERNELS if n not in IN_LAYOUTS]
     # The last candidate may need no walk; the others are tried by the kernels before it.
     last = F.get("tried", F.size("tried") - 1)
-    settled = F.when(F.col("plain"), "wav").when(~last.isin(*walked), last)
-    rows = rows.withColumn("settled", settled)
-    walk = ~F.coalesce(F.col("plain"), F.lit(False)) & F.get("tried", 0).isin(*walked) & (F.size("tried") > 0)
+    rows = rows.withColumn("settled", F.when(~F.col("plain") & ~last.isin(*walked), last))
+    walk = ~F.col("plain") & F.get("tried", 0).isin(*walked) & (F.size("tried") > 0)
     # One struct made once for all its uses; only rows to be walked have content in it.
-    rows = rows.select("path", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
+    rows = rows.select("path", "plain", "sure", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
     rows = rows.withColumn("walked", _walker()(F.coalesce("tried", F.array().cast("array<string>")), "body")) if parser is None or parser in walked else rows.withColumn("walked", F.lit(None).cast(_WALKED_SQL))
     mine = F.col("walked.parser").isNotNull()
-    fields = F.when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
-    name = F.when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
+    fields = F.when(F.col("plain"), F.col("sure.fields")).when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
+    name = F.when(F.col("plain"), F.col("sure.parser")).when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
     error = F.when(F.col("content").isNull(), "no content").when(name.isNull(), "no parser accepts the blob")
     length = [F.octet_length("content").cast("long").alias("length")] if keep_length else []
-    return _made_once(rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("walked.truncated", F.lit(False)).alias("truncated"), error.alias("error")))
+    return _made_once(rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("sure.truncated", "walked.truncated", F.lit(False)).alias("truncated"), error.alias("error")))
 
 
 def _made_once(rows: DataFrame) -> DataFrame:
@@ -114,7 +163,12 @@ def stream_maps(rows: DataFrame, kind: int) -> DataFrame:
 
 def typed_streams(rows: DataFrame, kind: int, columns: dict[str, str]) -> DataFrame:
     """One row a stream of a kind of what ``parsed`` makes, with named fields cast to types; what can't be cast is null."""
-    return stream_maps(rows, kind).select("path", "pos", *[F.try_element_at("fields", F.lit(n)).try_cast(t).alias(n) for n, t in columns.items()])
+    wanted = F.filter("fields", lambda r: (r["kind_id"] == kind) & ~r["is_extra"])
+    flat = _made_once(rows.select("path", wanted.alias("own"))).select("path", "own", F.explode(F.array_sort(F.array_distinct(F.col("own.pos")))).alias("pos"))
+    first = F.array_max(F.col("own.pos")) == F.array_min(F.col("own.pos"))
+    one = _made_once(flat.select("path", "pos", F.when(first, F.col("own")).otherwise(F.filter("own", lambda r: r["pos"] == F.col("pos"))).alias("own")))
+    value = lambda n: F.get(F.col("own.value"), (F.array_position(F.col("own.name"), F.lit(n)) - 1).cast("int"))
+    return one.select("path", "pos", *[value(n).try_cast(t).alias(n) for n, t in columns.items()])
 
 
 def _value(kind: int, name: str) -> Column:
@@ -125,20 +179,30 @@ def _value(kind: int, name: str) -> Column:
 def with_file_level(rows: DataFrame) -> DataFrame:
     """Adds what a file as a whole has to the fields of what ``parsed`` makes with ``keep_length``: FileSize, Duration,
     OverallBitRate and its mode, FrameRate, FrameCount and StreamSize of General, where the parser told none. The rules are
-    those of ``derived.file_level``; nothing is shuffled."""
-    whole = lambda c: c.try_cast("long")
+    those of ``derived.file_level``; nothing is shuffled, and a file's fields are gone through once."""
+    own = rows.columns
+    keys = F.transform("fields", lambda r: F.when((r["pos"] == 0) & ~r["is_extra"], F.concat_ws("/", r["kind_id"], r["name"])))
+    rows = _made_once(rows.select(*own, F.transform(keys, lambda k: F.coalesce(k, F.lit(""))).alias("_keys")))
+    at = lambda kind, name: F.get(F.col("fields.value"), (F.array_position("_keys", F.lit(f"{kind}/{name}")) - 1).cast("int"))
+    needed = [(0, n) for n in ("FileSize", "Duration", "OverallBitRate", "OverallBitRate_Mode", "FrameRate", "FrameCount", "StreamSize")]
+    needed += [(2, "Duration"), (2, "BitRate_Mode"), (2, "StreamSize"), (1, "FrameRate_Mode"), (1, "StreamSize"), (1, "FrameRate"), (1, "FrameCount")]
     video = F.exists("fields", lambda r: r["kind_id"] == 1)
-    ms = F.coalesce(whole(_value(0, "Duration")), whole(_value(2, "Duration")))
+    rows = _made_once(rows.select(*own, F.struct(*[at(k, n).alias(f"{k}_{n}") for k, n in needed]).alias("_of"), video.alias("_video")))
+    told = lambda kind, name: F.col(f"_of.{kind}_{name}")
+    whole = lambda c: c.try_cast("long")
+    ms, sound, picture = F.coalesce(whole(told(0, "Duration")), whole(told(2, "Duration"))), whole(told(2, "StreamSize")), F.coalesce(whole(told(1, "StreamSize")), F.lit(0))
+    rows = _made_once(rows.select(*own, "_of", "_video", ms.alias("_ms"), F.when(sound.isNotNull(), sound + picture).when(picture > 0, picture).alias("_inner")))
+    ms, inner, video = F.col("_ms"), F.col("_inner"), F.col("_video")
     overall = F.when(ms > 0, F.round(F.col("length") * 8.0 * 1000.0 / ms).cast("long"))
-    mode = F.when(~video, _value(2, "BitRate_Mode")).when(_value(1, "FrameRate_Mode") == "VFR", "VBR")
-    sound, picture = whole(_value(2, "StreamSize")), F.coalesce(whole(_value(1, "StreamSize")), F.lit(0))
-    inner = F.when(sound.isNotNull(), sound + picture).when(picture > 0, picture)
+    mode = F.when(~video, told(2, "BitRate_Mode")).when(told(1, "FrameRate_Mode") == "VFR", "VBR")
     found = {
-        "FileSize": F.col("length"), "Duration": ms, "OverallBitRate": overall, "OverallBitRate_Mode": F.when(overall.isNotNull(), mode), "FrameRate": F.when(video, _value(1, "FrameRate")), "FrameCount": F.when(video, _value(1, "FrameCount")),
+        "FileSize": F.col("length"), "Duration": ms, "OverallBitRate": overall, "OverallBitRate_Mode": F.when(ms > 0, mode), "FrameRate": F.when(video, told(1, "FrameRate")), "FrameCount": F.when(video, told(1, "FrameCount")),
         "StreamSize": F.when(inner < F.col("length"), F.col("length") - inner),
     }
-    made = [F.when(v.isNotNull() & _value(0, n).isNull(), F.struct(F.lit(0).alias("kind_id"), F.lit(0).alias("pos"), F.lit(n).alias("name"), v.cast("string").alias("value"), F.lit(False).alias("is_extra"))) for n, v in found.items()]
-    return _made_once(rows.withColumn("fields", F.when(F.col("fields").isNotNull(), F.concat("fields", F.array_compact(F.array(*made))))))
+    made = [F.struct(F.lit(0).alias("kind_id"), F.lit(0).alias("pos"), F.lit(n).alias("name"), F.when(told(0, n).isNull(), v.cast("string")).alias("value"), F.lit(False).alias("is_extra")) for n, v in found.items()]
+    added = F.filter(F.array(*made), lambda r: r["value"].isNotNull())
+    fields = F.when(F.col("fields").isNotNull(), F.concat("fields", added))
+    return _made_once(rows.select(*[fields.alias(c) if c == "fields" else F.col(c) for c in own]))
 
 
 def with_computed(rows: DataFrame) -> DataFrame:

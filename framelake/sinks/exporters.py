@@ -6,10 +6,15 @@ many files, write the result with any of Spark's sinks.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +29,7 @@ class Media:
     def __init__(self, path: str, rows: list[dict]):
         self.path = path
         self.kinds: dict[str, list[tuple[dict[str, str], dict[str, str]]]] = {}
-        for r in sorted(rows, key=lambda r: (r["kind_id"], r["pos"], r["ord"])):
+        for r in sorted(rows, key=lambda r: (r["kind_id"], r["pos"], r.get("ord", 0))):
             streams = self.kinds.setdefault(KINDS[r["kind_id"]], [])
             while len(streams) <= r["pos"]:
                 streams.append(({}, {}))
@@ -176,7 +181,7 @@ def _shown(name: str, raw: str, whole: int | None) -> str:
     return raw
 
 
-def to_text(m: Media) -> str:
+def to_text(m: Media, shown: Callable[[str, str, int | None], str] = _shown) -> str:
     general = m.kinds.get("General", [({}, {})])[0][0]
     size = general.get("FileSize", "")
     whole = int(size) if size.isdecimal() else None
@@ -185,7 +190,7 @@ def to_text(m: Media) -> str:
         fields = {"CompleteName": m.path, **fields} if kind == "General" and m.path else fields
         names = [n for n in SHOWN[kind] if fields.get(n)] if kind in SHOWN else list(fields)
         label = lambda n: LABELS.get(n, n.replace("_", " ")) if kind in SHOWN and kind not in ("Exif", "Iptc") else n  # noqa: E731, B023
-        lines = [f"{label(n):<41}: {_shown(n, fields[n], whole) if kind in SHOWN else fields[n]}\n" for n in names]
+        lines = [f"{label(n):<41}: {shown(n, fields[n], whole) if kind in SHOWN else fields[n]}\n" for n in names]
         sections.append(kind + (f" #{pos + 1}" if len(m.kinds[kind]) > 1 else "") + "\n" + "".join(lines))
     return "\n".join(sections)
 
@@ -286,11 +291,113 @@ def to_graph(m: Media) -> str:
 FORMS: dict[str, Callable[[Media], str]] = {"json": to_json, "xml": to_xml, "csv": to_csv, "text": to_text, "summary": to_summary, "graph": to_graph} | {n: _dialect(n) for n in DIALECTS}
 
 
+# ---- many files at once: files with the same fields in the same order share a template
+
+
+def _xml_path(raw: str) -> str:
+    return _escaped(raw, (chr(34), "&quot;"), (chr(39), "&apos;"))
+
+
+def _json_inner(raw: str) -> str:
+    return json.dumps(raw, ensure_ascii=False).replace("\\b", "\\u0008").replace("\\f", "\\u000c")[1:-1]
+
+
+def _csv_cell(raw: str) -> str:
+    return '"' + raw.replace('"', '""') + '"' if any(c in raw for c in ',"\n') else raw
+
+
+# By form: how a path is written, and how a field's value is, by its name.
+_WRITTEN: dict[str, tuple[Callable[[str], str], Callable[[str, str], str]]] = {
+    "json": (_json_inner, lambda n, v: _json_inner(_seconds(n, v))), "xml": (_xml_path, lambda n, v: _text(_seconds(n, v))), "csv": (str, lambda n, v: _csv_cell(v)),
+    "text": (str, lambda n, v: _shown(n, v, None)), "summary": (str, lambda n, v: v), "graph": (str, lambda n, v: v),
+} | {n: (_text, lambda n, v: _text(v)) for n in DIALECTS}
+#: Fields whose values the summary doesn't merely copy; it is made once for all files that agree in them.
+_SUMMED = frozenset(("Format", "FileSize", "Duration", "OverallBitRate", "Width", "Height", "FrameRate", "BitDepth", "ScanType", "Channels", "SamplingRate", "Language"))
+_SHARES = frozenset(("StreamSize", "Source_StreamSize"))
+# Private-use characters stand around a value's number in templates. No form changes them; rows that have them are written one by one.
+_OPEN, _CLOSE = "\ue0f0", "\ue0f1"
+_MARK = re.compile(f"({_OPEN}[0-9]*[a-z]?{_CLOSE})")
+
+
+def _template(form: str, shape: list[tuple[int, int, str, bool, bool]], with_path: bool) -> list[str | tuple[str, int]]:
+    """The parts of a document of files with these fields (kind_id, pos, name, is_extra, empty): literal text, or a value's
+    place, or -1 for the path; with "s" where the value is shown in the text report."""
+    rows = [{"kind_id": k, "pos": p, "ord": i, "name": n, "value": "" if empty else f"{_OPEN}{i}{_CLOSE}", "is_extra": e} for i, (k, p, n, e, empty) in enumerate(shape)]
+    m = Media(f"{_OPEN}{_CLOSE}" if with_path else "", rows)
+    made = to_text(m, lambda name, raw, whole: raw.replace(_CLOSE, "s" + _CLOSE)) if form == "text" else FORMS[form](m)
+    found = [("s" if x[-2] == "s" else "", int(x[1:-1].rstrip("s") or -1)) if x.startswith(_OPEN) else x for x in _MARK.split(made)]
+    return [x for x in found if x]
+
+
+def _mapped(values: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """A function of each value, called once for equal ones."""
+    coded = values.dictionary_encode()
+    return pa.array([f(v) for v in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+def _like(form: str, paths: pa.Array, shape: list[tuple[int, int, str, bool, bool]], column: Callable[[int], pa.Array], with_path: bool) -> pa.Array:
+    """The documents of files of one shape. ``column`` gives all files' values of a field by its place."""
+    on_path, on_value = _WRITTEN[form]
+    if form == "summary":
+        used = [i for i, x in enumerate(shape) if x[2] in _SUMMED]
+        rows = list(zip(*[column(i).to_pylist() for i in used])) if used else [()] * len(paths)
+        made = {}
+        for key in set(rows):
+            told = dict(zip(used, key))
+            fields = [{"kind_id": k, "pos": p, "ord": i, "name": n, "value": told.get(i, ""), "is_extra": e} for i, (k, p, n, e, _) in enumerate(shape)]
+            made[key] = to_summary(Media(f"{_OPEN}{_CLOSE}", fields)).split(f"{_OPEN}{_CLOSE}")
+        return pa.array([path.join(made[key]) for path, key in zip(paths.to_pylist(), rows)], pa.string())
+    size = next((i for i, x in enumerate(shape) if x[:4] == (0, 0, "FileSize", False)), None) if form == "text" else None
+    parts: list = []
+    for part in _template(form, shape, with_path):
+        if isinstance(part, str):
+            parts.append(pa.scalar(part))
+            continue
+        shown, i = part
+        name = "CompleteName" if i < 0 else shape[i][2]
+        if form == "text" and not shown:
+            parts.append(paths if i < 0 else column(i))
+        elif i < 0:
+            parts.append(_mapped(paths, lambda v: _shown("CompleteName", v, None)) if form == "text" else _mapped(paths, on_path))
+        elif size is not None and name in _SHARES:
+            sizes = [int(w) if w.isdecimal() else None for w in column(size).to_pylist()]
+            parts.append(pa.array([_shown(name, v, w) for v, w in zip(column(i).to_pylist(), sizes)], pa.string()))
+        else:
+            parts.append(_mapped(column(i), functools.partial(on_value, name)))
+    if not any(isinstance(p, pa.Array) for p in parts):
+        return pa.array(["".join(p.as_py() for p in parts)] * len(paths), pa.string())
+    return pc.binary_join_element_wise(*parts, "")
+
+
+def _documents(form: str, paths: pa.Array, lists: pa.Array) -> pa.Array:
+    """The documents of a batch of files, in its order."""
+    paths, offsets, flat = pc.fill_null(paths, ""), lists.offsets.to_numpy(), lists.values
+    kinds, places, names, values, extras = (flat.field(n) for n in ("kind_id", "pos", "name", "value", "is_extra"))
+    if flat.null_count or any(c.null_count for c in (kinds, places, names, values, extras)) or any(pc.any(pc.match_substring(c, x)).as_py() for c in (paths, names, values) for x in (_OPEN, _CLOSE)):
+        return pa.array([FORMS[form](Media(p, rows)) for p, rows in zip(paths.to_pylist(), lists.to_pylist())], pa.string())
+    coded = names.dictionary_encode()
+    empty = pc.equal(values, "")
+    marks = np.stack([kinds.to_numpy(), places.to_numpy(), coded.indices.to_numpy(), extras.to_numpy(zero_copy_only=False), empty.to_numpy(zero_copy_only=False)], axis=1).astype(np.int32)
+    no_path = pc.equal(paths, "").to_pylist()
+    alike: dict[tuple[bytes, bool], list[int]] = {}
+    for k, (a, b) in enumerate(itertools.pairwise(offsets.tolist())):
+        alike.setdefault((marks[a:b].tobytes(), no_path[k]), []).append(k)
+    made, order, texts = [], [], coded.dictionary.to_pylist()
+    for (_, bare), found in alike.items():
+        at = np.array(found)
+        start, end = offsets[at[0]], offsets[at[0] + 1]
+        shape = [(int(k), int(p), texts[n], bool(e), bool(x)) for k, p, n, e, x in marks[start:end]]
+        made.append(_like(form, paths.take(pa.array(at)), shape, lambda i, at=at: values.take(pa.array(offsets[at] + i)), not bare))
+        order.append(at)
+    if not made:
+        return pa.array([], pa.string())
+    return pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate(order), kind="stable")))
+
+
 def _rendered(form: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [FORMS[form](Media(p or "", rows)) for p, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["path", "document"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _documents(form, batch.column(0), batch.column(1))], ["path", "document"])
 
     return run
 
@@ -300,8 +407,10 @@ def export(fields: DataFrame, form: str) -> DataFrame:
     by path; or what ``parsed`` makes, a row a file with its fields in it, which needs no shuffle."""
     if form not in FORMS:
         raise ValueError(f"unknown form {form}")
+    # Python gets a file's fields in the order of writing.
     if "fields" in fields.columns:
-        rows = fields.select("path", F.transform("fields", lambda r, k: F.struct(r["kind_id"], r["pos"], r["name"], r["value"], r["is_extra"], k.alias("ord"))).alias("rows")).where("rows is not null")
+        rows = fields.select("path", F.col("fields").alias("rows")).where("rows is not null")
     else:
-        rows = fields.groupBy("path").agg(F.collect_list(F.struct("kind_id", "pos", "name", "value", "is_extra", "ord")).alias("rows"))
+        own = F.struct("kind_id", "pos", "ord", "name", "value", "is_extra")
+        rows = fields.groupBy("path").agg(F.array_sort(F.collect_list(own)).alias("rows"))
     return rows.mapInArrow(_rendered(form), "path string, document string")

@@ -1,11 +1,76 @@
 """What only shows on larger tables or other batches than those of the driver's small ones."""
 
+import struct
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framelake.functions import display as D
+from framelake.operators import parsing
+from framelake.operators.registry import run_kernel
+from framelake.plans import blobs
+from framelake.sinks import exporters
+from tests.test_kernels import SAMPLES
 
 
 def test_years_of_more_than_four_digits(spark):
     rows = spark.createDataFrame([(2082844801,), (2082844800 + 253402300800,), (2082844800 + 777600000000,), (0,)], "s long")
     assert [r[0] for r in rows.select(D.mp4_date(F.col("s"))).collect()] == ["1970-01-01 00:00:01 UTC", "10000-01-01 00:00:00 UTC", "26611-03-02 00:00:00 UTC", None]
     assert rows.select(D.local_text(F.lit(253402300800), -1)).first()[0] == "9999-12-31 23:59:59"
+
+
+def wav(tag=1, channels=2, rate=44100, bits=16, samples=1000, align=None):
+    align = channels * bits // 8 if align is None else align
+    data = bytes(samples * max(align, 1))
+    return b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, tag, channels, rate, rate * align, align, bits) + b"data" + struct.pack("<I", len(data)) + data
+
+
+def surely(*found):
+    """Results for blobs, as the query's step hands them over: of WAV files the first 44 bytes."""
+    heads = [b[:44] if b is not None and b[:4] == b"RIFF" else b for b in found]
+    return parsing._surely(pa.array(heads, pa.binary()), pa.array([len(b) if b is not None else None for b in found], pa.int32())).to_pylist()
+
+
+def test_plain_wav_files_are_read_from_their_heads():
+    whole = [wav(), wav(), wav(3, bits=32), wav(6, 1, 8000, 8), wav(1, 1, 8000, 8), wav(0xFFFE), wav(99), wav(rate=0), wav(align=0), wav(samples=0)]
+    for blob, made in zip(whole, surely(*whole), strict=True):
+        fields, cut = run_kernel("wav", blob)
+        assert made["parser"] == "wav" and not cut and {tuple(f.values()) for f in made["fields"]} == set(fields)
+    assert [x["parser"] for x in surely(wav()[:-1], wav() + b"x", None, wav())] == [None, None, None, "wav"]
+
+
+def test_sure_fronts_are_read_as_by_their_kernels():
+    png, flac = SAMPLES["png"][0], SAMPLES["flac"][0]
+    for name, blob in (("png", png), ("flac", flac)):
+        made = surely(blob, None, blob)
+        assert [m["parser"] for m in made] == [name, None, name]
+        assert [tuple(f.values()) for f in made[2]["fields"]] == run_kernel(name, blob)[0]
+    # The gate of MXF stands before that of PNG, so such a blob has to pass all gates.
+    assert surely(png + b"\x06\x0e\x2b\x34")[0]["parser"] is None
+
+
+def test_documents_by_shape_equal_those_made_one_by_one():
+    field = lambda kind, pos, name, value, extra=False: {"kind_id": kind, "pos": pos, "name": name, "value": value, "is_extra": extra}
+    odd = ['a"b', "x,y", "l\nm", "<&>'", "\b\f\t", "", "é", "1500", "-20", "1.778", "en", "1"]
+    files = [[field(0, 0, "Format", v), field(0, 0, "Format", "again"), field(0, 0, "FileSize", "4000"), field(2, 1, "StreamSize", str(k * 100)), field(2, 0, "Duration", v), field(2, 0, "Language", v), field(1, 0, "FrameRate", v), field(1, 0, "Width", "640"), field(1, 0, "Height", str(k)), field(5, 0, "Width", str(k)), field(5, 0, "Height", v), field(2, 0, "MD5_Unencoded", v), field(7, 0, "Make", v, True)] for k, v in enumerate(odd)]
+    files += [[field(2, 0, "StreamSize", str(k)), field(0, 0, "CompleteName", "c"), field(2, 0, "SamplingRate", "44100"), field(2, 0, "DisplayAspectRatio", "1.778")] for k in range(20)] + [[]]
+    paths = [p for p in (*odd, *map(str, range(20)), None)]
+    for files_, paths_ in ((files, paths), ([f for f, v in zip(files, [*odd, *[""] * 21]) if "" not in v], [p for p in paths if not p or "" not in p])):
+        rows = pa.array(files_, pa.list_(parsing._FIELD))
+        for form, make in exporters.FORMS.items():
+            alone = [make(exporters.Media(p or "", f)) for p, f in zip(paths_, files_, strict=True)]
+            assert exporters._documents(form, pa.array(paths_, pa.string()), rows).to_pylist() == alone, form
+            assert exporters._documents(form, pa.array(paths_, pa.string())[3:], rows[3:]).to_pylist() == alone[3:], form
+
+
+def test_a_shape_is_rendered_once(monkeypatch):
+    made = []
+    monkeypatch.setitem(exporters.FORMS, "json", lambda m: made.append(m) or exporters.to_json(m))
+    rows = pa.array([[{"kind_id": 0, "pos": 0, "name": "Format", "value": str(k), "is_extra": False}] for k in range(500)], pa.list_(parsing._FIELD))
+    assert len(set(exporters._documents("json", pa.array(map(str, range(500))), rows).to_pylist())) == 500
+    assert len(made) == 1
+
+
+def test_planted_blobs_are_dealt_out(spark):
+    part = spark.range(100).coalesce(1).select(F.col("id").alias("p_partkey"))
+    assert blobs.planted_blobs(part, ["00", "01"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
