@@ -55,7 +55,7 @@ def elf_blobs(supplier: DataFrame) -> DataFrame:
     bits, end = F.col("s_suppkey") % 2 + 1, F.floor(F.col("s_suppkey") / 2) % 2 + 1
     kind = F.col("s_suppkey") % 4 + 1
     content = F.concat(_bytes(b"\x7fELF"), to_be(bits, 1), to_be(end, 1), _bytes(b"\x01"), _bytes(bytes(9)), F.when(end == 1, to_le(kind, 2)).otherwise(to_be(kind, 2)), _bytes(bytes(4)))
-    return supplier.select(F.concat(F.lit("elf/"), "s_suppkey").alias("path"), content.alias("content"))
+    return spread(supplier).select(F.concat(F.lit("elf/"), "s_suppkey").alias("path"), content.alias("content"))
 
 
 def text_blobs(documents: DataFrame, pages: DataFrame, conversations: DataFrame) -> DataFrame:
@@ -136,3 +136,9 @@ def jpeg_blobs(part: DataFrame) -> DataFrame:
     frame = F.concat(_bytes(b"\x08"), to_be(F.col("p_partkey") % 1000 + 16, 2), to_be(F.col("p_size") + 16, 2), _bytes(b"\x03\x01\x22\0\x02\x11\1\x03\x11\1"))
     content = F.concat(_bytes(b"\xff\xd8"), segment(b"\xe1", exif), segment(b"\xc0", frame), _bytes(b"\xff\xda\0\x02data"))
     return spread(part).select(F.concat(F.lit("jpeg/"), "p_partkey").alias("path"), content.alias("content"))
+
+
+def planted_blobs(part: DataFrame, heads: list[str]) -> DataFrame:
+    """(path, content): for each row one of some blobs, given in hex."""
+    every = F.expr("array(" + ", ".join(f"X'{h}'" for h in heads) + ")")
+    return spread(part).select(F.col("p_partkey").alias("path"), F.element_at(every, (F.col("p_partkey") % len(heads) + 1).cast("int")).alias("content"))

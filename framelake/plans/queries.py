@@ -444,8 +444,7 @@ def _names(k: int) -> str:
 @_query(f"select {_names(1)}[p_partkey % {len(_PLANTED)} + 1] as compat, {_names(2)}[p_partkey % {len(_PLANTED)} + 1] as sane, count(*) as blobs from part group by all")
 def detect_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A planted blob of every format, by both policies."""
-    heads = F.expr("array(" + ", ".join(f"X'{row[0]}'" for _, row in _PLANTED) + ")")
-    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.element_at(heads, (F.col("p_partkey") % len(_PLANTED) + 1).cast("int")).alias("content"))
+    files = blobs.planted_blobs(_table(spark, sf_dir, "part"), [row[0] for _, row in _PLANTED])
     both = detected(files).select("path", F.col("parser").alias("compat")).join(detected(files, "sane").select("path", F.col("parser").alias("sane")), "path")
     return both.groupBy("compat", "sane").agg(F.count("*").alias("blobs"))
 
@@ -453,8 +452,7 @@ def detect_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"select {_names(1)}[p_partkey % {len(_PLANTED)} + 1] as parser, count(*) as files, count(*) as with_fields, 0::bigint as errors from part where {_names(1)}[p_partkey % {len(_PLANTED)} + 1] is not null group by all")
 def parse_all_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every format gives fields, Format among them."""
-    heads = F.expr("array(" + ", ".join(f"X'{row[0]}'" for _, row in _PLANTED) + ")")
-    files = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.element_at(heads, (F.col("p_partkey") % len(_PLANTED) + 1).cast("int")).alias("content"))
+    files = blobs.planted_blobs(_table(spark, sf_dir, "part"), [row[0] for _, row in _PLANTED])
     told = F.exists("fields", lambda r: r["name"] == "Format")
     return parsed(files).groupBy("parser").agg(F.count("*").alias("files"), F.count_if(told).alias("with_fields"), F.count_if(F.col("error").isNotNull()).alias("errors"))
 
