@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Callable
 
@@ -242,6 +243,47 @@ def plain_wav_fields(head: bytes, length: int) -> list[tuple[int, int, str, str,
     return [(k, 0, n, str(v), False) for k, n, v in rows if v is not None]
 
 
+def plain_pcm(content: Column) -> Column:
+    """The numbers, still big-endian, of what may be a WAV file of integer samples that is nothing but its usual 44 bytes and the
+    samples that these announce; null for other blobs."""
+    front = (at(content, 0, 4) == F.lit(b"RIFF")) & (at(content, 8, 14) == F.lit(b"WAVEfmt \x10\0\0\0\1\0")) & (at(content, 36, 4) == F.lit(b"data"))
+    number = lambda offset, size: F.conv(F.hex(at(content, offset, size)), 16, 10).cast("long")
+    told = F.struct(number(4, 4).alias("riff"), number(22, 6).alias("sound"), number(32, 4).alias("sample"), number(40, 4).alias("size"))
+    return F.when(front & (F.octet_length(content) >= 44), told)
+
+
+def turned_pcm(told: Column) -> Column:
+    """The numbers of ``plain_pcm`` one by one."""
+
+    def number(value: Column, *shifts: int) -> Column:
+        bytes_ = [F.shiftleft(F.shiftright(value, s).bitwiseAND(F.lit(255).cast("long")), 8 * k) for k, s in enumerate(shifts)]
+        return functools.reduce(lambda x, y: x.bitwiseOR(y), bytes_)
+
+    riff, sound, sample, size = (told[n] for n in ("riff", "sound", "sample", "size"))
+    found = (("riff", number(riff, 24, 16, 8, 0)), ("channels", number(sound, 40, 32)), ("rate", number(sound, 24, 16, 8, 0)), ("align", number(sample, 24, 16)), ("bits", number(sample, 8, 0)), ("size", number(size, 24, 16, 8, 0)))
+    return F.when(told.isNotNull(), F.struct(*[v.alias(n) for n, v in found]))
+
+
+def settled_pcm(told: Column, length: Column) -> Column:
+    """The numbers of ``turned_pcm``, if they fit to the blob's length and none but the size is zero; else null. Blobs of more than
+    255 channels or bits a sample are left to others, so that the product with the rate can't overflow."""
+    fits = (told["riff"] + 8 == length) & (told["size"] + 44 == length) & (told["rate"] > 0) & (told["align"] > 0)
+    return F.when(fits & told["channels"].between(1, 255) & told["bits"].between(1, 255), told)
+
+
+def pcm_fields(told: Column) -> Column:
+    """The fields of ``plain_wav_fields``, from the numbers of ``settled_pcm``."""
+    channels, rate, bits, size = (told[n] for n in ("channels", "rate", "bits", "size"))
+    samples = F.call_function("div", size, told["align"])
+    sign = F.when(bits <= 8, "Unsigned").otherwise("Signed")
+    rows = (
+        (_G, "Format", "Wave"), (_G, "InternetMediaType", "audio/wav"), (_G, "Format_Settings", "PcmWaveformat"), (_A, "Format", WAV_CODECS[1]), (_A, "Format_Settings_Endianness", "Little"),
+        (_A, "Format_Settings_Sign", sign), (_A, "CodecID", "1"), (_A, "BitRate_Mode", "CBR"), (_A, "BitRate", rate * channels * bits), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", bits),
+        (_A, "StreamSize", size), (_A, "SamplingCount", samples), (_A, "Duration", duration_ms(samples, rate)), (_G, "AudioCount", "1"),
+    )
+    return F.array(*[_field(*r) for r in rows])
+
+
 _WAV_HEAD = struct.Struct("<4xI8xIHHI4xHH4xI")
 
 

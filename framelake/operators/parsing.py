@@ -15,7 +15,7 @@ from framelake.functions import display as D
 from framelake.model import KERNEL_FIELD, kind_name
 from framelake.operators import derived
 from framelake.operators.detection import with_candidates
-from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, plain_wav_fields
+from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, pcm_fields, plain_pcm, plain_wav_fields, settled_pcm, turned_pcm
 from framelake.operators.registry import IN_LAYOUTS, KERNELS, first_accepting
 
 _FIELD = pa.struct([("kind_id", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("is_extra", pa.bool_())])
@@ -23,6 +23,7 @@ _WALKED = pa.struct([("parser", pa.string()), ("fields", pa.list_(_FIELD)), ("tr
 
 
 _WALKED_SQL = f"struct<parser: string, fields: array<{KERNEL_FIELD}>, truncated: boolean>"
+_PCM_SQL = "struct<riff: bigint, channels: bigint, rate: bigint, align: bigint, bits: bigint, size: bigint>"
 
 
 def _packed(found: list[tuple[str, list, bool] | None]) -> pa.Array:
@@ -55,6 +56,8 @@ def _sure_kernel(blob: bytes) -> tuple[str, list, bool] | None:
 def _surely(head: pa.Array, length: pa.Array) -> pa.Array:
     """Fields of blobs whose front settles what they are, null for all others: of plain WAV files, of which the first 44 bytes
     come here, and of PNG and FLAC files that their kernels accept. Equal heads are read once a batch."""
+    if head.null_count == len(head):
+        return pa.nulls(len(head), _WALKED)
     wav = pc.equal(pc.binary_slice(head, 0, 4), pa.scalar(b"RIFF", head.type))
     places: dict[tuple | int | None, int] = {}
     at, found = [], []
@@ -109,12 +112,17 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     known = parser is None or parser in KERNELS or parser in LAYOUTS or parser in NAMES
     rows = files.select("path", "content")
     if parser in (None, "wav", *_SURE.values()):
-        rows = _made_once(rows).withColumn("sure", _sure()(_sure_head(), F.octet_length("content")))
+        rows = _made_once(rows)
+        rows = _made_once(rows.select("path", "content", plain_pcm(F.col("content")).alias("pcm")))
+        rows = _made_once(rows.select("path", "content", turned_pcm(F.col("pcm")).alias("pcm")))
+        pcm = settled_pcm(F.col("pcm"), F.octet_length("content"))
+        rows = _made_once(rows.select("path", "content", (pcm if parser in (None, "wav") else F.when(F.lit(False), pcm)).alias("pcm")))
+        rows = rows.withColumn("sure", _sure()(F.when(F.col("pcm").isNull(), _sure_head()), F.octet_length("content")))
         if parser is not None:
             rows = rows.withColumn("sure", F.when(F.col("sure.parser") == parser, F.col("sure")))
     else:
-        rows = rows.withColumn("sure", F.lit(None).cast(_WALKED_SQL))
-    rows = _made_once(rows.select("path", "content", "sure", F.col("sure.parser").isNotNull().alias("plain")))
+        rows = rows.withColumns({"pcm": F.lit(None).cast(_PCM_SQL), "sure": F.lit(None).cast(_WALKED_SQL)})
+    rows = _made_once(rows.select("path", "content", "pcm", "sure", (F.col("pcm").isNotNull() | F.col("sure.parser").isNotNull()).alias("plain")))
     if parser is None:
         rows = with_candidates(rows, policy)
     else:
@@ -125,11 +133,12 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     rows = rows.withColumn("settled", F.when(~F.col("plain") & ~last.isin(*walked), last))
     walk = ~F.col("plain") & F.get("tried", 0).isin(*walked) & (F.size("tried") > 0)
     # One struct made once for all its uses; only rows to be walked have content in it.
-    rows = rows.select("path", "plain", "sure", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
+    rows = rows.select("path", "plain", "pcm", "sure", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
     rows = rows.withColumn("walked", _walker()(F.coalesce("tried", F.array().cast("array<string>")), "body")) if parser is None or parser in walked else rows.withColumn("walked", F.lit(None).cast(_WALKED_SQL))
     mine = F.col("walked.parser").isNotNull()
-    fields = F.when(F.col("plain"), F.col("sure.fields")).when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
-    name = F.when(F.col("plain"), F.col("sure.parser")).when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
+    pcm = F.col("pcm").isNotNull()
+    fields = F.when(pcm, pcm_fields(F.col("pcm"))).when(F.col("plain"), F.col("sure.fields")).when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
+    name = F.when(pcm, "wav").when(F.col("plain"), F.col("sure.parser")).when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
     error = F.when(F.col("content").isNull(), "no content").when(name.isNull(), "no parser accepts the blob")
     length = [F.octet_length("content").cast("long").alias("length")] if keep_length else []
     return _made_once(rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("sure.truncated", "walked.truncated", F.lit(False)).alias("truncated"), error.alias("error")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,25 +12,38 @@ from framelake.functions.binary import to_be, to_le
 RATES = (8000, 44100, 48000)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Narrow rows dealt out over all cores before they grow into blobs, as a small table is often one row group."""
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows dealt out over all cores before they grow into blobs, as a small table is often one row group; by the hash of
+    ``keys`` where they are told, which needs no sort."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def _bytes(raw: bytes) -> Column:
     return F.lit(bytes(raw))
 
 
+def _le_hex(value: Column, size: int) -> Column:
+    """The hex digits of a little-endian integer that fits into ``size`` bytes."""
+    byte = lambda k: F.shiftright(value, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+    turned = functools.reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(byte(k), 8 * (size - 1 - k)) for k in range(size)])
+    return F.lpad(F.hex(turned), 2 * size, "0")
+
+
 def wav_blobs(lineitem: DataFrame) -> DataFrame:
     """(path, content): a 16-bit PCM file for each row, with l_quantity samples."""
     channels = (F.col("l_linenumber") % 2 + 1).cast("long")
-    rate = F.element_at(F.array(*[F.lit(r) for r in RATES]), (F.col("l_orderkey") % 3 + 1).cast("int")).cast("long")
-    size = F.col("l_quantity").cast("long") * channels * 2
-    fmt = F.concat(to_le(F.lit(1), 2), to_le(channels, 2), to_le(rate, 4), to_le(rate * channels * 2, 4), to_le(channels * 2, 2), to_le(F.lit(16), 2))
-    data = F.unhex(F.repeat(F.lit("00"), size.cast("int")))
-    content = F.concat(_bytes(b"RIFF"), to_le(size + 36, 4), _bytes(b"WAVEfmt "), to_le(F.lit(16), 4), fmt, _bytes(b"data"), to_le(size, 4), data)
+    rate = F.element_at(F.array(*[F.lit(r).cast("long") for r in RATES]), (F.col("l_orderkey") % 3 + 1).cast("int"))
     path = F.concat_ws("/", F.lit("wav"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"))
-    return spread(lineitem).select(path.alias("path"), content.alias("content"))
+    # The numbers are columns of their own, as the header needs each several times.
+    told = F.struct(path.alias("path"), channels.alias("channels"), rate.alias("rate"), (F.col("l_quantity").cast("long") * channels * 2).alias("size"))
+    rows = spread(lineitem, "l_orderkey", "l_linenumber").select(F.explode(F.array(told)).alias("w")).select("w.*")
+    channels, rate, size = F.col("channels"), F.col("rate"), F.col("size")
+    digits = lambda raw: F.lit(raw.hex())
+    # Neighbours go together as one number: channels and rate, bytes a second and a frame.
+    sound, speed = channels.bitwiseOR(F.shiftleft(rate, 16)), (rate * channels * 2).bitwiseOR(F.shiftleft(channels * 2, 32))
+    fmt = F.concat(digits(b"WAVEfmt \x10\0\0\0\1\0"), _le_hex(sound, 6), _le_hex(speed, 6), digits(b"\x10\0"))
+    head = F.unhex(F.concat(digits(b"RIFF"), _le_hex(size + 36, 4), fmt, digits(b"data"), _le_hex(size, 4)))
+    return rows.select("path", F.rpad(head, (size + 44).cast("int"), _bytes(b"\0")).alias("content"))
 
 
 def bmp_blobs(part: DataFrame) -> DataFrame:
@@ -48,7 +63,7 @@ def png_blobs(orders: DataFrame) -> DataFrame:
     width, height = F.col("o_orderkey") % 4000 + 1, F.col("o_custkey") % 3000 + 1
     colour = F.element_at(F.array(*[F.lit(x) for x in (0, 2, 3, 4, 6)]), (F.col("o_orderkey") % 5 + 1).cast("int"))
     content = F.concat(_bytes(b"\x89PNG\r\n\x1a\n"), to_be(F.lit(13), 4), _bytes(b"IHDR"), to_be(width, 4), to_be(height, 4), to_be(F.lit(8), 1), to_be(colour, 1), _bytes(bytes(7)), _bytes(bytes(4)), _bytes(b"IEND"), _bytes(bytes(4)))
-    return spread(orders).select(F.concat(F.lit("png/"), "o_orderkey").alias("path"), content.alias("content"))
+    return spread(orders, "o_orderkey").select(F.concat(F.lit("png/"), "o_orderkey").alias("path"), content.alias("content"))
 
 
 def elf_blobs(supplier: DataFrame) -> DataFrame:
@@ -115,7 +130,7 @@ def flac_blobs(orders: DataFrame) -> DataFrame:
     samples = F.col("o_custkey") * 1000 + 1000
     packed = F.shiftleft(rate, 44) + F.shiftleft(F.col("o_orderkey") % 8, 41) + F.shiftleft(F.lit(23).cast("long"), 36) + samples
     content = F.concat(_bytes(b"fLaC\x80\0\0\x22" + bytes(10)), to_be(packed, 8), _bytes(bytes(16)))
-    return spread(orders).select(F.concat(F.lit("flac/"), "o_orderkey").alias("path"), content.alias("content"))
+    return spread(orders, "o_orderkey").select(F.concat(F.lit("flac/"), "o_orderkey").alias("path"), content.alias("content"))
 
 
 def mp3_blobs(part: DataFrame) -> DataFrame:

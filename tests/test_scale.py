@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framelake.functions import display as D
-from framelake.operators import parsing
+from framelake.operators import layouts, parsing
 from framelake.operators.registry import run_kernel
 from framelake.plans import blobs
 from framelake.sinks import exporters
@@ -74,3 +74,22 @@ def test_a_shape_is_rendered_once(monkeypatch):
 def test_planted_blobs_are_dealt_out(spark):
     part = spark.range(100).coalesce(1).select(F.col("id").alias("p_partkey"))
     assert blobs.planted_blobs(part, ["00", "01"]).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_plain_pcm_is_read_without_python(spark):
+    odd = [wav(), wav(channels=1, rate=8000, bits=8), wav(samples=0), wav(bits=24), wav(rate=0xFFFFFFFF, align=1), wav(channels=255, bits=255, rate=1, samples=3), wav(align=1, samples=45)]
+    others = [wav(3, bits=32), wav(rate=0), wav(align=0), wav(channels=0), wav(bits=0), wav(channels=256, bits=256, rate=0xFFFFFFFF, samples=0, align=1), wav()[:-1], wav() + b"x", wav()[:44], wav()[:43], b"RIFF", b"", None]
+    rows = spark.createDataFrame([(k, bytearray(b) if b is not None else None) for k, b in enumerate([*odd, *others])], "path int, content binary")
+    told = rows.select("path", "content", layouts.turned_pcm(layouts.plain_pcm(F.col("content"))).alias("told")).select("path", layouts.settled_pcm(F.col("told"), F.octet_length("content")).alias("told"))
+    found = {r["path"]: r["fields"] for r in told.select("path", F.when(F.col("told").isNotNull(), layouts.pcm_fields(F.col("told"))).alias("fields")).collect()}
+    for k, blob in enumerate(odd):
+        assert [tuple(f) for f in found[k]] == layouts.plain_wav_fields(blob[:44], len(blob)), k
+    assert [found[k] for k in range(len(odd), len(odd) + len(others))] == [None] * len(others)
+    assert parsing._surely(pa.nulls(3, pa.binary()), pa.array([1, 2, 3], pa.int32())).null_count == 3
+
+
+def test_wav_blobs_are_whole(spark):
+    rows = [(k, k % 4, k + 7, 3, float(k % 51)) for k in range(200)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
+    made = {r["path"]: bytes(r["content"]) for r in blobs.wav_blobs(lines).collect()}
+    assert made == {f"wav/{o}/{n}/{p}/{s}/{int(q)}": wav(channels=n % 2 + 1, rate=blobs.RATES[o % 3], samples=int(q)) for o, n, p, s, q in rows}
