@@ -190,9 +190,9 @@ def with_file_level(rows: DataFrame) -> DataFrame:
     OverallBitRate and its mode, FrameRate, FrameCount and StreamSize of General, where the parser told none. The rules are
     those of ``derived.file_level``; nothing is shuffled, and a file's fields are gone through once."""
     own = rows.columns
-    keys = F.transform("fields", lambda r: F.when((r["pos"] == 0) & ~r["is_extra"], F.concat_ws("/", r["kind_id"], r["name"])))
-    rows = _made_once(rows.select(*own, F.transform(keys, lambda k: F.coalesce(k, F.lit(""))).alias("_keys")))
-    at = lambda kind, name: F.get(F.col("fields.value"), (F.array_position("_keys", F.lit(f"{kind}/{name}")) - 1).cast("int"))
+    first = lambda kind: F.filter("fields", lambda r: (r["kind_id"] == kind) & (r["pos"] == 0) & ~r["is_extra"])
+    rows = _made_once(rows.select(*own, *[first(k).alias(f"_{k}") for k in range(3)]))
+    at = lambda kind, name: F.get(F.col(f"_{kind}.value"), (F.array_position(f"_{kind}.name", F.lit(name)) - 1).cast("int"))
     needed = [(0, n) for n in ("FileSize", "Duration", "OverallBitRate", "OverallBitRate_Mode", "FrameRate", "FrameCount", "StreamSize")]
     needed += [(2, "Duration"), (2, "BitRate_Mode"), (2, "StreamSize"), (1, "FrameRate_Mode"), (1, "StreamSize"), (1, "FrameRate"), (1, "FrameCount")]
     video = F.exists("fields", lambda r: r["kind_id"] == 1)
