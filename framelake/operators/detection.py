@@ -327,9 +327,9 @@ def with_candidates(rows: DataFrame, policy: str = "compat") -> DataFrame:
     """``rows`` (content, plain, ...) with tried: the names of the gates that accept the blob, in their order, up to the first whose
     parser needs no walk; empty for an empty blob, null for a null one.
 
-    What gates find is generated as columns of their own first, in compiled code that shares the bytes that several look
-    at; gates of fixed bytes at the front, most of them, are found in a map by four bytes. The few that met are sorted out
-    after that. Where ``plain`` holds, the blob is settled and no gate is asked."""
+    What gates find is a column of its own first, in compiled code; gates of fixed bytes at the front, most of them, are found
+    in a map by four bytes. The few that met are sorted out after that. Where ``plain`` holds, the blob is settled and no gate
+    is asked."""
     from framelake.operators.registry import IN_LAYOUTS, KERNELS
 
     gates, content = _gates(policy), F.col("content")
@@ -347,12 +347,15 @@ def with_candidates(rows: DataFrame, policy: str = "compat") -> DataFrame:
     texts = F.when(be(content, 0, 1).isin(*TEXT_STARTS), F.array(*[met(g.gate(content, text), i) for i, _, g in gates if isinstance(g, Text)]))
     computed = F.array(*others, *[met(g(content, text), i) for i, _, g in gates if not isinstance(g, (Marks, Text))])
     own = [F.col(f"`{c}`") for c in rows.columns]
-    found = rows.select(*own, F.explode(F.array(F.struct(*[F.when(~F.col("plain"), c).alias(n) for n, c in (("starts", F.try_element_at(starts, F.substring(content, 1, 4))), ("computed", computed), ("texts", texts))]))).alias("_gates"))
+    # A function with a lambda keeps Spark from fusing this step with others to one method, of some 63 KB of bytecode, which the JVM
+    # would interpret for every row, plain ones included, as it compiles none of more than 8 KB.
+    plain = F.exists(F.array("plain"), lambda x: x)
+    found = rows.select(*own, F.struct(plain.alias("plain"), *[F.when(~F.col("plain"), c).alias(n) for n, c in (("starts", F.try_element_at(starts, F.substring(content, 1, 4))), ("computed", computed), ("texts", texts))]).alias("_gates"))
     none = F.array().cast("array<int>")
     fits = lambda r: (F.octet_length(content) >= r["least"]) & F.forall(r["marks"], lambda m: F.substring(content, m["at"] + 1, m["size"]) == m["bytes"])
     front = F.when(F.col("_gates.starts").isNotNull(), F.transform(F.filter("_gates.starts", fits), lambda r: r["idx"])).otherwise(none)
     every = F.array_sort(F.array_distinct(F.array_compact(F.concat(front, F.coalesce("_gates.computed", none), F.coalesce("_gates.texts", none)))))
-    found = found.select(*own, F.explode(F.array(F.when(F.col("plain"), none).when(F.octet_length(content) > 0, every).when(content.isNotNull(), none))).alias("_every"))
+    found = found.select(*own, F.explode(F.array(F.when(F.col("_gates.plain"), none).when(F.octet_length(content) > 0, every).when(content.isNotNull(), none))).alias("_every"))
     walked = [i for i, n, _ in gates if n in KERNELS and n not in IN_LAYOUTS]
     settled = F.array_min(F.filter("_every", lambda i: ~i.isin(*walked)))
     return found.select(*own, names(F.filter("_every", lambda i: i <= F.coalesce(settled, i))).alias("tried"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from framelake.functions.binary import at, be, latin1, le, magic, signed
 from framelake.functions.display import duration_ms, fixed, lookup
 from framelake.model import KINDS
+from framelake.operators.kernels import LAYOUTS as FLAC_CHANNELS
 
 _G, _V, _A, _T, _I = (KINDS.index(k) for k in ("General", "Video", "Audio", "Text", "Image"))
 
@@ -271,17 +272,71 @@ def settled_pcm(told: Column, length: Column) -> Column:
     return F.when(fits & told["channels"].between(1, 255) & told["bits"].between(1, 255), told)
 
 
-def pcm_fields(told: Column) -> Column:
-    """The fields of ``plain_wav_fields``, from the numbers of ``settled_pcm``."""
+def pcm_rows(told: Column) -> tuple[tuple[int, str, Column | str], ...]:
+    """Kind, name and value of each field of ``plain_wav_fields``, from the numbers of ``settled_pcm``; none is null."""
     channels, rate, bits, size = (told[n] for n in ("channels", "rate", "bits", "size"))
     samples = F.call_function("div", size, told["align"])
     sign = F.when(bits <= 8, "Unsigned").otherwise("Signed")
-    rows = (
+    return (
         (_G, "Format", "Wave"), (_G, "InternetMediaType", "audio/wav"), (_G, "Format_Settings", "PcmWaveformat"), (_A, "Format", WAV_CODECS[1]), (_A, "Format_Settings_Endianness", "Little"),
         (_A, "Format_Settings_Sign", sign), (_A, "CodecID", "1"), (_A, "BitRate_Mode", "CBR"), (_A, "BitRate", rate * channels * bits), (_A, "Channels", channels), (_A, "SamplingRate", rate), (_A, "BitDepth", bits),
         (_A, "StreamSize", size), (_A, "SamplingCount", samples), (_A, "Duration", duration_ms(samples, rate)), (_G, "AudioCount", "1"),
     )
-    return F.array(*[_field(*r) for r in rows])
+
+
+def pcm_fields(told: Column) -> Column:
+    """The fields of ``plain_wav_fields``, from the numbers of ``settled_pcm``."""
+    return F.array(*[_field(*r) for r in pcm_rows(told)])
+
+
+def _lacks(content: Column, *marks: bytes) -> Column:
+    return functools.reduce(lambda a, b: a & b, [~F.contains(content, F.lit(bytes(m))) for m in marks])
+
+
+def plain_png(content: Column) -> Column:
+    """The numbers of a PNG file of a header, one chunk of data at most and the end, in whose first MiB nothing may begin a tag
+    and which no gate before that of PNG accepts; null for other blobs."""
+    number = lambda offset: F.conv(F.hex(at(content, offset, 4)), 16, 10).cast("long")
+    front = (at(content, 0, 16) == F.lit(b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR")) & (F.octet_length(content) >= 41)
+    data = number(33)
+    end = F.substring(content, (data + 50).cast("int"), F.lit(4)) == F.lit(b"IEND")
+    whole = (at(content, 37, 4) == F.lit(b"IEND")) | ((at(content, 37, 4) == F.lit(b"IDAT")) & (data < 0x7FFFFF00) & end)
+    told = F.struct(number(16).alias("width"), number(20).alias("height"), be(content, 24, 1).alias("depth"), be(content, 25, 1).alias("colour"), F.octet_length(content).alias("size"))
+    return F.when(front & whole & _lacks(F.substring(content, 1, 1 << 20), b"\x06\x0e\x2b\x34", b"<x:xmpmeta", b"8BIM", b"acsp", b"jumb"), told)
+
+
+def png_fields(told: Column) -> Column:
+    """The fields of a PNG file without tags, from the numbers of ``plain_png``."""
+    width, height, colour = told["width"], told["height"], told["colour"]
+    space = F.when(colour == 0, "Y").when(colour.isin(2, 3), "RGB").when(colour == 4, "YA").when(colour == 6, "RGBA")
+    return _fields(
+        (_G, "Format", "PNG"), (_G, "ImageCount", "1"), (_G, "StreamSize", "0"), (_I, "Format", "PNG"), (_I, "Format_Compression", "Deflate"), (_I, "Format_Settings_Packing", "Linear"), (_I, "Width", width), (_I, "Height", height),
+        (_I, "PixelAspectRatio", "1.000"), (_I, "DisplayAspectRatio", F.when(height > 0, fixed(width / height.cast("double"), 3))), (_I, "ColorSpace", space), (_I, "BitDepth", told["depth"]),
+        (_I, "Compression_Mode", "Lossless"), (_I, "StreamSize", told["size"]),
+    )
+
+
+def plain_flac(content: Column) -> Column:
+    """The numbers of a FLAC file whose only block of metadata is STREAMINFO of the usual size and at whose end no tag stands;
+    null for other blobs."""
+    number = lambda offset, size: F.conv(F.hex(at(content, offset, size)), 16, 10).cast("long")
+    front = (at(content, 0, 8) == F.lit(b"fLaC\x80\0\0\x22")) & (F.octet_length(content) >= 42)
+    told = F.struct((at(content, 12, 3) == at(content, 15, 3)).alias("even"), number(15, 3).alias("most"), number(18, 4).alias("form"), number(22, 4).alias("low"), at(content, 26, 16).alias("md5"), F.octet_length(content).alias("size"))
+    return F.when(front & _lacks(F.substring(content, -192, 192), b"TAG", b"LYRICS"), told)
+
+
+def flac_fields(told: Column) -> Column:
+    """The fields of a FLAC file without comments and tags, from the numbers of ``plain_flac``."""
+    form, size = told["form"], (told["size"] - 42).cast("long")
+    rate, channels, bits = F.shiftright(form, 12), F.shiftright(form, 9).bitwiseAND(F.lit(7).cast("long")) + 1, F.shiftright(form, 4).bitwiseAND(F.lit(31).cast("long")) + 1
+    samples = F.shiftleft(form.bitwiseAND(F.lit(15).cast("long")), 32) + told["low"]
+    ms = F.nullif(duration_ms(samples, rate), F.lit(0).cast("long"))
+    place = lambda k: F.element_at(F.array(*[F.lit(FLAC_CHANNELS[n][k]) for n in range(1, 9)]), channels.cast("int"))
+    return _fields(
+        (_G, "Format", "FLAC"), (_G, "StreamSize", "0"), (_A, "Format", "FLAC"), (_A, "BitRate_Mode", F.when(told["even"] & (told["most"] != 0), "CBR").otherwise("VBR")), (_A, "Duration", ms),
+        (_A, "BitRate", F.call_function("div", size * 8000, ms)), (_A, "Channels", channels), (_A, "ChannelPositions", place(0)), (_A, "ChannelLayout", place(1)), (_A, "SamplingRate", rate), (_A, "SamplingCount", samples),
+        (_A, "BitDepth", bits), (_A, "Compression_Mode", "Lossless"), (_A, "StreamSize", size), (_A, "MD5_Unencoded", F.when(told["md5"] != F.lit(bytes(16)), F.hex(told["md5"]))), (_G, "AudioCount", "1"),
+    )
 
 
 _WAV_HEAD = struct.Struct("<4xI8xIHHI4xHH4xI")

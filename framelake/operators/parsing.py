@@ -15,7 +15,7 @@ from framelake.functions import display as D
 from framelake.model import KERNEL_FIELD, kind_name
 from framelake.operators import derived
 from framelake.operators.detection import with_candidates
-from framelake.operators.layouts import LAYOUTS, NAMES, layout_fields, pcm_fields, plain_pcm, plain_wav_fields, settled_pcm, turned_pcm
+from framelake.operators.layouts import LAYOUTS, NAMES, flac_fields, layout_fields, pcm_fields, plain_flac, plain_pcm, plain_png, plain_wav_fields, png_fields, settled_pcm, turned_pcm
 from framelake.operators.registry import IN_LAYOUTS, KERNELS, first_accepting
 
 _FIELD = pa.struct([("kind_id", pa.int32()), ("pos", pa.int32()), ("name", pa.string()), ("value", pa.string()), ("is_extra", pa.bool_())])
@@ -23,7 +23,13 @@ _WALKED = pa.struct([("parser", pa.string()), ("fields", pa.list_(_FIELD)), ("tr
 
 
 _WALKED_SQL = f"struct<parser: string, fields: array<{KERNEL_FIELD}>, truncated: boolean>"
-_PCM_SQL = "struct<riff: bigint, channels: bigint, rate: bigint, align: bigint, bits: bigint, size: bigint>"
+#: Parsers of which the plainest files are read in the JVM, with the numbers that tell their fields.
+_TOLD = {
+    "wav": "struct<riff: bigint, channels: bigint, rate: bigint, align: bigint, bits: bigint, size: bigint>",
+    "png": "struct<width: bigint, height: bigint, depth: bigint, colour: bigint, size: int>",
+    "flac": "struct<even: boolean, most: bigint, form: bigint, low: bigint, md5: binary, size: int>",
+}
+_TOLD_FIELDS = {"wav": pcm_fields, "png": png_fields, "flac": flac_fields}
 
 
 def _packed(found: list[tuple[str, list, bool] | None]) -> pa.Array:
@@ -102,27 +108,30 @@ def _layouts(name: str, *columns: str) -> Column:
     return _made[key]
 
 
-def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None, keep_length: bool = False) -> DataFrame:
+def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None, keep_length: bool = False, keep_pcm: bool = False) -> DataFrame:
     """(path, [length,] parser, fields, truncated, error): one row for each of ``files`` (path, content), by detection or by one parser
     that is called for all.
 
     ``fields`` is an array in the order of writing; null, with an error, where nothing accepts the blob. ``truncated`` tells
     of walked blobs whether they end before what they announce. Python gets the content only of blobs whose first
-    candidates have to be walked, and the first 44 bytes of a plain WAV file."""
+    candidates have to be walked, and the first 44 bytes of a plain WAV file that isn't integer PCM. With ``keep_pcm``, plain WAV
+    files of integer PCM have the numbers of ``settled_pcm`` in another column, pcm, instead of their fields."""
     known = parser is None or parser in KERNELS or parser in LAYOUTS or parser in NAMES
     rows = files.select("path", "content")
     if parser in (None, "wav", *_SURE.values()):
         rows = _made_once(rows)
-        rows = _made_once(rows.select("path", "content", plain_pcm(F.col("content")).alias("pcm")))
-        rows = _made_once(rows.select("path", "content", turned_pcm(F.col("pcm")).alias("pcm")))
-        pcm = settled_pcm(F.col("pcm"), F.octet_length("content"))
-        rows = _made_once(rows.select("path", "content", (pcm if parser in (None, "wav") else F.when(F.lit(False), pcm)).alias("pcm")))
-        rows = rows.withColumn("sure", _sure()(F.when(F.col("pcm").isNull(), _sure_head()), F.octet_length("content")))
+        asked = lambda name, told: told if parser in (None, name) else F.lit(None).cast(_TOLD[name])
+        content = F.col("content")
+        rows = _made_once(rows.select("path", "content", asked("wav", plain_pcm(content)).alias("wav"), asked("png", plain_png(content)).alias("png"), asked("flac", plain_flac(content)).alias("flac")))
+        rows = _made_once(rows.select("path", "content", asked("wav", turned_pcm(F.col("wav"))).alias("wav"), "png", "flac"))
+        rows = _made_once(rows.select("path", "content", asked("wav", settled_pcm(F.col("wav"), F.octet_length("content"))).alias("wav"), "png", "flac"))
+        rows = rows.withColumn("sure", _sure()(F.when(F.coalesce("wav.size", "png.size", "flac.size").isNull(), _sure_head()), F.octet_length("content")))
         if parser is not None:
             rows = rows.withColumn("sure", F.when(F.col("sure.parser") == parser, F.col("sure")))
     else:
-        rows = rows.withColumns({"pcm": F.lit(None).cast(_PCM_SQL), "sure": F.lit(None).cast(_WALKED_SQL)})
-    rows = _made_once(rows.select("path", "content", "pcm", "sure", (F.col("pcm").isNotNull() | F.col("sure.parser").isNotNull()).alias("plain")))
+        rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in _TOLD.items()} | {"sure": F.lit(None).cast(_WALKED_SQL)})
+    plain = F.coalesce("wav.size", "png.size", "flac.size").isNotNull() | F.col("sure.parser").isNotNull()
+    rows = _made_once(rows.select("path", "content", *_TOLD, "sure", plain.alias("plain")))
     if parser is None:
         rows = with_candidates(rows, policy)
     else:
@@ -133,15 +142,19 @@ def parsed(files: DataFrame, policy: str = "compat", parser: str | None = None,
     rows = rows.withColumn("settled", F.when(~F.col("plain") & ~last.isin(*walked), last))
     walk = ~F.col("plain") & F.get("tried", 0).isin(*walked) & (F.size("tried") > 0)
     # One struct made once for all its uses; only rows to be walked have content in it.
-    rows = rows.select("path", "plain", "pcm", "sure", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
+    rows = rows.select("path", "plain", *_TOLD, "sure", "tried", "settled", "content", F.when(F.coalesce(walk, F.lit(False)), F.col("content")).alias("body"))
     rows = rows.withColumn("walked", _walker()(F.coalesce("tried", F.array().cast("array<string>")), "body")) if parser is None or parser in walked else rows.withColumn("walked", F.lit(None).cast(_WALKED_SQL))
     mine = F.col("walked.parser").isNotNull()
-    pcm = F.col("pcm").isNotNull()
-    fields = F.when(pcm, pcm_fields(F.col("pcm"))).when(F.col("plain"), F.col("sure.fields")).when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
-    name = F.when(pcm, "wav").when(F.col("plain"), F.col("sure.parser")).when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
+    fields, name = F.when(F.lit(False), F.lit(None)), F.when(F.lit(False), F.lit(None))
+    for n, made in _TOLD_FIELDS.items():
+        here = F.col(n).isNotNull()
+        fields, name = fields.when(here, F.lit(None) if keep_pcm and n == "wav" else made(F.col(n))), name.when(here, n)
+    fields = fields.when(F.col("plain"), F.col("sure.fields")).when(mine, F.col("walked.fields")).otherwise(_layouts("blob", "settled", "content"))
+    name = name.when(F.col("plain"), F.col("sure.parser")).when(mine, F.col("walked.parser")).otherwise(F.col("settled"))
     error = F.when(F.col("content").isNull(), "no content").when(name.isNull(), "no parser accepts the blob")
     length = [F.octet_length("content").cast("long").alias("length")] if keep_length else []
-    return _made_once(rows.select("path", *length, name.alias("parser"), fields.alias("fields"), F.coalesce("sure.truncated", "walked.truncated", F.lit(False)).alias("truncated"), error.alias("error")))
+    pcm = [F.col("wav").alias("pcm")] if keep_pcm else []
+    return _made_once(rows.select("path", *pcm, *length, name.alias("parser"), fields.alias("fields"), F.coalesce("sure.truncated", "walked.truncated", F.lit(False)).alias("truncated"), error.alias("error")))
 
 
 def _made_once(rows: DataFrame) -> DataFrame:

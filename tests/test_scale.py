@@ -1,5 +1,6 @@
 """What only shows on larger tables or other batches than those of the driver's small ones."""
 
+import re
 import struct
 
 import pyarrow as pa
@@ -93,3 +94,38 @@ def test_wav_blobs_are_whole(spark):
     lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double")
     made = {r["path"]: bytes(r["content"]) for r in blobs.wav_blobs(lines).collect()}
     assert made == {f"wav/{o}/{n}/{p}/{s}/{int(q)}": wav(channels=n % 2 + 1, rate=blobs.RATES[o % 3], samples=int(q)) for o, n, p, s, q in rows}
+
+
+def test_no_step_of_parsing_is_too_long_to_be_compiled(spark):
+    # HotSpot interprets methods of more than 8000 bytes of bytecode.
+    rows = parsing.parsed(spark.createDataFrame([("a", bytearray(wav()))], "path string, content binary"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", rows._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+
+def test_plain_png_and_flac_files_are_read_without_python(spark):
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + bytes(4)
+    png = lambda *more, w=640, h=480, c=2: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBB3x", w, h, 8, c)) + b"".join(more)
+    end = chunk(b"IEND", b"")
+    flac = lambda more=b"", head=b"\x80\0\0\x22", rate=44100, c=1, n=1000, least=0, most=0, md5=bytes(16): b"fLaC" + head + bytes(4) + least.to_bytes(3, "big") + most.to_bytes(3, "big") + (rate << 44 | c << 41 | 15 << 36 | n).to_bytes(8, "big") + md5 + more
+    plain = {
+        "png": [png(end), png(end, w=0, c=7), png(end, h=0), png(end, w=0xFFFFFFFF, h=3), png(chunk(b"IDAT", b"x" * 99), end), *[png(end, c=c) for c in (0, 3, 4, 6)]],
+        "flac": [flac(), flac(b"audio" * 99), flac(rate=0), flac(n=0), flac(least=5, most=5), flac(most=5), flac(md5=bytes(range(16))), flac(rate=(1 << 20) - 1, c=7, n=(1 << 36) - 1)],
+    }
+    others = {
+        "png": [png(chunk(b"tEXt", b"Title\0a"), end), png(chunk(b"IDAT", b"x"), chunk(b"IDAT", b"y"), end), png(chunk(b"IDAT", b"8BIM\4\4"), end), png(end, w=0x060E2B34), png(), png()[:28], png(struct.pack(">I", 0xFFFFFFF0) + b"IDATabc"), b"", None],
+        "flac": [flac()[:41], flac(head=b"\0\0\0\x22", more=b"\x84\0\0\0"), flac(b"x" * 99 + b"TAG" + bytes(125)), flac(b"x" * 99 + b"APETAGEX" + bytes(24)), b"fLaC", None],
+    }
+    for name, told, fields in (("png", layouts.plain_png, layouts.png_fields), ("flac", layouts.plain_flac, layouts.flac_fields)):
+        rows = spark.createDataFrame([(k, bytearray(b) if b is not None else None) for k, b in enumerate(plain[name] + others[name])], "path int, content binary")
+        seen = rows.select("path", "content", told(F.col("content")).alias("told"))
+        found = [r["fields"] for r in seen.select("path", F.when(F.col("told").isNotNull(), fields(F.col("told"))).alias("fields")).orderBy("path").collect()]
+        assert [[tuple(f) for f in x] for x in found[: len(plain[name])]] == [run_kernel(name, b)[0] for b in plain[name]]
+        assert not any(run_kernel(name, b)[1] for b in plain[name])
+        assert found[len(plain[name]) :] == [None] * len(others[name])
