@@ -529,7 +529,7 @@ def _export(name: str, make: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         from framelake.sinks import exporters
 
-        return exporters.export(parsed(blobs.wav_blobs(_table(spark, sf_dir, "lineitem"))), make)
+        return exporters.export(parsed(blobs.wav_blobs(_table(spark, sf_dir, "lineitem")), keep_pcm=True), make)
 
     f.__name__ = name
     _query(f"select path, {_sql(*_DOCUMENTS[make])} as document from ({_EXPORTED})")(f)

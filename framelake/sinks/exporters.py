@@ -1,7 +1,7 @@
 """Documents of a file's metadata: JSON, XML, CSV, text, a summary and seven XML or graph dialects.
 
-A file's fields are gathered in one row, as they are few, and each document is put together in an Arrow batch; to write
-many files, write the result with any of Spark's sinks.
+A file's fields are gathered in one row, as they are few, and each document is put together in an Arrow batch, those of plain
+WAV files in Catalyst; to write many files, write the result with any of Spark's sinks.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.functions.display import ASPECTS, LANGUAGES
-from framelake.model import KINDS
+from framelake.model import KERNEL_FIELD, KINDS
+from framelake.operators.layouts import pcm_fields, pcm_rows
 from framelake.sinks.orders import CANONICAL, EXTRA, SHOWN
 
 
@@ -402,11 +403,75 @@ def _rendered(form: str) -> Callable:
     return run
 
 
+# ---- plain WAV files of integer PCM: their documents in Catalyst, as they share one shape
+
+
+def _pcm_value(form: str, name: str, value: Column | str) -> Column | str:
+    """A field's value as a form writes it."""
+    if isinstance(value, str):
+        return _WRITTEN[form][1](name, value)
+    if form in ("json", "xml") and name == "Duration":
+        return F.concat(F.call_function("div", value, F.lit(1000)).cast("string"), F.lit("."), F.lpad((value % 1000).cast("string"), 3, "0"))
+    return value.cast("string")
+
+
+def pcm_document(form: str, path: Column, told: Column) -> Column:
+    """The document of a file from the numbers of ``settled_pcm``. Its path is written as it is."""
+    rows = pcm_rows(told)
+    if form == "summary":
+        # Numbers that stand for others: the summary writes these as they are.
+        marks = {"Channels": "700000001", "SamplingRate": "700000002", "BitDepth": "700000003"}
+        shape = [{"kind_id": k, "pos": 0, "ord": i, "name": n, "value": v if isinstance(v, str) else marks.get(n, ""), "is_extra": False} for i, (k, n, v) in enumerate(rows)]
+        columns = {marks[n]: v.cast("string") for _, n, v in rows if n in marks} | {f"{_OPEN}{_CLOSE}": path}
+        parts = [columns.get(x, x) for x in re.split("(" + "|".join(columns) + ")", to_summary(Media(f"{_OPEN}{_CLOSE}", shape)))]
+    else:
+        parts = [x if isinstance(x, str) else path if x[1] < 0 else _pcm_value(form, *rows[x[1]][1:]) for x in _template(form, [(k, 0, n, False, False) for k, n, _ in rows], True)]
+    # Neighbouring texts go together.
+    joined = [[F.lit("".join(found))] if literal else list(found) for literal, found in itertools.groupby(parts, lambda p: isinstance(p, str))]
+    return F.concat(*itertools.chain(*joined))
+
+
+#: What a form may have to escape in a path, and what stands around numbers in templates.
+_UNSAFE = "[\\x00-\\x1f\\x7f\"&',<>\\\\\\ue0f0\\ue0f1]"
+#: The text report's values have forms of their own, which only Python writes.
+_IN_PYTHON = frozenset(("text",))
+
+
+def _asked(form: str, asked: pa.Array, paths: pa.Array, lists: pa.Array) -> pa.Array:
+    """The documents of the files of a batch that are asked for; null for the others."""
+    given = asked.to_numpy(zero_copy_only=False)
+    if not given.any():
+        return pa.nulls(len(asked), pa.string())
+    made = _documents(form, paths.filter(asked), lists.filter(asked))
+    return made.take(pa.array(np.cumsum(given) - 1, pa.int64(), mask=~given))
+
+
+@functools.cache
+def _renderer(form: str) -> Callable:
+    """Made when it is first used, as its type is parsed by a session."""
+
+    def run(asked: pa.Array, paths: pa.Array, lists: pa.Array) -> pa.Array:
+        return _asked(form, asked, paths, lists)
+
+    return F.arrow_udf("string")(run)
+
+
 def export(fields: DataFrame, form: str) -> DataFrame:
     """(path, document): the fields of each path as one of ``FORMS``. ``fields`` is the long table, whose rows are gathered
-    by path; or what ``parsed`` makes, a row a file with its fields in it, which needs no shuffle."""
+    by path; or what ``parsed`` makes, a row a file with its fields in it, which needs no shuffle. Of files of which it kept the
+    numbers (``keep_pcm``) the documents are put together in Catalyst, but for those with odd paths."""
     if form not in FORMS:
         raise ValueError(f"unknown form {form}")
+    if "pcm" in fields.columns:
+        path, pcm = F.col("path"), F.col("pcm")
+        own = pcm.isNotNull() & (path != "") & ~path.rlike(_UNSAFE) if form not in _IN_PYTHON else F.lit(False)
+        rows = fields.where("fields is not null or pcm is not null").select("path", "pcm", "fields", F.coalesce(own, F.lit(False)).alias("own"))
+        others = F.when(~F.col("own"), F.coalesce("fields", F.when(pcm.isNotNull(), pcm_fields(pcm))))
+        if form in _IN_PYTHON:
+            return rows.select("path", others.alias("rows")).mapInArrow(_rendered(form), "path string, document string")
+        # An empty list, not null: for each row that follows a null list, Spark goes through the batch's lists up to it again.
+        made = _renderer(form)(~F.col("own"), F.when(~F.col("own"), path), F.coalesce(others, F.array().cast(f"array<{KERNEL_FIELD}>")))
+        return rows.select("path", F.when(F.col("own"), pcm_document(form, path, pcm)).otherwise(made).alias("document"))
     # Python gets a file's fields in the order of writing.
     if "fields" in fields.columns:
         rows = fields.select("path", F.col("fields").alias("rows")).where("rows is not null")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framelake.functions import display as D
+from framelake.model import KERNEL_FIELD
 from framelake.operators import layouts, parsing
 from framelake.operators.registry import run_kernel
 from framelake.plans import blobs
@@ -108,6 +109,16 @@ def test_no_step_of_parsing_is_too_long_to_be_compiled(spark):
     assert sizes and max(sizes) < 8000
 
 
+def test_documents_of_plain_wav_files_equal_those_made_one_by_one(spark):
+    paths = ["a/b 1.wav", "é", 'q"', "x,y", "l\nm", "<&>'", "back\\slash", "", None, "", "z"]
+    heads = [{"channels": c, "rate": r, "align": 2 * c, "bits": b, "size": s, "riff": s + 36} for c, r, b, s in ((1, 8000, 8, 0), (2, 44100, 16, 400), (255, 1, 255, 1 << 31), (6, 192000, 24, 7_000_001), (2, 7, 16, 12345))]
+    rows = [(p, h, None) for p in paths for h in heads] + [("own", None, [(0, 0, "Format", "Other", False)]), (None, None, [(0, 0, "Format", "Other", False)]), ("none", None, None)]
+    files = spark.createDataFrame(rows, f"path string, pcm {parsing._TOLD['wav']}, fields array<{KERNEL_FIELD}>").coalesce(1)
+    told = [r["f"] for r in files.select(F.coalesce("fields", F.when(F.col("pcm").isNotNull(), layouts.pcm_fields(F.col("pcm")))).alias("f")).collect()]
+    for form, make in exporters.FORMS.items():
+        alone = [(p, make(exporters.Media(p or "", [x.asDict() for x in f]))) for (p, _, _), f in zip(rows, told) if f is not None]
+        assert [tuple(r) for r in exporters.export(files, form).collect()] == alone, form
+
 
 def test_plain_png_and_flac_files_are_read_without_python(spark):
     chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + bytes(4)
@@ -129,3 +140,10 @@ def test_plain_png_and_flac_files_are_read_without_python(spark):
         assert [[tuple(f) for f in x] for x in found[: len(plain[name])]] == [run_kernel(name, b)[0] for b in plain[name]]
         assert not any(run_kernel(name, b)[1] for b in plain[name])
         assert found[len(plain[name]) :] == [None] * len(others[name])
+
+
+def test_only_documents_asked_for_are_made():
+    rows = pa.array([[], [{"kind_id": 0, "pos": 0, "name": "Format", "value": "A", "is_extra": False}], [], []], pa.list_(parsing._FIELD))
+    made = exporters._asked("graph", pa.array([False, True, False, True]), pa.array([None, "a", None, "b"], pa.string()), rows).to_pylist()
+    assert [m is not None for m in made] == [False, True, False, True] and "Format" in made[1]
+    assert exporters._asked("graph", pa.array([False] * 4), pa.array([None] * 4, pa.string()), rows).null_count == 4
